@@ -21,7 +21,7 @@ CELL, MOST_CELLS = 512, 4096
 #: Cells are fitted on at most so many vectors (by a hash of the id); all vectors are assigned.
 SAMPLE = 100_000
 #: A vector also visits the cells whose centre is at most this much less similar than its own.
-MARGIN = 0.25
+MARGIN = 0.15
 #: Members, and visitors, that one task compares.
 BLOCK = 4096
 
@@ -64,7 +64,7 @@ def _compare(key: tuple, rows: pd.DataFrame, cosine: float) -> pd.DataFrame:
     members, guests = rows[rows["member"]], rows[~rows["member"]]
     if not len(members) or not len(guests):
         return pd.DataFrame({"vec_id": [], "links": [], "root": []})
-    m, g = np.array(members["vector"].tolist()), np.array(guests["vector"].tolist())
+    m, g = np.stack(members["vector"].to_numpy()), np.stack(guests["vector"].to_numpy())
     hits = g @ m.T >= cosine
     m_row, g_row = members["row"].to_numpy(), guests["row"].to_numpy()
     hits &= g_row[:, None] != m_row[None, :]

@@ -65,8 +65,8 @@ def _search(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd.DataF
     |d(q, p) - d(v, p)| never exceeds d(q, v), so the largest of them over all pivots p bounds the score
     (|q|^2 + |v|^2 - d(q, v)^2) / 2 from above.
     """
-    q, v = np.array(queries["vector"].tolist()), np.array(candidates["vector"].tolist())
-    qd, vd = np.array(queries["distances"].tolist()), np.array(candidates["distances"].tolist())
+    q, v = np.stack(queries["vector"].to_numpy()), np.stack(candidates["vector"].to_numpy())
+    qd, vd = np.stack(queries["distances"].to_numpy()), np.stack(candidates["distances"].to_numpy())
     names = candidates["vec_id"].to_numpy()
     q2, v2 = (q * q).sum(1), (v * v).sum(1)
     largest = max(q2.max(), v2.max())

@@ -195,7 +195,7 @@ def _densities(root: Node, order: list[Node]) -> None:
         c, t, lc, lt = node.chars, max(node.tags, 1), node.link_chars, node.link_tags
         base = math.log(c / max(c - lc, 1) * lc + share * c + math.e)
         value = c / max(lc, 1) * (t / max(lt, 1))
-        node.density = c / t * math.log(value) / math.log(base) if c else 0.0  # base is at least e
+        node.density = (c / t * (math.log(value) / math.log(base) if base > 1 else 1.0)) if c else 0.0  # base is 1 on a page without links
     for node in order:
         node.density_sum = sum(x.density for x in node.children() if not x.drop)
 

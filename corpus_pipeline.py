@@ -2,27 +2,49 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from talkloom.llm.mixing import mix_sources
+from talkloom.llm.packing import pack_documents
+from talkloom.llm.simhash import one_of_each_group
 from talkloom.llm.support import stored, table
+from talkloom.llm.tokens import VOCABULARY
+from talkloom.llm.toxicity import without_toxic
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Words of a shingle, and bits in which fingerprints of near copies may differ. Six bits of 64 are an angle whose
+#: cosine is about 0.96 in the mean; a radius for a similarity of 0.8 (13 bits) would need 16,383 tables.
+SHINGLE, RADIUS = 5, 6
 
 
-def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's target weight asks for, shuffled."""
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the toxicity model, learned from the labels table, doesn't reject."""
+    return without_toxic(docs, table(spark, sf_dir, "labels")).select(*COLUMNS)
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group, that of the least id."""
+    return one_of_each_group(docs, SHINGLE, RADIUS).select(*COLUMNS)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's target weight asks for, in a globally shuffled order."""
     return mix_sources(docs).select(*COLUMNS)
 
 
-STAGES = [("mixing", mixed_sources)]
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of documents that make up the training sequences, with their token ids."""
+    return pack_documents(docs, public_tokenizers.path(VOCABULARY))
+
+
+STAGES = [("toxicity", clean), ("simhash", distinct), ("mixing", mixed), ("packing", packed)]
+#: No SQL: models, fingerprints and token ids are beyond it. tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stored(docs, f"pipeline-{k}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

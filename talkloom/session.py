@@ -23,3 +23,11 @@ def ship(spark: SparkSession) -> None:
             archive.write(file, file.relative_to(ROOT))
     context.addPyFile(str(path))
     context._talkloom_shipped = True
+
+
+def checkpointed(df):
+    """df computed once, in the folder spark.checkpoint.dir names (a temporary one where it is unset, as in tests)."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="talkloom-"))
+    return df.checkpoint(eager=True)

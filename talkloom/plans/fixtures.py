@@ -61,5 +61,6 @@ def trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     node = F.struct(F.when(F.col("turn") > F.col("first"), F.concat(F.lit("n"), (F.col("turn") - 1).cast("string"))).alias("parent"), down.alias("children"), message(F.col("turn") * 10).alias("message"))
     dead = F.struct(name("n", "turn").alias("parent"), F.array().cast("array<string>").alias("children"), message(F.col("turn") * 10 + 5).alias("message"))
     nodes = each.select("conv_id", "last", name("n", "turn").alias("id"), node.alias("node")).union(each.where(branch).select("conv_id", "last", name("d", "turn"), dead))
-    rows = nodes.groupBy("conv_id", "last").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("id", "node")))).alias("mapping"))
+    by_id = lambda a, b: F.when(a["id"] < b["id"], -1).otherwise(1)
+    rows = nodes.groupBy("conv_id", "last").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("id", "node")), by_id)).alias("mapping"))
     return rows.select("conv_id", F.when(F.col("conv_id") % 4 != 0, F.concat(F.lit("n"), F.col("last").cast("string"))).alias("current_node"), "mapping")

@@ -1,6 +1,7 @@
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -57,5 +58,11 @@ def test_operators_against_sql(spark, name):
         want = db.sql(__spark_entry__.oracle_sql()[name]).df()
     got = __spark_entry__.queries()[name](spark, SMALL).toPandas()
     assert sorted(got.columns) == sorted(want.columns)
-    norm = lambda d: sorted(tuple("" if v != v or v is None or str(v) == "<NA>" else str(np.float64(v)) if isinstance(v, (int, float, np.number)) and not isinstance(v, bool) else str(v) for v in row) for row in d[sorted(got.columns)].astype(object).values.tolist())
+
+    def plain(value):
+        if value is None or pd.isna(value):
+            return ""
+        return str(float(value)) if isinstance(value, (int, float, np.number)) and not isinstance(value, (bool, np.bool_)) else str(value)
+
+    norm = lambda d: sorted(tuple(map(plain, row)) for row in d[sorted(got.columns)].astype(object).values.tolist())
     assert norm(got) == norm(want)

@@ -52,7 +52,7 @@ def parse_markdown(documents: DataFrame, text: str = "markdown", name: str = "fi
 
 def read_markdown_archive(spark: SparkSession, path: str) -> DataFrame:
     """file, msg_pos, role_label, body of a folder of markdown files."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(path)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(path, wholetext=True)
     return parse_markdown(files.select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("markdown")))
 
 

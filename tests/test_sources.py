@@ -66,7 +66,7 @@ def test_selecting_export_files(spark, tmp_path):
 
 def test_markdown_round_trip(spark, tmp_path):
     text = "# T\n\n- id: 1\n\n  ---  \n\n<!-- MSG role: user -->\n### user\n\nhello\nthere\n\n<!-- /MSG -->\n\n<!-- MSG role: tool -->\n### tool\n\n\n\n<!-- /MSG -->\n"
-    legacy = "# T\n---\n### user\n\nhi\n### no blank line\n\n### assistant\n\nyo\n"
+    legacy = "# T\n---\n### user\n\nhi\n### no blank line\nx\n\n### assistant\n\nyo\n"
     (tmp_path / "a.md").write_text(text.replace("\n", "\r\n"))
     (tmp_path / "b.md").write_text(legacy)
     (tmp_path / "c.md").write_text("### user\n\nno dashes\n")

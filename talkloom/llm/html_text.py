@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from talkloom.llm.support import table
+from talkloom.llm.support import small_batches, table
 
 # Elements of HTML by how they are read.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -270,6 +270,8 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     Rows are kept one to one, repeated and null ids included; other columns are ignored.
     """
 
+    small_batches(pages.sparkSession)
+
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [main_text(x.as_py()) for x in batch.column("html")]

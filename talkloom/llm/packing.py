@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from talkloom.llm.support import table
+from talkloom.llm.support import small_batches, table
 from talkloom.llm.tokens import VOCABULARY, encoder
 
 LENGTH = 2048
@@ -88,6 +88,8 @@ def pack_documents(df: DataFrame, path: str, end_id: int = 1, length: int = LENG
     rows = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
+    small_batches(df.sparkSession)
+
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode
         last = np.array([end_id], dtype="<u4").tobytes()

@@ -39,3 +39,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small_batches(spark: SparkSession, size: str = "8m") -> None:
+    """From now on, Arrow batches of this session hold about so many bytes: with long texts, Spark's default of 64 MB
+    times a few copies is much of a worker's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

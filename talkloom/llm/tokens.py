@@ -18,11 +18,11 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from talkloom.llm.support import table
+from talkloom.llm.support import small_batches, table
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words that a worker remembers; beyond, it starts anew. About 200 bytes each.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 #: Characters of text that are looked up at once.
 GROUP_CHARS = 2_000_000
 #: What separates words: Unicode white space. str.split() also splits at U+001C to U+001F, which a vocabulary doesn't.
@@ -190,6 +190,8 @@ def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     Rows are kept one to one, repeated and null ids included; other columns are ignored.
     """
 
+    small_batches(df.sparkSession)
+
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = merger(path)
         for batch in batches:

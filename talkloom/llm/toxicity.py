@@ -15,7 +15,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from talkloom.llm.support import cut, stored, table
+from talkloom.llm.support import cut, small_batches, stored, table
 
 #: Labelled rows to learn from, at most (in the mean: rows are taken by a hash of their id).
 SAMPLE = 12_000
@@ -24,7 +24,7 @@ FOLDS, CALIBRATION = 4, 4
 #: A unit enters the lexicon with at least so many toxic texts and at least this z-score of its log odds.
 LEAST_TEXTS, LEAST_Z = 3, 2.5
 PREFIXES = (4, 5)
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 # Second-person words of the four languages, and what stands for letters in disguised words.
 SECOND_PERSON = frozenset("you your yours yourself u ur ya du dich dir dein deine deinen deinem deiner euch euer ihr sie tu te toi ton ta tes vous votre vos tú ti usted ustedes vosotros vuestra vuestro tus su sus".split())
@@ -168,6 +168,7 @@ class ToxicityModel:
         kept = [F.col(f"`{c}`") for c in df.columns if c != name]
         if self.trees is None:
             return df.select(*kept, F.lit(self.constant).alias(name))
+        small_batches(df.sparkSession)
         read = df.withColumn("__features", array_to_vector(features_of(F.col(f"`{text_col}`"), self.lexicon)))
         judged = self.calibration.transform(_with_margin(self.trees, read))
         return judged.select(*kept, F.least(F.greatest(F.col("__score"), F.lit(0.0)), F.lit(1.0)).alias(name))

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from talkloom.llm.support import new_folder, stored, table
+from talkloom.llm.support import new_folder, small_batches, stored, table
 
 #: Payloads of fewer bytes are never revisits.
 LEAST_REVISIT = 100
@@ -86,6 +86,8 @@ def pages_to_arc(pages: DataFrame, version: int = 1, id_col: str = "page_id", ur
     head = F.concat(F.lit("HTTP/1.0 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: "), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), F.lit("\r\n\r\n"))
     rows = pages.select(_clean_url(F.col(f"`{url_col}`")).alias("url"), F.concat(head, html).cast("binary").alias("block"))
 
+    small_batches(pages.sparkSession)
+
     def archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[str, bytes]] = []
         size = 0
@@ -207,6 +209,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     names = [f.split()[0] for f in READ.split(", ")]
     types = [pa.int64() if f.endswith(" long") else pa.string() for f in READ.split(", ")]
 
+    small_batches(spark)
+
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):

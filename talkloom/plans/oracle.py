@@ -157,7 +157,7 @@ CTES = {
     "c_topcounts": "SELECT CAST(row_number() OVER (ORDER BY count DESC, first) AS INTEGER) AS rank, label, count FROM (SELECT cluster_label AS label, count(*) AS count, min(conv_id) AS first FROM c_topics GROUP BY cluster_label) QUALIFY rank <= 30",
     "c_lines": f"SELECT conv_id, msg_pos, unnest(t) AS raw, generate_subscripts(t, 1) AS n FROM (SELECT conv_id, msg_pos, {stripped_lines(outside_code('body'))} AS t FROM c_fx)",
     "c_cand": f"SELECT *, CASE WHEN {braced('raw')} THEN {transcript('raw')} ELSE {prose('raw')} END AS line FROM c_lines",
-    "c_scored": rf"SELECT *, CASE WHEN regexp_matches(line, '(?i)(?:{L.HIGHLIGHT_CUES})') THEN 2.0 ELSE 0 END + CASE WHEN regexp_matches(line, '[?？]$') THEN 1.0 ELSE 0 END + CASE WHEN regexp_matches(raw, '^\s*(?:[-*•]|\d+[.、])\s*') THEN 0.5 ELSE 0 END AS score FROM c_cand WHERE length(line) BETWEEN 6 AND 180",
+    "c_scored": rf"SELECT *, CAST(CASE WHEN regexp_matches(line, '(?i)(?:{L.HIGHLIGHT_CUES})') THEN 2.0 ELSE 0 END + CASE WHEN regexp_matches(line, '[?？]$') THEN 1.0 ELSE 0 END + CASE WHEN regexp_matches(raw, '^\s*(?:[-*•]|\d+[.、])\s*') THEN 0.5 ELSE 0 END AS DOUBLE) AS score FROM c_cand WHERE length(line) BETWEEN 6 AND 180",
     "c_high": "SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, msg_pos, n) AS INTEGER) AS rank, line, score FROM (SELECT * FROM c_scored WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY conv_id, line ORDER BY msg_pos, n) = 1) QUALIFY rank <= 8",
     "c_turns": f"SELECT conv_id, msg_pos, lower(role) AS role, {strip(strip_artifacts('clean'))} AS text FROM c_norm WHERE NOT {tool_call('body')} AND lower(role) IN ('user', 'assistant')",
     "c_feat": f"SELECT *, length(replace(text, ' ', '')) AS chars, {_flags('compact')} FROM (SELECT *, {one_space('text')} AS compact, length(replace({one_space('text')}, ' ', '')) AS char_len FROM c_turns WHERE text <> '')",

@@ -41,9 +41,10 @@ def source_rates(df: DataFrame, weights: dict[str, float] | None = None, tempera
         share = F.coalesce(*(F.when(F.col("source") == k, F.lit(float(v))) for k, v in weights.items()), F.lit(0.0)) if weights else F.lit(0.0)
     sizes = cut(sizes.withColumn("share", share))
     totals = sizes.agg(F.sum("size").alias("total"), F.sum("share").alias("shares"))
-    return sizes.crossJoin(F.broadcast(totals)).select(
-        "source", "size", (F.col("share") / F.when(F.col("shares") > 0, F.col("shares")).otherwise(F.lit(1.0))).alias("weight")
-    , "total").withColumn("rate", F.col("weight") * F.lit(float(epochs)) * F.col("total") / F.col("size")).drop("total")
+    with_totals = sizes.crossJoin(F.broadcast(totals))  # one row
+    weight = F.col("share") / F.when(F.col("shares") > 0, F.col("shares")).otherwise(F.lit(1.0))
+    rate = F.col("weight") * F.lit(float(epochs)) * F.col("total") / F.col("size")
+    return with_totals.withColumn("weight", weight).select("source", "size", "weight", rate.alias("rate"))
 
 
 def mix_sources(df: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, epochs: float = 1.0, seed: str = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:

@@ -13,9 +13,9 @@ from talkloom.llm.tokens import VOCABULARY
 from talkloom.llm.toxicity import without_toxic
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Words of a shingle, and bits in which fingerprints of near copies may differ. Six bits of 64 are an angle whose
-#: cosine is about 0.96 in the mean; a radius for a similarity of 0.8 (13 bits) would need 16,383 tables.
-SHINGLE, RADIUS = 5, 6
+#: Words of a shingle, bits in which fingerprints of candidates may differ, and
+#: the Jaccard similarity of the sets of shingles from which on candidates are copies.
+SHINGLE, RADIUS, SIMILARITY = 5, 6, 0.8
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +25,7 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, that of the least id."""
-    return one_of_each_group(docs, SHINGLE, RADIUS).select(*COLUMNS)
+    return one_of_each_group(docs, SHINGLE, RADIUS, similarity=SIMILARITY).select(*COLUMNS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -120,3 +120,49 @@ def test_odd_vectors_link_with_nothing(spark):
     assert found == {1: 2, 2: 2, 3: 0, 4: 0, 5: 0, 6: 0, 7: 0, 8: 0, 9: 0, 10: 2}
     assert len(got) == len(rows) and got[got.vec_id == 10].component_id.tolist() == [1]
     assert near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def worded(rng, n):
+    return [f"w{rng.randrange(10**6)}" for _ in range(n)]
+
+
+def changed(rng, words, places):
+    return [f"x{rng.randrange(10**6)}" if k in places else w for k, w in enumerate(words)]
+
+
+def test_only_similar_sets_are_copies(spark):
+    rng = random.Random(5)
+    line = "the same line is here again and again "
+    rows = [(k, line * 60 + " ".join(worded(rng, 40)), "", 0) for k in range(4)]  # near fingerprints, few common shingles
+    prints = [fingerprint(r[1].encode(), 5) for r in rows]
+    assert all((a ^ b).bit_count() <= 13 for a in prints for b in prints)
+    kept = one_of_each_group(spark.createDataFrame(rows, DOCS), 5, 13).toPandas()
+    assert sorted(kept.doc_id) == [0, 1, 2, 3]
+
+
+def test_copies_within_the_radius_by_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SHIFTED", 4)  # so that buckets of both kinds occur
+    monkeypatch.setattr(simhash, "GROUP", 50)
+    rng = random.Random(3)
+    texts = {}
+    for g in range(30):
+        base = worded(rng, 120)
+        for k in range(5):
+            texts[len(texts)] = " ".join(changed(rng, base, rng.sample(range(120), k)))
+    sets = {i: {" ".join(t.split()[k : k + 5]) for k in range(116)} for i, t in texts.items()}
+    prints = {i: fingerprint(t.encode(), 5) for i, t in texts.items()}
+    similar = [(a, b) for a in texts for b in texts if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    links = [(a, b) for a, b in similar if (prints[a] ^ prints[b]).bit_count() <= 13]
+    assert any((prints[a] ^ prints[b]).bit_count() > 6 for a, b in links)
+    want = {i for i, least in least_reachable(texts, links).items() if i == least}
+    kept = one_of_each_group(spark.createDataFrame([(i, t, "", 0) for i, t in texts.items()], DOCS), 5, 13).toPandas()
+    assert sorted(kept.doc_id) == sorted(want)
+
+
+@pytest.mark.parametrize("parts", [2, 3])
+def test_part_masks_cover(parts):
+    rng = random.Random(parts)
+    masks = simhash.part_masks(13, parts)
+    for _ in range(2000):
+        pattern = sum(1 << b for b in rng.sample(range(64), 13))
+        assert any(m & pattern == 0 for m in masks)

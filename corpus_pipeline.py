@@ -13,9 +13,9 @@ from talkloom.llm.tokens import VOCABULARY
 from talkloom.llm.toxicity import without_toxic
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Words of a shingle, bits in which fingerprints of candidates may differ, and
+#: Words of a shingle, bits in which fingerprints of candidates may differ (so many are seen at a similarity of 0.8), and
 #: the Jaccard similarity of the sets of shingles from which on candidates are copies.
-SHINGLE, RADIUS, SIMILARITY = 5, 6, 0.8
+SHINGLE, RADIUS, SIMILARITY = 5, 13, 0.8
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -66,3 +66,7 @@ def test_operators_against_sql(spark, name):
 
     norm = lambda d: sorted(tuple(map(plain, row)) for row in d[sorted(got.columns)].astype(object).values.tolist())
     assert norm(got) == norm(want)
+
+
+def test_radius_reaches_near_copies():
+    assert corpus_pipeline.RADIUS >= 13 and corpus_pipeline.SIMILARITY == 0.8

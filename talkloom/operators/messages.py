@@ -119,7 +119,8 @@ def extract_text(messages: DataFrame, keep_code: bool = False, key: str = "conv_
     return in_order(messages, T.normalize_body(F.col("body"), keep_code), key=key)
 
 
-def search_text(messages: DataFrame, max_chars: int = 8000, key: str = "conv_id") -> DataFrame:
+def search_text(messages: DataFrame, max_chars: int = 0, key: str = "conv_id") -> DataFrame:
+    """conv_id, search_text: all of it, or the first max_chars characters."""
     found = in_order(messages, T.normalize_body(F.col("body"), True), key=key, name="search_text")
     return found.withColumn("search_text", T.search_form(F.col("search_text"), max_chars))
 

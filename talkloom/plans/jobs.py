@@ -61,7 +61,7 @@ class Insights:
     messages: DataFrame
     convs: DataFrame
     lexicon: Lexicon = DEFAULT
-    search_chars: int = 8000
+    search_chars: int = 0
     snippet_chars: int = 240
 
     @cached_property

@@ -216,3 +216,12 @@ def test_rollups_of_nothing(spark):
 def test_numbering(spark):
     rows = spark.range(500).select((F.col("id") * 37 % 500).alias("k")).repartition(7)
     assert all(r["index"] == r.k + 1 for r in M.number_conversations(rows, ["k"]).collect())
+
+
+def test_search_finds_words_at_the_end_of_long_conversations(spark):
+    from talkloom.plans.jobs import Insights
+
+    messages = spark.createDataFrame([(1, 0, "user", "word " * 3000), (1, 1, "user", "needle")], "conv_id long, msg_pos int, role string, body string")
+    convs = spark.createDataFrame([(1, 1, "t", "f")], "conv_id long, index long, title string, file string")
+    assert M.search_text(messages).first().search_text.endswith("needle")
+    assert Insights(messages, convs).search.where(F.col("search_text").contains("needle")).count() == 1

@@ -8,7 +8,6 @@ from talkloom.functions.lexicon import DEFAULT, IDENTIFIER_ENDINGS, OTHER_TOPIC,
 from talkloom.functions.text import strip_artifact_lines
 from talkloom.operators.ranking import top_k
 
-MAX_TERM_CHARS, MAX_LEARN_RUN = 12_000, 180
 LATIN = "([A-Za-z][A-Za-z0-9_]+)"
 HAN = r"([\x{4e00}-\x{9fff}]{2,})"
 RUN_PLACE, HAN_PLACE = 1 << 20, 1 << 40
@@ -43,14 +42,14 @@ def is_noise_term(term: Column, lexicon: Lexicon = DEFAULT) -> Column:
     return F.coalesce(low.isin(lexicon.noise) | ids | (term == ""), F.lit(True))
 
 
-def han_vocab(docs: DataFrame, n_docs: int, min_df: int | None = None, max_df_ratio: float = 0.35, lexicon: Lexicon = DEFAULT, text: str = "text") -> DataFrame:
-    """term: n-grams of Han runs in min_df documents or more and max_df_ratio of them or fewer, and the domain terms.
+def han_vocab(docs: DataFrame, n_docs: int, min_df: int | None = None, max_df_ratio: float = 0.35, lexicon: Lexicon = DEFAULT, text: str = "text", max_run: int = 0) -> DataFrame:
+    """term: n-grams of Han runs (of their first max_run characters, if any are given) in min_df documents or more and max_df_ratio of them or fewer, and the domain terms.
 
     Grams are made distinct within their document's row, so the shuffle counts documents.
     """
     n = max(1, n_docs)
     least = (2 if n < 80 else 3) if min_df is None else min_df
-    grams = F.array_distinct(F.flatten(F.transform(han_runs(F.col(text)), lambda r: han_ngrams(F.substring(r, 1, MAX_LEARN_RUN)))))
+    grams = F.array_distinct(F.flatten(F.transform(han_runs(F.col(text)), lambda r: han_ngrams(F.substring(r, 1, max_run) if max_run else r))))
     counted = docs.select(F.explode(grams).alias("term")).where(~F.col("term").isin(lexicon.zh_stop) & ~F.col("term").rlike(r"^(.)\1+$")).groupBy("term").agg(F.count("*").alias("df"))
     learned = counted.where(F.col("df").between(least, int(n * max_df_ratio))).select("term")
     domain = docs.sparkSession.createDataFrame([(t,) for t in lexicon.domain], "term string")
@@ -84,12 +83,12 @@ def normalize_terms(tokens: DataFrame, lexicon: Lexicon = DEFAULT, name: str = "
     return shown.where(~drop)
 
 
-def tokenize(docs: DataFrame, vocab: DataFrame | None, keys: list[str], lexicon: Lexicon = DEFAULT, text: str = "text") -> DataFrame:
-    """keys, pos, term: Latin tokens in order, then Chinese ones, of the text's first MAX_TERM_CHARS characters.
+def tokenize(docs: DataFrame, vocab: DataFrame | None, keys: list[str], lexicon: Lexicon = DEFAULT, text: str = "text", max_chars: int = 0) -> DataFrame:
+    """keys, pos, term: Latin tokens in order, then Chinese ones, of the text (its first max_chars characters, if given).
 
     vocab None stands for no vocabulary: every n-gram of a run is a token then.
     """
-    cut = docs.select(*keys, F.substring(text, 1, MAX_TERM_CHARS).alias("text"))
+    cut = docs.select(*keys, (F.substring(text, 1, max_chars) if max_chars else F.col(text)).alias("text"))
     latin = cut.select(*keys, F.posexplode(latin_tokens(F.col("text"))).alias("pos", "term")).withColumn("pos", F.col("pos").cast("long"))
     runs = cut.select(*keys, F.posexplode(han_runs(F.col("text"))).alias("run_no", "run")).where(~F.col("run").isin(lexicon.zh_stop))
     if vocab is None:

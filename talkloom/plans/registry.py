@@ -218,17 +218,17 @@ def term_text(spark, sf_dir):
 
 @register("SELECT conv_id, CAST(pos AS INTEGER) AS pos, tok AS term FROM c_latin")
 def latin_tokens(spark, sf_dir):
-    return insights(spark, sf_dir).docs.select("conv_id", F.posexplode(K.latin_tokens(F.substring("text", 1, K.MAX_TERM_CHARS))).alias("pos", "term"))
+    return insights(spark, sf_dir).docs.select("conv_id", F.posexplode(K.latin_tokens(F.col("text"))).alias("pos", "term"))
 
 
 @register("SELECT conv_id, CAST(run_no AS INTEGER) AS run_no, run FROM c_runs")
 def han_runs(spark, sf_dir):
-    return insights(spark, sf_dir).docs.select("conv_id", F.posexplode(K.han_runs(F.substring("text", 1, K.MAX_TERM_CHARS))).alias("run_no", "run"))
+    return insights(spark, sf_dir).docs.select("conv_id", F.posexplode(K.han_runs(F.col("text"))).alias("run_no", "run"))
 
 
 @register("SELECT term, count(*) AS runs FROM (SELECT substr(run, i, n) AS term FROM c_runs, (VALUES (2), (3), (4)) AS l(n), unnest(range(1, length(run) + 1)) AS p(i) WHERE i + n - 1 <= length(run)) GROUP BY term")
 def han_ngrams(spark, sf_dir):
-    runs = insights(spark, sf_dir).docs.select(F.explode(K.han_runs(F.substring("text", 1, K.MAX_TERM_CHARS))).alias("run"))
+    runs = insights(spark, sf_dir).docs.select(F.explode(K.han_runs(F.col("text"))).alias("run"))
     return runs.select(F.explode(K.han_ngrams(F.col("run"))).alias("term")).groupBy("term").agg(F.count("*").alias("runs"))
 
 
@@ -240,7 +240,7 @@ def han_vocab(spark, sf_dir):
 @register("SELECT conv_id, CAST(run_no AS INTEGER) AS run_no, CAST(i - length(term) AS INTEGER) AS pos, term FROM c_seg WHERE term IS NOT NULL")
 def segment_han(spark, sf_dir):
     job = insights(spark, sf_dir)
-    runs = job.docs.select("conv_id", F.posexplode(K.han_runs(F.substring("text", 1, K.MAX_TERM_CHARS))).alias("run_no", "run")).where(~F.col("run").isin(ZH_STOPWORDS))
+    runs = job.docs.select("conv_id", F.posexplode(K.han_runs(F.col("text"))).alias("run_no", "run")).where(~F.col("run").isin(ZH_STOPWORDS))
     return K.segment_han(runs, job.vocab, ["conv_id", "run_no"])
 
 
@@ -252,8 +252,8 @@ def normalize_terms(spark, sf_dir):
 @register(f"SELECT DISTINCT tok AS term, {O.noise_term('tok')} AS noise, {O.chinese('tok')} AS chinese FROM c_raw")
 def term_kinds(spark, sf_dir):
     job = insights(spark, sf_dir)
-    latin = job.docs.select(F.explode(K.latin_tokens(F.substring("text", 1, K.MAX_TERM_CHARS))).alias("term"))
-    runs = job.docs.select("conv_id", F.posexplode(K.han_runs(F.substring("text", 1, K.MAX_TERM_CHARS))).alias("run_no", "run")).where(~F.col("run").isin(ZH_STOPWORDS))
+    latin = job.docs.select(F.explode(K.latin_tokens(F.col("text"))).alias("term"))
+    runs = job.docs.select("conv_id", F.posexplode(K.han_runs(F.col("text"))).alias("run_no", "run")).where(~F.col("run").isin(ZH_STOPWORDS))
     found = latin.union(K.segment_han(runs, job.vocab, ["conv_id", "run_no"]).select("term")).distinct()
     return found.select("term", K.is_noise_term(F.col("term")).alias("noise"), K.is_chinese_term(F.col("term")).alias("chinese"))
 

@@ -225,3 +225,11 @@ def test_search_finds_words_at_the_end_of_long_conversations(spark):
     convs = spark.createDataFrame([(1, 1, "t", "f")], "conv_id long, index long, title string, file string")
     assert M.search_text(messages).first().search_text.endswith("needle")
     assert Insights(messages, convs).search.where(F.col("search_text").contains("needle")).count() == 1
+
+
+def test_terms_at_the_end_of_long_texts(spark):
+    run = "".join(chr(0x4E00 + k) for k in range(300))
+    docs = spark.createDataFrame([(1, "word " * 3000 + "needle " + run), (2, run)], "conv_id long, text string")
+    assert K.tokenize(docs, None, ["conv_id"]).where("term = 'needle'").count() == 1
+    learned = {r.term for r in K.han_vocab(docs, 2, min_df=2, max_df_ratio=1.0).collect()}
+    assert run[-2:] in learned and run[:2] in learned

@@ -17,7 +17,8 @@ def sound(vector: str) -> Column:
 def sound_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """vec_id, vector (array of double) and dim, without the vectors that can't be compared."""
     rows = df.where(sound(vector_col))
-    return rows.select(F.col(f"`{id_col}`").alias("vec_id"), F.col(f"`{vector_col}`").cast("array<double>").alias("vector"), F.size(f"`{vector_col}`").alias("dim"))
+    vector = F.col(f"`{vector_col}`").cast("array<double>").alias("vector")
+    return rows.select(F.col(f"`{id_col}`").alias("vec_id"), vector, F.size(f"`{vector_col}`").alias("dim"))
 
 
 def matrix(column: pa.Array) -> np.ndarray:

@@ -5,11 +5,13 @@ import numpy as np
 import pytest
 import xxhash
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from talkloom.llm import simhash
 from talkloom.llm.components import connected_components
-from talkloom.llm.neardup_vectors import near_vectors
+from talkloom.llm.neardup_vectors import near_vectors, number_of_cells, unit_rows, visit_distance
 from talkloom.llm.simhash import covering_masks, fingerprint, near_links, one_of_each_group, simhash_groups
+from talkloom.llm.support import join_by_key
 
 
 def least_reachable(ids, links):
@@ -35,6 +37,18 @@ def test_components_of_chains_stars_and_noise(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_hubs_are_joined_where_they_lie(spark):
+    links = [(5000, k) for k in range(1200)] + [(k, k + 10_000) for k in range(0, 1200, 7)]
+    df = spark.createDataFrame(links, "a long, b long")
+    assert dict(tuple(r) for r in connected_components(df).collect()) == least_reachable({x for p in links for x in p}, links)
+    rows = spark.createDataFrame([(k % 3 if k < 900 else k, k) for k in range(1000)] + [(None, -1)], "key long, v long")
+    per = rows.where("key is not null").groupBy("key").agg(F.count("*").alias("n"), F.min("v").alias("least"))
+    for how in ("inner", "left"):
+        got = join_by_key(rows, per.where("key <> 905 and key < 990"), ["key"], "n", 1000, how)
+        plain = rows.join(per.where("key <> 905 and key < 990").drop("n"), "key", how)
+        assert sorted(map(str, got.select("key", "v", "least").collect())) == sorted(map(str, plain.select("key", "v", "least").collect()))
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.integers(1, 6), st.sets(st.integers(0, 63), max_size=6))
 def test_masks_cover(radius, bits):
@@ -44,6 +58,11 @@ def test_masks_cover(radius, bits):
     assert len(covering_masks(radius)) == 2 ** (radius + 1) - 1
 
 
+@pytest.mark.parametrize("radius, bits", [(4, 64), (6, 32), (5, 32), (4, 21)])
+def test_no_mask_is_nearly_empty(radius, bits):
+    assert min(m.bit_count() for m in covering_masks(radius, bits)) >= bits // 4
+
+
 def by_hand(text, width):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if not words:
@@ -87,6 +106,9 @@ def test_groups_and_representatives_of_odd_rows(spark):
     assert got[got.fingerprint == f"{by_hand(long, 4):016x}"].component_id.tolist() == [3.0, 3.0]
     kept = one_of_each_group(spark.createDataFrame(rows, DOCS), 4, 4).toPandas()
     assert sorted(kept.doc_id.fillna(-1)) == [-1, 3, 7, 8] and list(kept.columns) == ["doc_id", "text", "fingerprint", "component_id"]
+    clashing = spark.createDataFrame([(3, long, k, "b") for k in (2, 1)] + [(4, "", 5, "c")], "doc_id long, text string, id int, doc string")
+    again = [sorted(map(str, one_of_each_group(clashing.repartition(n), 4, 4).collect())) for n in (1, 2)]
+    assert again[0] == again[1] and len(again[0]) == 2
     assert simhash_groups(spark.createDataFrame([], DOCS), 4, 4).count() == 0
     assert one_of_each_group(spark.createDataFrame([], DOCS), 4, 4).count() == 0
 
@@ -98,21 +120,93 @@ def near_by_hand(vectors, cosine=0.9):
     return links, least_reachable(unit, pairs)
 
 
+def clustered(n, dim, groups, seed=0, noise=0.25):
+    """Vectors around centres; of a third, so near that many pairs are just over and just under 0.9."""
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(groups, dim))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    spread = rng.normal(size=(n, dim)) / np.sqrt(dim) * np.where(np.arange(n) % 3 == 0, 1.0, noise)[:, None]
+    return (centres[np.arange(n) % groups] + spread).astype(np.float32)
+
+
+def measured(spark, vectors, **how):
+    """Recall of links, over a brute-force run, and whether any count is over it."""
+    unit = vectors.astype(float) / np.linalg.norm(vectors.astype(float), axis=1, keepdims=True)
+    want = np.array([(unit @ u >= 0.9).sum() - 1 for u in unit])
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<float>").repartition(3)
+    got = near_vectors(df, **how).toPandas().set_index("vec_id").n_links.reindex(range(len(vectors))).to_numpy()
+    return got.sum() / want.sum(), (got > want).any()
+
+
 @pytest.mark.parametrize("block", [7, 4096])
 def test_vectors_against_all_pairs(spark, block):
-    rng = np.random.default_rng(0)
-    centres = rng.normal(size=(12, 16))
-    rows = {k: (centres[k % 12] + rng.normal(size=16) * (0.2 if k % 3 else 1.0)).tolist() for k in range(400)}
+    rows = {k: v.tolist() for k, v in enumerate(clustered(400, 16, 12))}
     df = spark.createDataFrame([(k, v, "clash") for k, v in rows.items()], "vec_id long, embedding array<float>, kept string").repartition(3)
-    single = {k: np.float32(v).astype(float) for k, v in rows.items()}
-    links, components = near_by_hand(single)
-    got = near_vectors(df, cell=40, margin=0.3, block=block).toPandas().set_index("vec_id")
-    recall = got.n_links.sum() / sum(links.values())
-    assert recall > 0.98 and all(got.n_links[k] <= n for k, n in links.items())
-    assert (got.component_id == [components[k] for k in got.index]).mean() > 0.98
+    links, components = near_by_hand({k: np.float32(v).astype(float) for k, v in rows.items()})
+    got = near_vectors(df, block=block).toPandas().set_index("vec_id")
+    assert sum(links.values()) > 1000 and got.n_links.to_dict() == links and got.component_id.to_dict() == components
     assert (got.kept == (got.component_id == got.index)).all()
 
 
+def test_cells_grow_with_the_table():
+    assert [number_of_cells(n) for n in (1, 4, 5, 200, 500, 40_000, 4_000_000)] == [1, 1, 2, 8, 12, 100, 1000]
+    assert visit_distance(0.9, 16) == visit_distance(0.9, 768, exact=True) == pytest.approx(np.sqrt(0.2) / 2)
+    assert visit_distance(0.9, 64) == visit_distance(0.9, 768) == visit_distance(0.9, 16) / 2
+
+
+@pytest.mark.parametrize("cells", [8, 100])
+def test_recall_of_the_default_visits(spark, cells):
+    recall, over = measured(spark, clustered(1500, 64, 40, seed=cells, noise=0.3), cells=cells)
+    assert recall >= 0.99 and not over
+
+
+def test_exact_visits_lose_no_link(spark):
+    recall, over = measured(spark, clustered(600, 64, 20, seed=3, noise=0.3), cells=30, exact=True)
+    assert recall == 1.0 and not over
+
+
+def test_visits_simulated_over_a_thousand_cells():
+    """Pairs at a cosine of exactly 0.9, the hardest to find, by what with_cells() would have them visit."""
+    rng = np.random.default_rng(7)
+    centres = unit_rows(rng.normal(size=(1000, 64)))
+    a = unit_rows(centres[rng.integers(1000, size=4000)] + rng.normal(size=(4000, 64)) * 0.25)
+    side = rng.normal(size=a.shape)
+    side = unit_rows(side - (side * a).sum(1, keepdims=True) * a)
+    b = 0.9 * a + np.sqrt(1 - 0.81) * side
+    apart = np.sqrt(np.maximum(2 - 2 * centres @ centres.T, 0)) * visit_distance(0.9, 64)
+    homes, visits = [], []
+    for x in (a, b):
+        likeness = x @ centres.T
+        homes.append(likeness.argmax(1))
+        visits.append(likeness.max(1, keepdims=True) - likeness <= apart[homes[-1]])
+    n = np.arange(len(a))
+    found = visits[0][n, homes[1]] | visits[1][n, homes[0]]
+    assert (homes[0] != homes[1]).mean() > 0.1 and found.mean() >= 0.99
+
+
+def test_copies_are_compared_once(spark):
+    rng = np.random.default_rng(1)
+    one, near, far = [1.0, 0.0, 0.0], [1.0, 0.1, 0.0], [0.0, 0.0, 1.0]
+    rows = [(k, one) for k in range(10, 40)] + [(k, near) for k in range(5)] + [(99, far)]
+    rows = [rows[k] for k in rng.permutation(len(rows))]
+    got = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).toPandas().set_index("vec_id")
+    assert got.n_links.to_dict() == {k: 34 for k in (*range(10, 40), *range(5))} | {99: 0}
+    assert got.component_id.to_dict() == {k: 0 for k in (*range(10, 40), *range(5))} | {99: 99}
+
+
+def test_cosine_at_the_bound_links(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.6, 0.8]), (3, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert near_vectors(df, cosine=0.6).toPandas().set_index("vec_id").n_links.to_dict() == {1: 1, 2: 2, 3: 1}
+    assert near_vectors(df, cosine=0.8000001).toPandas().n_links.sum() == 0
+
+
+def test_many_dimensions_are_one_job(spark):
+    rows = [(k, [1.0] * (1 + k % 40)) for k in range(120)]
+    got = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).toPandas().set_index("vec_id")
+    assert set(got.n_links) == {2} and all(got.component_id[k] == k % 40 for k in got.index)
+
+
 def test_odd_vectors_link_with_nothing(spark):
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, []), (6, [float("nan"), 1.0]), (7, [float("inf"), 0.0]), (8, [None, 1.0]), (9, [1.0, 0.0, 0.0]), (10, [1e-200, 0.0]), (None, [1.0, 0.0]), (2, [0.0, 5.0])]
     got = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).toPandas()
@@ -141,7 +235,7 @@ def test_only_similar_sets_are_copies(spark):
 
 
 def test_copies_within_the_radius_by_all_pairs(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "SHIFTED", 4)  # so that buckets of both kinds occur
+    monkeypatch.setattr(simhash, "PAIRS", 7)  # so that comparisons go in many steps
     monkeypatch.setattr(simhash, "GROUP", 50)
     rng = random.Random(3)
     texts = {}

@@ -9,25 +9,62 @@ from talkloom.llm.topk import quantised, top_k
 from talkloom.llm.toxicity import Reader, fit_toxicity, in_held_out, units_of, without_toxic
 
 
-def by_hand(queries, candidates, k):
+def by_hand(rows, k):
+    """Of (row, id, whole vector): each query row's best others, as (id, score)."""
     out = {}
-    for q, a in queries:
-        scored = sorted((-sum(int(x) * int(y) for x, y in zip(a, b)), i) for i, b in candidates if i != q and len(a) == len(b))
-        out[q] = [(i, -s) for s, i in scored[:k]]
-    return out
+    for q, i, a in rows:
+        if i % 50 == 0:
+            scored = sorted((-sum(int(x) * int(y) for x, y in zip(a, b)), j, r) for r, j, b in rows if r != q and len(a) == len(b))
+            out.setdefault(i, []).append([(j, -s) for s, j, _ in scored[:k]])
+    return {i: sorted(v) for i, v in out.items()}
 
 
-@pytest.mark.parametrize("scale", [256.0, 1.0, 1e9])
-def test_top_k_is_exact(spark, scale):
+def searched(vectors, k=5, **how):
+    found = topk.search_blocks(vectors.where("vec_id % 50 = 0"), vectors, k, **how)
+    assert found.where("tested is null and vec_id is null").count() == 0
+    got = {}
+    ranked = top_k(vectors.where("vec_id % 50 = 0"), vectors, k, **how).toPandas()
+    for q, g in ranked.groupby("query_id"):
+        got[q] = [(int(r.vec_id), int(r.score)) for r in g.sort_values(["rank", "vec_id"]).itertuples()]
+    return got
+
+
+@pytest.mark.parametrize("scale, block", [(256.0, 64), (1.0, 8192), (1e9, 40)])
+def test_top_k_is_exact(spark, scale, block):
     rng = np.random.default_rng(4)
     rows = [(k, rng.normal(size=6).tolist()) for k in range(300)] + [(1000 + k, [0.5] * 6) for k in range(20)] + [(2000 + k, rng.normal(size=3).tolist()) for k in range(3)]
     df = spark.createDataFrame([(i, v, "clash") for i, v in rows], "vec_id long, embedding array<double>, rank string").repartition(3)
-    vectors = quantised(df, scale)
-    found = top_k(vectors.where("vec_id % 50 = 0"), vectors, 5, block=64, pivots=4).toPandas()
-    whole = [(i, np.floor(np.array(v) * scale)) for i, v in rows]
-    want = by_hand([r for r in whole if r[0] % 50 == 0], whole, 5)
-    got = {q: [(r.vec_id, r.score) for r in g.sort_values("rank").itertuples()] for q, g in found.groupby("query_id")}
-    assert got == want and len(got[2000]) == 2
+    got = searched(quantised(df, scale), block=block)
+    want = by_hand([(n, i, np.floor(np.array(v) * scale)) for n, (i, v) in enumerate(rows)], 5)
+    assert got == {i: v[0] for i, v in want.items()} and len(got[2000]) == 2
+
+
+def test_repeated_ids_are_rows_of_their_own(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k % 40 * 10, rng.normal(size=4).round(2).tolist()) for k in range(80)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2)
+    vectors = quantised(df)
+    found = top_k(vectors.where("vec_id % 50 = 0"), vectors, 5).toPandas()
+    assert found.groupby(["query_id", "rank"]).size().eq(2).all() and set(found["rank"]) == {1, 2, 3, 4, 5}
+    want = by_hand([(n, i, np.floor(np.array(v) * 256)) for n, (i, v) in enumerate(rows)], 5)
+    for i, both in want.items():
+        assert sorted(found[found.query_id == i][["vec_id", "score"]].apply(tuple, axis=1)) == sorted(x for one in both for x in one)
+
+
+def test_scores_beyond_a_long(spark):
+    rows = [(0, [1e12, 0.0]), (1, [3e12, 0.0]), (2, [2e12, 0.0]), (3, [-5e12, 1.0]), (4, [1e307, 0.0])]
+    vectors = quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    found = top_k(vectors.where("vec_id = 0"), vectors, 5).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in found] == [(1, 2**63 - 1), (2, 2**63 - 1), (3, -(2**63))]  # 256 * 1e307 is no number
+    assert quantised(spark.createDataFrame([(1, [1e17, -0.3])], "vec_id long, embedding array<double>")).first().vector == [2.56e19, -77.0]
+
+
+def test_bounds_spare_most_candidates(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(40, 64))
+    rows = [(k, (centres[k % 40] + 0.6 * rng.normal(size=64)).tolist()) for k in range(1200)]
+    vectors = quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert topk.tested_share(vectors.where("vec_id % 50 = 0"), vectors, 5) < 0.3
 
 
 def test_unsound_vectors_take_no_part(spark):
@@ -38,7 +75,6 @@ def test_unsound_vectors_take_no_part(spark):
     found = top_k(vectors.where("vec_id % 50 = 0"), vectors, 5).collect()
     assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in found] == [(0, 1, 6, 0)]
     assert top_k(vectors.limit(0), vectors.limit(0), 5).count() == 0
-    assert topk.PIVOTS > 1
 
 
 WORDS = "the quick brown fox jumps over a lazy dog while rain falls on green hills and birds sing in trees by quiet water".split()

@@ -195,7 +195,7 @@ def test_copies_are_compared_once(spark):
 
 
 def test_cosine_at_the_bound_links(spark):
-    rows = [(1, [1.0, 0.0]), (2, [0.6, 0.8]), (3, [0.0, 1.0])]
+    rows = [(1, [1.0, 0.0]), (2, [3.0, 4.0]), (3, [0.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     assert near_vectors(df, cosine=0.6).toPandas().set_index("vec_id").n_links.to_dict() == {1: 1, 2: 2, 3: 1}
     assert near_vectors(df, cosine=0.8000001).toPandas().n_links.sum() == 0

@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -5,7 +6,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from talkloom.llm.mixing import mix_sources, source_rates
+from talkloom.llm.mixing import _places_below, mix_sources, poisson_table, source_rates
 from talkloom.llm.sharding import ROUNDS, _sides, permuted, shard_rows
 
 DOCS = "doc_id long, text string, source string, slot string, shard int"
@@ -53,6 +54,18 @@ def test_shards_are_even_and_gapless_with_odd_rows(spark):
     assert got[got.doc_id.isna()]["size"].tolist() == [1, 1, 1]
 
 
+def test_row_numbers_give_shard_and_slot(spark):
+    rows = [(k * 7 % 101, f"text {k}", "a", "", 0) for k in range(101)] + [(None, "é", "a", "", 0), (3, "again", "a", "", 0)]
+    got = shard_rows(spark.createDataFrame(rows, DOCS).repartition(4), 5, seed=3).toPandas()
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, zlib.crc32(r[1].encode())))
+    want = []
+    for number, (doc, text, *_) in enumerate(order):
+        place = permute_by_hand(number, len(rows), 3)
+        want.append((-1 if doc is None else doc, len(text.encode()) + 1, zlib.crc32(text.encode()), place % 5, place // 5, number))
+    found = got.fillna({"doc_id": -1})[["doc_id", "size", "text_crc32", "shard", "slot", "row_number"]].astype(int)
+    assert sorted(map(tuple, found.values.tolist())) == sorted(want)
+
+
 def test_shards_dont_depend_on_partitioning(spark):
     rows = spark.createDataFrame([(k, f"t{k}", "a", "", 0) for k in range(200)], DOCS)
     a, b = (shard_rows(rows.repartition(n), 5).select("doc_id", "shard", "slot").toPandas().sort_values("doc_id").values.tolist() for n in (2, 7))
@@ -86,3 +99,34 @@ def test_replication_of_odd_rows(spark):
     twins = got[got.doc_id == 1].groupby("copy").size()
     assert set(twins) <= {2}  # rows that repeat an id get equal counts
     assert mix_sources(docs, weights={}).count() == 0
+
+
+@pytest.mark.parametrize("rate", [0.0, 1e-9, 0.3, 1.0, 7.5, 40.0, 3000.0, 1e7])
+def test_poisson_tables(spark, rate):
+    start, cdf = poisson_table(rate)
+    assert len(cdf) <= 18 * math.sqrt(rate) + 64 and cdf[-1] == pytest.approx(1) and (np.diff(cdf) >= 0).all()
+    chances = np.diff(np.r_[0.0, cdf])
+    counts = start + np.arange(len(cdf))
+    assert (chances * counts).sum() == pytest.approx(rate, rel=1e-9, abs=1e-12)
+    assert (chances * (counts - rate) ** 2).sum() == pytest.approx(rate, rel=1e-6, abs=1e-9)
+    if 0 < rate < 50:
+        exact = np.cumsum([math.exp(-rate + k * math.log(rate) - math.lgamma(k + 1)) for k in counts])
+        assert np.abs(exact - cdf).max() < 1e-13
+    numbers = [0.0, 1e-300, 0.1, 0.5, float(cdf[0]), float(cdf[len(cdf) // 2]), 1 - 2.0**-52]
+    rows = spark.createDataFrame([(u, cdf.tolist()) for u in numbers], "u double, cdf array<double>")
+    assert [r[0] for r in rows.select(_places_below(F.col("cdf"), F.col("u"))).collect()] == [int((cdf < u).sum()) for u in numbers]
+
+
+def test_very_large_rates(spark, monkeypatch):
+    from talkloom.llm import mixing
+
+    rows = [(k, "x" * 99_999, "big", "c", 1) for k in range(40)] + [(100, "", "small", "c", 1), (101, "", None, "c", 1)]
+    docs = spark.createDataFrame(rows, DOCS)
+    weights = {"big": 0.5, "small": 0.25}
+    rate = {r.source: r.rate for r in source_rates(docs, weights).collect()}["small"]
+    assert rate > 1e6
+    counts = []
+    for most in (mixing.BROADCAST_NUMBERS, 10):  # by broadcast, and by key
+        monkeypatch.setattr(mixing, "BROADCAST_NUMBERS", most)
+        counts.append({r.source: r["count"] for r in mix_sources(docs, weights).groupBy("source").count().collect()})
+    assert counts[0] == counts[1] and abs(counts[0]["small"] - rate) < 6 * math.sqrt(rate) and None not in counts[0]

@@ -1,11 +1,14 @@
 import gzip
 import hashlib
 import io
+import random
 
 import pytest
 
 from talkloom.llm.html_text import extract_main_text, main_text, parse
-from talkloom.llm.warc import arc_archive, arc_header, convert_arc, pages_to_arc, parse_arc, parse_warc, read_warc, warc_round_trip, with_revisits, write_warc
+from talkloom.llm.warc import (
+    Pieces, arc_archive, arc_header, convert_arc, gzip_member, pages_to_arc, parse_arc, parse_warc, read_warc, unpacked, warc_round_trip, with_revisits, write_warc,
+)
 
 
 @pytest.mark.parametrize("version", [1, 2])
@@ -42,6 +45,40 @@ def test_round_trip_of_odd_pages(spark):
         assert (r.payload_bytes, r.payload_digest) == (len(payload), hashlib.sha256(payload).hexdigest())
 
 
+def test_ids_are_text_of_any_kind(spark):
+    rows = [("", "u", "a" * 200), (None, "u", "b" * 200), ("x\r\ny: z é+%", "u", "c" * 200), ("0", "u", "c" * 200)]
+    got = warc_round_trip(spark.createDataFrame(rows, "page_id string, url string, html string")).toPandas()
+    seen = {(r.page_id, r.record_type, r.refers_to) for r in got.astype(object).where(got.notna(), None).itertuples()}
+    assert seen == {("", "response", None), (None, "response", None), ("0", "response", None), ("x\r\ny: z é+%", "revisit", "0")}
+
+
+def test_large_pages(spark, tmp_path):
+    rng = random.Random(1)
+    noise = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=3_000_000))
+    pages = [(k, "u", noise[k:] * (7 if k == 1 else 1)) for k in range(4)]  # one of 21 MB, in a member of over 16 MB
+    got = warc_round_trip(spark.createDataFrame(pages, "page_id long, url string, html string")).toPandas().set_index("page_id")
+    for k, _, html in pages:
+        assert (got.payload_bytes[k], got.payload_digest[k]) == (len(html), hashlib.sha256(html.encode()).hexdigest())
+    assert gzip.decompress(gzip_member(b"ab" * 9_000_000)) == b"ab" * 9_000_000
+
+
+def test_pieces_and_members():
+    data = [bytes([65 + k]) * (k * 1000) for k in range(30)]
+    packed = b"".join(map(gzip_member, data))
+    for fed, most in ((1, 7), (100, 1000), (1 << 14, 1 << 20)):
+        assert b"".join(unpacked(packed, fed, most)) == b"".join(data)
+    file = Pieces(iter([b"ab", b"c\nd", b"", b"never"]))
+    assert (file.readline(), file.read(1), file.read(5)) == (b"abc\n", b"d", b"")
+
+
+def test_equal_rows_have_identifiers_of_their_own(spark):
+    pages = spark.createDataFrame([(1, "u", "x" * 200)] * 5, "page_id long, url string, html string").repartition(2)
+    records = convert_arc(pages_to_arc(pages))
+    assert records.select("record_id").distinct().count() == 5
+    kinds = [r.record_type for r in warc_round_trip(pages).collect()]
+    assert sorted(kinds) == ["response"] + ["revisit"] * 4
+
+
 def test_no_pages(spark):
     empty = spark.createDataFrame([], PAGES)
     assert warc_round_trip(empty).count() == 0 and extract_main_text(empty).count() == 0
@@ -51,8 +88,12 @@ def test_written_files_are_warc(spark, tmp_path):
     pages = spark.createDataFrame([(k, f"http://h/{k}", "<p>" + "z" * 150 if k % 2 else f"<p>{k}" * 40, None, None) for k in range(6)], PAGES)
     records = convert_arc(pages_to_arc(pages, version=2))
     path = str(tmp_path / "warc")
-    write_warc(with_revisits(records), path, records_a_file=2)
-    found = [f for file in sorted((tmp_path / "warc").glob("*.gz")) for f in parse_warc(io.BytesIO(gzip.decompress(file.read_bytes())))]
+    write_warc(with_revisits(records.coalesce(1)), path, file_bytes=600)
+    files = sorted((tmp_path / "warc").glob("*.warc.gz"))
+    each = [list(parse_warc(io.BytesIO(gzip.decompress(file.read_bytes())))) for file in files]
+    assert len(files) > 1 and all([f["warc-type"] == "warcinfo" for f, _ in one] == [True] + [False] * (len(one) - 1) for one in each)
+    assert all(file.read_bytes().count(b"\x1f\x8b\x08") == len(one) for file, one in zip(files, each))  # a member a record
+    found = [f for one in each for f in one[1:]]
     assert len(found) == 6 and sum(f["warc-type"] == "revisit" for f, _ in found) == 2
     responses = {f["warc-record-id"] for f, _ in found if f["warc-type"] == "response"}
     for fields, block in found:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,33 +15,58 @@ from talkloom.llm.support import small_batches, table
 
 # Elements of HTML by how they are read.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title svg math object canvas audio video select".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img label nobr".split())
-ENDS_PARAGRAPH = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
-CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}, "option": {"option"}}
+RAW = frozenset("script style noscript iframe noembed noframes textarea title xmp".split())
+#: What browsers show only where they can't show something else, and what they never show as text.
+FALLBACK = frozenset("object canvas audio video svg template select datalist map annotation annotation-xml".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img label nobr "
+    "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mmultiscripts mstyle mpadded mphantom menclose semantics".split()
+)
+ENDS_PARAGRAPH = frozenset(
+    "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split()
+)
+CLOSED_BY = {
+    "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
+    "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}, "option": {"option"},
+}
 SCOPES = frozenset("ul ol dl table html body".split())
-TEXT_BLOCKS = frozenset("h1 h2 h3 h4 h5 h6 p pre blockquote ul ol dl table figure".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+TEXT_BLOCKS = HEADINGS | frozenset("p pre blockquote ul ol dl table figure".split())
 # Elements, roles and words in class or id of what is no article.
-NOT_ARTICLE = frozenset("nav footer aside form button input menu dialog head fieldset legend map datalist".split())
+NOT_ARTICLE = frozenset("nav footer aside button input menu dialog head legend".split())
+MAYBE_ARTICLE = frozenset("form fieldset".split())
 NOT_ARTICLE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-COMMENT_WORDS = frozenset("comment comments commentlist disqus respond replies discussion".split())
-OTHER_WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs footer sidebar cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations widget widgets pagination pager toolbar masthead copyright skip".split())
+COMMENT_WORDS = frozenset("comment comments commentlist disqus respond replies".split())
+OTHER_WORDS = frozenset(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs footer sidebar cookie cookies consent gdpr "
+    "notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations widget widgets pagination "
+    "pager toolbar masthead copyright skip".split()
+)
 HEADER_WORDS = frozenset("header topbar".split())
-
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>|<[a-zA-Z!?/][^>]*\Z""", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+DISCUSSION = "discussion"
+#: States in a class name, which say what a block has or lacks and not what it is: comments-open, has-sidebar.
+STATES = re.compile(r"(?:^|\s)(?:has|no|with|without)-\S+|\S+-(?:open|closed|enabled|disabled|on|off)(?=\s|$)", re.I)
+
+TAG = re.compile(r"""(/?)([a-zA-Z][^\s/>]*+)((?:"[^"]*+"|'[^']*+'|[^>"'])*+)>""")
+#: A tag whose quotes don't match ends at the next bracket.
+PLAIN_TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?""", re.I)
 WORD = re.compile(r"[a-z]+")
-HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
+HIDDEN = re.compile(r"display\s*+:\s*+none|visibility\s*+:\s*+hidden")
 
 
 class Node:
-    """A block element. parts are, in order, pieces of raw text, child nodes, and booleans that open or close a link."""
+    """A block element. parts are, in order, pieces of raw text, child nodes, and booleans that open or close a link.
+
+    drop: no part of the article; kind: for what is unsure until sizes are known, why it may be none.
+    """
 
-    __slots__ = ("tag", "parent", "parts", "drop", "weak", "chars", "tags", "link_chars", "link_tags", "density", "density_sum", "holds_article")
+    __slots__ = ("tag", "parent", "parts", "drop", "kind", "chars", "tags", "link_chars", "link_tags", "density", "density_sum", "holds_article", "holds_talk")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent, self.parts = tag, parent, []
-        self.drop = self.weak = self.holds_article = False
+        self.drop = self.holds_article = self.holds_talk = False
+        self.kind = ""
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.density_sum = 0.0
 
@@ -48,51 +74,90 @@ class Node:
         return (p for p in self.parts if type(p) is Node)
 
 
+def _words(value: str) -> set[str]:
+    return set(WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", STATES.sub(" ", value)).lower()))
+
+
 def _mark(node: Node, attributes: str, inside: bool) -> None:
-    """Whether the element is no part of an article: surely (drop), or unless it turns out to hold one (weak)."""
+    """What kind, role, style and names say of the element. inside: an article or main part is around it.
+
+    Headings are never told by their names, and inside an article neither are sections and paragraphs by their ids,
+    which are targets of links there.
+    """
     if node.tag in NOT_ARTICLE or node.tag == "header" and not inside:
-        node.drop = True
+        node.kind = "kind"
+    elif node.tag in MAYBE_ARTICLE:
+        node.kind = "weak"
     if not attributes or "=" not in attributes and "hidden" not in attributes:
         return
     words: set[str] = set()
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
-        if name in ("class", "id"):
-            words.update(WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
-        elif name == "role":
-            node.drop |= value.lower() in NOT_ARTICLE_ROLES
-        elif name == "style":
-            node.drop |= bool(HIDDEN.search(value.lower()))
-        elif name == "hidden" or value.lower() == "true":
+        if name == "class" or name == "id" and not (inside and node.tag in ("section", "p")):
+            words |= _words(value)
+        elif name == "id" and DISCUSSION in _words(value):
+            words.add(DISCUSSION)
+        elif name == "role" and value.lower() in NOT_ARTICLE_ROLES:
+            node.kind = "weak" if value.lower() == "form" else "kind"
+        elif name == "style" and HIDDEN.search(value.lower()):
+            node.drop = True
+        elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             node.drop = True
+    if node.tag in HEADINGS:
+        return
     if words & COMMENT_WORDS:
-        node.drop = True
+        node.kind = "talk"
+    elif DISCUSSION in words:
+        node.kind = node.kind or DISCUSSION
     elif words & OTHER_WORDS or words & HEADER_WORDS and not inside:
-        node.weak = True
+        node.kind = node.kind or "weak"
 
 
 def parse(page: str) -> Node:
-    """The tree of block elements. Unclosed and misplaced tags are read as browsers do in the common cases."""
+    """The tree of block elements. Unclosed and misplaced tags are read as browsers do in the common cases.
+
+    One pass: what is looked for in vain once (a raw element's end tag, a matching quote) isn't looked for again.
+    """
     root = Node("body", None)
     node, links, at = root, 0, 0
     inside = 0
     size = len(page)
+    unended: set[str] = set()
+    opened: Counter = Counter()
+    tag_end = TAG
     while at < size:
-        m = TOKEN.search(page, at)
-        text = page[at : m.start()] if m else page[at:]
+        start = page.find("<", at)
+        while start >= 0 and not (page[start + 1 : start + 2].isalpha() or page[start + 1 : start + 2] in ("!", "?", "/") and start + 1 < size):
+            start = page.find("<", start + 1)
+        text = page[at:start] if start >= 0 else page[at:]
         if text:
             node.parts.append(text)
-        if not m:
+        if start < 0:
             break
-        at = m.end()
-        closing, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if not tag:
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = end + 3 if end >= 0 else size
             continue
-        tag = tag.lower()
+        m = tag_end.match(page, start + 1)
+        if m is None:
+            end = page.find(">", start + 1)
+            if end < 0:
+                break  # the page's end cuts a tag off
+            if page[start + 1] in "!?" or not (m := PLAIN_TAG.match(page, start + 1)):
+                at = end + 1
+                continue
+            tag_end = PLAIN_TAG
+        at = m.end()
+        closing, tag, attributes = m[1], m[2].lower(), m[3]
         if tag in RAW:
-            if not closing and not attributes.rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else size
+            if not closing and not attributes.rstrip().endswith("/") and tag not in unended:
+                end = re.compile(rf"</{re.escape(tag)}\b[^>]*+>", re.I).search(page, at)
+                if end:
+                    at = end.end()
+                elif tag in ("script", "style"):
+                    at = size
+                else:
+                    unended.add(tag)
             continue
         if tag in INLINE:
             if tag == "a":
@@ -107,23 +172,23 @@ def parse(page: str) -> Node:
         if tag in ("html", "body"):
             continue
         if closing:
-            up = node
-            while up is not root and up.tag != tag:
-                up = up.parent
-            if up is not root:
+            if opened[tag]:
                 if links:
                     node.parts.append(False)
                     links = 0
-                while node is not up:
+                while node.tag != tag:
                     inside -= node.tag in ("article", "main")
+                    opened[node.tag] -= 1
                     node = node.parent
                 inside -= node.tag in ("article", "main")
+                opened[tag] -= 1
+                node.drop |= tag in FALLBACK  # one that is never closed holds what follows it
                 node = node.parent
             elif tag == "p":
                 node.parts.append(Node("p", node))
             continue
         ends = {"p"} if tag in ENDS_PARAGRAPH else CLOSED_BY.get(tag)
-        if ends:
+        if ends and any(opened[x] for x in ends):
             up, found = node, None
             while up is not root and up.tag not in SCOPES and not (tag in ENDS_PARAGRAPH and up.tag in ("td", "th", "button")):
                 if up.tag in ends:
@@ -134,7 +199,10 @@ def parse(page: str) -> Node:
                 if links:
                     node.parts.append(False)
                     links = 0
-                node = found.parent
+                while node is not found.parent:
+                    inside -= node.tag in ("article", "main")
+                    opened[node.tag] -= 1
+                    node = node.parent
         if tag in VOID:
             node.parts.append(Node(tag, node))
             continue
@@ -144,6 +212,7 @@ def parse(page: str) -> Node:
             child.parts.append(True)
         node.parts.append(child)
         node = child
+        opened[tag] += 1
         inside += tag in ("article", "main")
     return root
 
@@ -175,15 +244,32 @@ def _measure(root: Node) -> list[Node]:
                 node.link_chars += part.link_chars
                 node.tags += part.tags + 1
                 node.link_tags += part.link_tags
-                node.holds_article |= part.holds_article or part.tag in ("article", "main", "h1")
+                node.holds_article |= part.holds_article or part.tag in ("article", "main", "h1") and part.kind != "talk"
+                node.holds_talk |= part.holds_talk or part.kind == "talk" or part.tag in ("form", "textarea")
     return order
 
 
-def _drop_weak(root: Node, order: list[Node]) -> bool:
-    """Drops what its names say is no article, but for what holds one, or most of the text of a page that marks none."""
+def _drop_unsure(root: Node, order: list[Node]) -> bool:
+    """Drops what its kind or names say is no article.
+
+    But for what holds most of the text of a page that marks no article elsewhere (menus apart, whose text is links);
+    names and forms don't drop what holds an article, comments not what is most of the text, and a discussion has to
+    hold comments or a form.
+    """
     found = False
     for node in order:
-        if node.weak and not node.holds_article and (root.holds_article or node.chars <= 0.6 * root.chars):
+        if not node.kind:
+            continue
+        main = node.chars > 0.6 * root.chars and node.link_chars <= 0.3 * node.chars
+        if node.kind == "kind":
+            keep = main and not root.holds_article
+        elif node.kind == "talk":
+            keep = main and (node.holds_article or node.tag in ("article", "main"))
+        elif node.kind == DISCUSSION:
+            keep = not node.holds_talk
+        else:
+            keep = node.holds_article or node.tag in ("article", "main") or main and (not root.holds_article or node.chars > 0.8 * root.chars)
+        if not keep:
             node.drop = found = True
     return found
 
@@ -242,7 +328,7 @@ def main_text(page: str | None) -> str:
         return ""
     root = parse(page)
     order = _measure(root)
-    if _drop_weak(root, order):
+    if _drop_unsure(root, order):
         for node in order:
             node.chars = node.tags = node.link_chars = node.link_tags = 0
         order = _measure(root)
@@ -258,7 +344,9 @@ def main_text(page: str | None) -> str:
             below = region
             while below.parent is not up:
                 below = below.parent
-            only = {id(c) for c in up.children() if id(c) in chosen or c is below or c.tag in TEXT_BLOCKS and c.link_chars <= 0.5 * c.chars or up.tag in ("article", "main") and c.link_chars <= 0.5 * c.chars}
+            known = up.tag in ("article", "main")
+            few_links = [c for c in up.children() if (known or c.tag in TEXT_BLOCKS) and c.link_chars <= 0.5 * c.chars]
+            only = chosen | {id(below)} | {id(c) for c in few_links}
             region = up
     lines = (" ".join(html.unescape(b).split()) for b in _blocks(region, only))
     return "\n".join(line for line in lines if line)

@@ -2,6 +2,7 @@ import gzip
 import hashlib
 import io
 import random
+import time
 
 import pytest
 
@@ -141,6 +142,45 @@ def test_broken_pages():
     assert parse("</div></p>").tag == "body"
 
 
+HOSTILE = ["<a", "<a ", '<a "', "<p x='>", "<title>", "<", "<!--", "</", "<a b=' c=\">", '<div class="a" ', "<div>", "<div><p>", "</x>", "<ul><li>", "<object>", "&", "<a>"]
+
+
+@pytest.mark.parametrize("piece", HOSTILE)
+def test_hostile_pages_take_linear_time(piece):
+    began = time.process_time()
+    main_text(piece * (300_000 // len(piece)) + "</x>" * 20_000)
+    assert time.process_time() - began < 5
+
+
+S = "This sentence is one of several that make the article long enough. "
+#: Pages marked by hand: what of them is the article.
+MARKED = [
+    (f"<form id=aspnetForm><div><h1>T</h1><p>{S * 3}</p></div><input name=x></form>", ["T", S * 3]),
+    (f"<form><p>{S}</p><p>{S}</p></form>", [S, S]),
+    (f"<article><p>{S}</p><object data=x><p>{S * 2}</p></article>", [S, S * 2]),
+    (f"<article><p>{S}</p><object data=x><p>no plug-in, sorry, get one for this to be seen</p></object><p>{S * 2}</p></article>", [S, S * 2]),
+    (f"<article><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> here. {S}</p><p>{S}</p></article>", ["So x=2 here. " + S, S]),
+    (f'<article><p>{S}</p><section id="discussion"><h2 id="sharing-data">Data</h2><p>{S}</p></section></article>', [S, "Data", S]),
+    (f'<article><p>{S}</p><section id="related-work"><h2>Related work</h2><p>{S}</p></section></article>', [S, "Related work", S]),
+    (f'<article><p>{S}</p><p>{S}</p><section id="discussion"><div class="comment"><p>{S}</p></div></section></article>', [S, S]),
+    (f'<article class="post comments-open"><p>{S}</p><p>{S}</p></article>', [S, S]),
+    (f'<article><h1>T</h1><p>{S * 4}</p><div class="newsletter"><form><p>Get our letter, every week, by mail</p></form></div></article>', ["T", S * 4]),
+    (f'<nav>{"<a href=/x>a long menu entry of the site, with words</a>" * 40}</nav><div><p>{S}</p><p>{S}</p></div>', [S, S]),
+    (f"<aside><p>{S}</p><p>{S}</p></aside>", [S, S]),
+    (f"<title>never closed<article><p>{S}</p><p>{S}</p></article>", [S, S]),
+    (f'<article><p title="a > b">{S}</p><p>{S}</p><img alt="x>y"></article>', [S, S]),
+    (f'<article><p>{S}</p><p>{S}</p></article><ol class="commentlist"><li><p>{S}</p></li></ol>', [S, S]),
+]
+
+
+@pytest.mark.parametrize("html, blocks", MARKED)
+def test_pages_marked_by_hand(html, blocks):
+    want = "\n".join(b.strip() for b in blocks)
+    got = main_text(html)
+    assert got.removeprefix("never closed\n") == want
+    assert main_text(page(html)).removeprefix("never closed\n") == want
+
+
 def test_extraction_keeps_rows(spark):
     rows = [(1, "u", page("<article>" + PARAGRAPHS + "</article>"), "c", "c"), (1, "u", None, None, None), (None, None, "<p>" + "long " * 100_000, None, None)]
     got = extract_main_text(spark.createDataFrame(rows, PAGES)).toPandas()

@@ -56,9 +56,18 @@ def is_braced(s: Column) -> Column:
     return s.startswith("{") & s.endswith("}")
 
 
+def json_objects(s: Column) -> Column:
+    """The JSON objects that s, in brackets, is a list of, as maps to raw values; null for anything else.
+
+    Keys may repeat and numbers be NaN or infinite, as the usual readers have it; quotes and commas are strict. In
+    brackets, nothing can follow an object unseen.
+    """
+    strict = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "true"}
+    return F.from_json(F.concat(F.lit("["), s, F.lit("]")), "array<map<string,string>>", strict)
+
+
 def is_one_json_object(s: Column) -> Column:
-    """Strictly one JSON object: the lenient parsers would pass over what follows it."""
-    return is_braced(s) & F.coalesce(F.json_array_length(F.concat(F.lit("["), s, F.lit("]"))) == 1, F.lit(False)) & F.try_parse_json(s).isNotNull()
+    return is_braced(s) & F.coalesce(F.size(json_objects(s)) == 1, F.lit(False))
 
 
 def transcript(line: Column) -> Column:
@@ -127,8 +136,9 @@ def is_tool_call(body: Column) -> Column:
     closed = (F.size(rows) >= 2) & strip(F.element_at(rows, -1)).startswith("```") & language.isin("", "unknown")
     inner = strip(F.array_join(F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 2, F.lit(0))), "\n"))
     payload = F.when(fenced, F.when(closed, inner)).otherwise(whole)
-    keys = F.arrays_overlap(F.json_object_keys(payload), F.array(*map(F.lit, TOOL_KEYS)))
-    return F.coalesce(is_one_json_object(payload) & keys, F.lit(False))
+    found = json_objects(F.when(is_braced(payload), payload))
+    keys = F.arrays_overlap(F.map_keys(found[0]), F.array(*map(F.lit, TOOL_KEYS)))
+    return F.coalesce((F.size(found) == 1) & keys, F.lit(False))
 
 
 def truncate_text(c: Column, limit: int = 180) -> Column:

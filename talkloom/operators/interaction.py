@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from talkloom.functions import text as T
 from talkloom.functions.fields import base_role
 from talkloom.functions.lexicon import BOUNDARY_CUES, BOUNDARY_LABEL, CLARIFY_CUES, CONSTRAINT_CUES, CONTEXT_CUES, FEEDBACK_CUES, GAPS, OTHER_TOPIC, QUOTE_LABELS, REQUEST_CUES, STRENGTHS, UNITS
-from talkloom.operators.ranking import top_k
+from talkloom.operators.ranking import number_rows, top_k
+from talkloom.session import checkpointed
 
 SALTS = 64
+#: Topics that are broadcast at most: a label and two numbers each.
+FEW_LABELS = 100_000
 BUCKETS = [name for name, _ in QUOTE_LABELS]
 
 
@@ -88,7 +91,8 @@ def interaction_summary(totals: DataFrame) -> DataFrame:
     per = lambda a, b: F.col(a) / F.greatest(F.lit(1), F.col(b))
     return totals.where("user_messages > 0").select(
         "conversations", "user_messages", "assistant_messages",
-        per("user_chars", "user_messages").alias("avg_user_len"), per("assistant_chars", "assistant_messages").alias("avg_assistant_len"),
+        per("user_chars", "user_messages").alias("avg_user_len"),
+        ((F.col("user_messages") + F.col("assistant_messages")) / F.greatest(F.lit(1), F.col("conversations"))).alias("avg_turns"),
         per("clarity_hits", "user_messages").alias("clarity_avg"), *(per(f"{n}_hits", "user_messages").alias(f"{n}_rate") for n in BUCKETS[1:4]),
         per("iteration_conversations", "conversations").alias("iteration_rate"), per("clarify_hits", "assistant_messages").alias("clarification_rate"),
     )
@@ -149,11 +153,17 @@ def boundary_quotes(features: DataFrame, top: int = 4) -> DataFrame:
 def topic_trends(items: DataFrame, scores: DataFrame, min_points: int = 6, least: float = 0.05, top: int = 4, key: str = "conv_id") -> DataFrame:
     """trend, rank, label, delta, early, recent, count: topics whose later half of conversations scores otherwise.
 
-    items needs the key, index, created and cluster_label; only time, index and score go into the windows.
+    items needs the key, index, created and cluster_label. Conversations are numbered by label and time over range
+    partitions, so a label that most of them have is the work of many tasks; a place within the label is the number
+    less the label's first.
     """
-    points = items.where("created is not null").select(key, "index", "created", F.coalesce("cluster_label", F.lit(OTHER_TOPIC)).alias("label")).join(scores.select(key, "score"), key)
-    order = Window.partitionBy("label").orderBy("created", "index")
-    halves = points.withColumn("n", F.row_number().over(order)).withColumn("count", F.count("*").over(Window.partitionBy("label"))).where(F.col("count") >= min_points)
+    label = F.coalesce("cluster_label", F.lit(OTHER_TOPIC)).alias("label")
+    dated = items.where("created is not null").select(key, "index", "created", label)
+    points = number_rows(dated.join(scores.select(key, "score"), key), ["label", "created", "index"], "place")
+    labels = points.groupBy("label").agg(F.min("place").alias("first"), F.count("*").alias("count")).where(F.col("count") >= min_points)
+    labels = checkpointed(labels)
+    labels = F.broadcast(labels) if labels.count() <= FEW_LABELS else labels
+    halves = points.join(labels, "label").withColumn("n", F.col("place") - F.col("first") + 1)
     early = F.col("n") <= F.floor(F.col("count") / 2)
     means = halves.groupBy("label").agg(F.avg(F.when(early, F.col("score"))).alias("early"), F.avg(F.when(~early, F.col("score"))).alias("recent"), F.max("count").alias("count"))
     delta = F.col("recent") - F.col("early")

@@ -21,9 +21,14 @@ def first_seen(df: DataFrame, partition: list[str], order: list[Column]) -> Data
     return top_k(df, partition, order, 1, "__first").drop("__first")
 
 
-def number_rows(df: DataFrame, order: list[str], name: str = "index") -> DataFrame:
-    """df with its rows' places from 1 in the order: range partitions, and offsets from their row counts."""
-    ordered = checkpointed(df.repartitionByRange(*order).sortWithinPartitions(*order))
+def number_rows(df: DataFrame, order: list[str | Column], name: str = "index") -> DataFrame:
+    """df with its rows' places from 1 in the order: range partitions, and offsets from their row counts.
+
+    Rows that tie in the order are dealt over partitions, too, by a number of their own.
+    """
+    spread = [*order, "__spread"]
+    ranged = df.withColumn("__spread", F.monotonically_increasing_id()).repartitionByRange(*spread)
+    ordered = checkpointed(ranged.sortWithinPartitions(*spread).drop("__spread"))
     placed = ordered.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
     starts, total = [], 0
     for part, n in sorted((r[0], r[1]) for r in placed.groupBy("__part").count().collect()):  # a row per partition

@@ -7,7 +7,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from talkloom.operators.ranking import top_k
+from talkloom.operators.joins import join_by_key
+from talkloom.operators.ranking import number_rows, top_k
+from talkloom.session import checkpointed
 
 
 def search(items: DataFrame, texts: DataFrame | None, query: str) -> DataFrame:
@@ -19,12 +21,26 @@ def search(items: DataFrame, texts: DataFrame | None, query: str) -> DataFrame:
     return joined.select(*items.columns)
 
 
+#: Queries that are broadcast at once; each is a short text.
+QUERIES = 2000
+
+
 def search_many(items: DataFrame, texts: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, file for each query (query_id, query): one scan of the items serves all; the queries are broadcast,
-    so they should be few thousands."""
+    """query_id, file for each query (query_id, query) whose words are all found in an item, see search().
+
+    The items are scanned once for every QUERIES queries, which are broadcast.
+    """
+    hay = items.join(texts.select("file", "search_text"), "file", "left")
+    parts = (F.lower("title"), F.lower(F.array_join("keywords", " ")), F.lower("snippet"), F.col("search_text"))
+    hay = hay.select("file", F.concat_ws("\n", *parts).alias("hay"))
+    blocks = max(1, -(-queries.count() // QUERIES))
     words = queries.select("query_id", F.filter(F.split(F.lower("query"), r"\s+"), lambda w: w != "").alias("words"))
-    hay = items.join(texts.select("file", "search_text"), "file", "left").select("file", F.concat_ws("\n", F.lower("title"), F.lower(F.array_join("keywords", " ")), F.lower("snippet"), "search_text").alias("hay"))
-    return hay.join(F.broadcast(words), F.forall("words", lambda w: F.contains(F.col("hay"), w))).select("query_id", "file")
+    found = None
+    for block in range(blocks):
+        some = words.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+        met = hay.join(F.broadcast(some), F.forall("words", lambda w: F.contains(F.col("hay"), w))).select("query_id", "file")
+        found = met if found is None else found.union(met)
+    return found
 
 
 def by_min_messages(items: DataFrame, n: int) -> DataFrame:
@@ -63,26 +79,64 @@ def filter_items(items: DataFrame, texts: DataFrame | None = None, query: str =
     return search(found, texts, query) if query.strip() else found
 
 
+def _item_order(by: str) -> list[Column]:
+    orders = {"updated": F.desc_nulls_last("updated"), "created": F.asc_nulls_last("created"), "messages": F.desc("messages")}
+    return [orders[by], F.asc("index")]
+
+
 def sort_items(items: DataFrame, by: str = "updated") -> DataFrame:
     """By updated (latest first), created (earliest first) or messages (most first); no date last, ties by index."""
-    order = {"updated": F.desc_nulls_last("updated"), "created": F.asc_nulls_last("created"), "messages": F.desc("messages")}
-    return items.orderBy(order[by], "index")
+    return items.orderBy(*_item_order(by))
+
+
+def item_places(items: DataFrame, by: str = "updated", name: str = "place") -> DataFrame:
+    """items with the place, from 1, that each has in the order of sort_items()."""
+    return number_rows(items, _item_order(by), name)
+
+
+#: Items that share a keyword of at most so many are paired directly.
+RARE = 32
+
+
+def _subsets(words: str) -> Column:
+    """All non-empty subsets of an array of a few words, each in the array's order."""
+    n = F.size(words)
+    masks = F.when(n > 0, F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), n) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(masks, lambda m: F.filter(words, lambda _, i: F.call_function("shiftright", m, i).bitwiseAND(1) == 1))
 
 
 def similar(items: DataFrame, k: int = 5, key: str = "conv_id") -> DataFrame:
-    """key, other, score, rank: each item's most similar others by the Jaccard index of their keywords.
+    """key, other, score, rank: each item's k most similar others by the Jaccard index of their keywords, ties by index.
 
-    Items meet on shared keywords only; a keyword that many items share is split by the skew join. Item by item, the
-    pair is counted once and then mirrored.
+    No group of items is paired with itself. An item and one of its k best share either a keyword that RARE items have
+    at most, and meet there; or they share frequent keywords alone. Let T be those: among the items that hold T and are
+    as many words large as the other, the other is one of the first k + 1 by index, as each before it is at least as
+    similar. So for each set T of frequent keywords and each size, the first k + 1 items are all that can matter.
+    Items hold a few keywords, so sets of them are few; scores are computed from the whole keyword lists.
     """
-    words = items.select(key, "index", F.explode(F.array_distinct("keywords")).alias("word"))
-    sizes = items.select(key, F.size(F.array_distinct("keywords")).alias("n"))
-    a = words.select(F.col(key).alias("a"), F.col("index").alias("ia"), "word")
-    b = words.select(F.col(key).alias("b"), F.col("index").alias("ib"), "word")
-    shared = a.join(b, "word").where("ia < ib").groupBy("a", "ia", "b", "ib").agg(F.count("*").alias("both"))
-    sized = shared.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b").withColumn("score", F.col("both") / (F.col("na") + F.col("nb") - F.col("both")))
-    each = sized.select("a", "b", "ib", "score").union(sized.select("b", "a", "ia", "score")).toDF(key, "other", "other_index", "score")
-    return top_k(each, [key], [F.desc("score"), F.asc("other_index")], k).select(key, "other", "score", "rank")
+    told = items.select(F.col(key).alias("a"), "index", F.array_sort(F.array_distinct("keywords")).alias("words"))
+    told = checkpointed(told.where(F.size("words") > 0))
+    each = told.select("a", "index", "words", F.explode("words").alias("word"))
+    counts = checkpointed(each.groupBy("word").agg(F.count("*").alias("n")).withColumn("df", F.col("n")))
+    known = checkpointed(join_by_key(each, counts, ["word"], "n", counts.agg(F.sum("n")).first()[0] or 0))
+
+    rare = known.where(F.col("df") <= RARE)
+    others = rare.select("word", F.col("a").alias("b"), F.col("index").alias("ib"), F.col("words").alias("theirs"))
+    met = rare.select("a", "words", "word").join(others, "word").drop("word")
+
+    frequent = known.where(F.col("df") > RARE).groupBy("a", "index", "words").agg(F.array_sort(F.collect_list("word")).alias("frequent"))
+    sets = checkpointed(frequent.select("a", "index", "words", F.explode(_subsets("frequent")).alias("set")))
+    held = sets.select("set", F.size("words").alias("size"), F.struct(F.col("index").alias("ib"), F.col("a").alias("b"), F.col("words").alias("theirs")).alias("item"))
+    first = top_k(held, ["set", "size"], [F.asc("item.ib")], k + 1, "place").groupBy("set").agg(F.collect_list("item").alias("items"))
+    sized = checkpointed(first.join(sets.groupBy("set").agg(F.count("*").alias("n")).where("n > 1"), "set"))
+    total = sized.agg(F.sum("n")).first()[0] or 0
+    listed = join_by_key(sets, sized, ["set"], "n", total).select("a", "words", F.explode("items").alias("item"))
+    met = met.union(listed.select("a", "words", "item.b", "item.ib", "item.theirs")).where(F.col("a") != F.col("b"))
+
+    both = F.size(F.array_intersect("words", "theirs"))
+    scored = met.withColumn("score", both / (F.size("words") + F.size("theirs") - both)).select("a", "b", "ib", "score").distinct()
+    best = top_k(scored, ["a"], [F.desc("score"), F.asc("ib")], k)
+    return best.select(F.col("a").alias(key), F.col("b").alias("other"), "score", "rank")
 
 
 def similar_to(items: DataFrame, key_value, k: int = 5, key: str = "conv_id") -> DataFrame:
@@ -98,7 +152,8 @@ def similar_to(items: DataFrame, key_value, k: int = 5, key: str = "conv_id") ->
 
 
 def random_item(items: DataFrame, seed: int) -> DataFrame:
-    return items.orderBy(F.rand(seed)).limit(1)
+    """One item, the same for a seed however the items are partitioned: that of the least hash of seed and file."""
+    return items.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), "file")), "file").limit(1)
 
 
 def attach_notes(items: DataFrame, annotations: DataFrame) -> DataFrame:

@@ -56,15 +56,19 @@ def han_vocab(docs: DataFrame, n_docs: int, min_df: int | None = None, max_df_ra
     return learned.union(domain).distinct()
 
 
-def segment_han(runs: DataFrame, vocab: DataFrame, keys: list[str], lexicon: Lexicon = DEFAULT) -> DataFrame:
+def segment_han(runs: DataFrame, vocab: DataFrame, keys: list[str], lexicon: Lexicon = DEFAULT, broadcast_words: int = 1_000_000) -> DataFrame:
     """keys, pos, term: each run cut from the left into the longest terms of the vocabulary (4, 3, 2 characters).
 
-    Candidates meet the vocabulary in a semi join; a fold over a run's hits, by place and falling length, then
+    Candidates meet the vocabulary in a semi join, where they lie if it has broadcast_words terms at most (some ten
+    bytes each); a fold over a run's hits, by place and falling length, then
     keeps those that start where the last one has ended or later.
     """
     at = F.explode(F.flatten(F.transform(F.array(F.lit(4), F.lit(3), F.lit(2)), lambda n: F.when(F.length("run") >= n, F.transform(F.sequence(F.lit(1), F.length("run") - n + 1), lambda i: F.struct(i.alias("pos"), (-n).alias("less"), F.substring(F.col("run"), i, n).alias("term")))).otherwise(F.array().cast("array<struct<pos:int,less:int,term:string>>")))))
     candidates = runs.select(*keys, at.alias("x")).select(*keys, "x.pos", "x.less", "x.term").where(~F.col("term").isin(lexicon.zh_stop))
-    hits = candidates.join(vocab.select("term"), "term", "left_semi").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "less", "term"))).alias("hits"))
+    words = vocab.select("term")
+    if broadcast_words and words.count() <= broadcast_words:
+        words = F.broadcast(words)
+    hits = candidates.join(words, "term", "left_semi").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "less", "term"))).alias("hits"))
     start = F.struct(F.lit(0).alias("free"), F.array().cast("array<struct<pos:int,less:int,term:string>>").alias("out"))
     kept = F.aggregate("hits", start, lambda s, x: F.when(x["pos"] >= s["free"], F.struct((x["pos"] - x["less"]).alias("free"), F.concat(s["out"], F.array(x)).alias("out"))).otherwise(s), lambda s: s["out"])
     return hits.select(*keys, F.explode(kept).alias("x")).select(*keys, F.col("x.pos").alias("pos"), F.col("x.term").alias("term"))
@@ -143,14 +147,16 @@ def topic_labels(docs: DataFrame, tf: DataFrame, keywords: DataFrame, n_docs: in
     return docs.select(key).join(ruled, key, "left").join(shared, key, "left").select(key, F.coalesce("rule", "shared", F.lit(OTHER_TOPIC)).alias("cluster_label"))
 
 
-def _interleaved(candidates: DataFrame, taken: DataFrame, limit: int, han_a_round: int) -> DataFrame:
-    """Rounds of so many Chinese terms and one other, each by falling df; terms already taken use up their turn."""
+def _interleaved(candidates: DataFrame, taken: DataFrame, limit: int, han_a_round: int, n_taken: int = 0) -> DataFrame:
+    """Rounds of so many Chinese terms and one other, each by falling df; terms already taken (n_taken at most) use up
+    their turn, so what fills limit places is among the first limit + n_taken of each side."""
+    depth = limit + n_taken
     order = [F.desc("df"), F.asc("first_index"), F.asc("first_pos")]
     n = F.col("n") - 1
     sides = []
     for han, share in ((True, han_a_round), (False, 1)):
-        side = candidates.where(is_chinese_term(F.col("term")) == han).orderBy(*order).limit(2 * limit + 100).withColumn("all", F.lit(1))
-        side = top_k(side, ["all"], order, 2 * limit + 100, "n")
+        side = candidates.where(is_chinese_term(F.col("term")) == han).orderBy(*order).limit(depth).withColumn("all", F.lit(1))
+        side = top_k(side, ["all"], order, depth, "n")
         sides.append(side.select("term", "df", F.floor(n / share).alias("round"), (F.pmod(n, F.lit(share)) if han else F.lit(han_a_round)).cast("int").alias("turn")))
     return sides[0].union(sides[1]).join(taken.select("term"), "term", "left_anti")
 
@@ -160,7 +166,7 @@ def hot_terms(df: DataFrame, n_docs: int, limit: int = 40, lexicon: Lexicon = DE
     good = df.where(is_good_keyword(F.col("term"), F.col("df"), n_docs, lexicon))
     pins = df.sparkSession.createDataFrame([(t, k) for k, t in enumerate(lexicon.pinned)], "term string, turn int")
     pinned = good.join(F.broadcast(pins), "term").select("term", "df", F.lit(-1).cast("long").alias("round"), "turn")
-    rest = _interleaved(good, pinned, limit, 2)
+    rest = _interleaved(good, pinned, limit, 2, len(lexicon.pinned))
     best = pinned.union(rest).orderBy("round", "turn").limit(limit).withColumn("all", F.lit(1))
     return top_k(best, ["all"], [F.asc("round"), F.asc("turn")], limit).select("rank", "term", F.col("df").alias("count"))
 

@@ -1,7 +1,7 @@
 """Inputs of the registered queries: the conversations table with every feature of real chats worked into its texts.
 
 The table's texts are plain words, so most rules would never fire. BODY adds lists, code, JSON, Chinese, citations and
-so on by fixed rules of conversation and turn; the same expression runs in both engines.
+so on to every text, by fixed rules of conversation and turn; the same expression runs in both engines.
 """
 
 from __future__ import annotations
@@ -12,14 +12,16 @@ from talkloom.functions.fields import archive_file_name
 
 OPEN, CLOSE = "\ue200", "\ue201"
 FENCE = "chr(96), chr(96), chr(96)"
+#: The text as it stands in a JSON string.
+ESCAPED = "replace(replace(replace(text, chr(92), concat(chr(92), chr(92))), chr(34), concat(chr(92), chr(34))), chr(10), concat(chr(92), 'n'))"
 BODY = f"""CASE (conv_id * 7 + turn * 3) % 10
   WHEN 0 THEN concat('1. ', text, chr(10), '- summary of risk: ', substring(text, 1, 40), chr(10), 'Is this right?')
   WHEN 1 THEN concat(text, chr(10), {FENCE}, 'python', chr(10), 'x = 1', chr(10), {FENCE}, chr(10), '* next step: budget 20 km')
-  WHEN 2 THEN '{{"search_query": "x", "response_length": "short"}}'
+  WHEN 2 THEN concat('{{"search_query": "', {ESCAPED}, '", "response_length": "short"}}')
   WHEN 3 THEN concat('请帮我比较投资组合和基金，预算 500 元，不超过 3 个月？', chr(10), text)
-  WHEN 4 THEN '{{"content_type": "audio_transcription", "text": "what should I do next?"}}'
+  WHEN 4 THEN concat('{{"content_type": "audio_transcription", "text": "what should I do next? ', {ESCAPED}, '"}}')
   WHEN 5 THEN concat('我无法访问实时数据，请提供更多信息。', text)
-  WHEN 6 THEN 'ok'
+  WHEN 6 THEN concat('ok', chr(10), text)
   WHEN 7 THEN concat('how do stocks, ETF and Python portfolio options work: ', text, chr(10), 'src/app.ts +12: changed')
   WHEN 8 THEN concat('{OPEN}cite turn0search1{CLOSE}太长，改成精简版本　再写 ', text)
   ELSE text END"""

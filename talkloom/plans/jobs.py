@@ -78,7 +78,7 @@ class Insights:
 
     @cached_property
     def vocab(self) -> DataFrame:
-        return terms.han_vocab(self.docs, self.n, lexicon=self.lexicon)
+        return checkpointed(terms.han_vocab(self.docs, self.n, lexicon=self.lexicon))
 
     @cached_property
     def tokens(self) -> DataFrame:
@@ -90,7 +90,7 @@ class Insights:
 
     @cached_property
     def df(self) -> DataFrame:
-        return terms.doc_freq(self.tf)
+        return checkpointed(terms.doc_freq(self.tf))
 
     @cached_property
     def keywords(self) -> DataFrame:

@@ -130,10 +130,9 @@ CTES = {
     "c_norm": f"SELECT *, {normalize('body')} AS clean FROM c_fx",
     "c_texts": f"SELECT conv_id, string_agg(clean, {NL} ORDER BY msg_pos) FILTER (clean <> '') AS text FROM c_norm GROUP BY conv_id",
     "c_docs": f"SELECT c.conv_id, idx, {strip_artifacts(f'title || {NL} || coalesce(text, chr(32))')} AS text FROM c_convs c LEFT JOIN c_texts t ON c.conv_id = t.conv_id",
-    "c_latin": "SELECT conv_id, idx, unnest(t) AS tok, generate_subscripts(t, 1) - 1 AS pos FROM (SELECT conv_id, idx, regexp_extract_all(substr(text, 1, 12000), '[A-Za-z][A-Za-z0-9_]+') AS t FROM c_docs)",
-    "c_allruns": f"SELECT conv_id, idx, unnest(t) AS run, generate_subscripts(t, 1) - 1 AS run_no FROM (SELECT conv_id, idx, regexp_extract_all(text, '{HAN_CLASS}') AS t FROM c_docs)",
-    "c_runs": f"SELECT conv_id, idx, unnest(t) AS run, generate_subscripts(t, 1) - 1 AS run_no FROM (SELECT conv_id, idx, regexp_extract_all(substr(text, 1, 12000), '{HAN_CLASS}') AS t FROM c_docs)",
-    "c_grams": "SELECT DISTINCT conv_id, substr(run, i, n) AS term FROM (SELECT conv_id, substr(run, 1, 180) AS run FROM c_allruns) r, (VALUES (2), (3), (4)) AS l(n), unnest(range(1, length(run) + 1)) AS p(i) WHERE i + n - 1 <= length(run)",
+    "c_latin": "SELECT conv_id, idx, unnest(t) AS tok, generate_subscripts(t, 1) - 1 AS pos FROM (SELECT conv_id, idx, regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_]+') AS t FROM c_docs)",
+    "c_runs": f"SELECT conv_id, idx, unnest(t) AS run, generate_subscripts(t, 1) - 1 AS run_no FROM (SELECT conv_id, idx, regexp_extract_all(text, '{HAN_CLASS}') AS t FROM c_docs)",
+    "c_grams": "SELECT DISTINCT conv_id, substr(run, i, n) AS term FROM c_runs r, (VALUES (2), (3), (4)) AS l(n), unnest(range(1, length(run) + 1)) AS p(i) WHERE i + n - 1 <= length(run)",
     "c_vocab": f"SELECT term FROM c_grams WHERE term NOT IN {words(L.ZH_STOPWORDS)} AND replace(term, substr(term, 1, 1), '') <> '' GROUP BY term HAVING count(*) >= CASE WHEN {N} < 80 THEN 2 ELSE 3 END AND count(*) <= floor({N} * 0.35) UNION SELECT unnest({list(L.DOMAIN_TERMS)})",
     "c_words": f"SELECT term FROM c_vocab WHERE term NOT IN {words(L.ZH_STOPWORDS)}",
     "c_seg(conv_id, idx, run_no, run, i, term)": f"""SELECT conv_id, idx, run_no, run, 1, CAST(NULL AS VARCHAR) FROM c_runs WHERE run NOT IN {words(L.ZH_STOPWORDS)}
@@ -168,11 +167,11 @@ CTES = {
       (clari / greatest(1, u) + const / greatest(1, u) + conte / greatest(1, u) + feedb / greatest(1, u) + CAST(u >= 2 AS INTEGER)) / 5.0 AS score FROM c_counts""",
     "c_totals": """SELECT (SELECT count(*) FROM c_counts) AS conversations, (SELECT count(*) FROM c_counts WHERE u >= 2) AS iteration_conversations, (SELECT count(*) FROM c_user) AS user_messages, (SELECT count(*) FROM c_bot) AS assistant_messages,
       (SELECT CAST(sum(chars) AS BIGINT) FROM c_user) AS user_chars, (SELECT CAST(sum(chars) AS BIGINT) FROM c_bot) AS assistant_chars, """ + ", ".join(f'(SELECT count(*) FROM c_user WHERE "{n}") AS {n}_hits' for n in ("clarity", "constraint", "context", "feedback")) + ", (SELECT count(*) FROM c_bot WHERE clarify) AS clarify_hits",
-    "c_summary": """SELECT conversations, user_messages, assistant_messages, user_chars / greatest(1, user_messages) AS avg_user_len, assistant_chars / greatest(1, assistant_messages) AS avg_assistant_len, clarity_hits / greatest(1, user_messages) AS clarity_avg, constraint_hits / greatest(1, user_messages) AS constraint_rate,
+    "c_summary": """SELECT conversations, user_messages, assistant_messages, user_chars / greatest(1, user_messages) AS avg_user_len, (user_messages + assistant_messages) / greatest(1, conversations) AS avg_turns, clarity_hits / greatest(1, user_messages) AS clarity_avg, constraint_hits / greatest(1, user_messages) AS constraint_rate,
       context_hits / greatest(1, user_messages) AS context_rate, feedback_hits / greatest(1, user_messages) AS feedback_rate, iteration_conversations / greatest(1, conversations) AS iteration_rate, clarify_hits / greatest(1, assistant_messages) AS clarification_rate FROM c_totals WHERE user_messages > 0""",
     "c_rates": "UNPIVOT (SELECT clarity_avg, constraint_rate, context_rate, feedback_rate, iteration_rate, clarification_rate FROM c_summary) ON COLUMNS(*) INTO NAME metric VALUE value",
     "c_buckets": "SELECT *, CAST(row_number() OVER (PARTITION BY bucket ORDER BY score DESC, text, conv_id, msg_pos) AS INTEGER) AS rank FROM (" + " UNION ALL ".join(f"""SELECT '{n}' AS bucket, {truncate('compact')} AS text, {"100 - char_len" if n == "vague" else "char_len"} AS score, conv_id, msg_pos FROM c_user WHERE "{n}" """ for n, _ in L.QUOTE_LABELS) + ") QUALIFY rank <= 60",
-    "c_search": f"SELECT c.conv_id, idx, file, title, coalesce(substr({strip('lower(t)')}, 1, 8000), '') AS search_text FROM c_convs c LEFT JOIN (SELECT conv_id, regexp_replace(string_agg(clean_code, {NL} ORDER BY msg_pos) FILTER (clean_code <> ''), '[\\s\\x{{3000}}]+', ' ', 'g') AS t FROM (SELECT *, {normalize('body', True)} AS clean_code FROM c_fx) GROUP BY conv_id) s ON c.conv_id = s.conv_id",
+    "c_search": f"SELECT c.conv_id, idx, file, title, coalesce({strip('lower(t)')}, '') AS search_text FROM c_convs c LEFT JOIN (SELECT conv_id, regexp_replace(string_agg(clean_code, {NL} ORDER BY msg_pos) FILTER (clean_code <> ''), '[\\s\\x{{3000}}]+', ' ', 'g') AS t FROM (SELECT *, {normalize('body', True)} AS clean_code FROM c_fx) GROUP BY conv_id) s ON c.conv_id = s.conv_id",
     "c_kwlist": "SELECT conv_id, list(term ORDER BY rank) AS keywords FROM c_kw GROUP BY conv_id",
     "c_items": f"SELECT c.*, coalesce(keywords, []) AS keywords, cluster_label, {strip('substr(coalesce(text, chr(32)), 1, 240)')} AS snippet FROM c_convs c LEFT JOIN c_texts t ON c.conv_id = t.conv_id LEFT JOIN c_kwlist k ON c.conv_id = k.conv_id JOIN c_topics p ON c.conv_id = p.conv_id",
     "c_stars": f"SELECT file, true AS starred, 'note ' || idx AS note FROM c_convs WHERE conv_id % 5 = 0",

@@ -11,7 +11,8 @@ from talkloom.functions.lexicon import GAPS, QUOTE_LABELS, STRENGTHS, ZH_STOPWOR
 from talkloom.operators import highlights as H, interaction as I, messages as M, retrieval as R, rollups, terms as K
 from talkloom.plans import fixtures, oracle as O
 from talkloom.plans.jobs import Insights, InteractionReport, build_archive, generic_messages, tree_messages
-from talkloom.sources import archive as A
+from talkloom.session import new_folder
+from talkloom.sources import archive as A, exports as X
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -157,13 +158,21 @@ def drop_blank(spark, sf_dir):
     return M.drop_blank(rows).select("conv_id", "msg_pos")
 
 
-@register("""SELECT conv_id, turn AS msg_pos, text AS body FROM conversations WHERE role <> 'system'
-  UNION ALL SELECT c.conv_id, (SELECT count(*) FROM conversations x WHERE x.conv_id = c.conv_id), text FROM conversations c JOIN (SELECT conv_id, max(turn) AS last FROM conversations GROUP BY conv_id) e ON c.conv_id = e.conv_id AND c.turn = last WHERE c.conv_id % 4 = 0 AND last % 3 = 0 AND role <> 'system'""")
+_TREE_MESSAGES = """SELECT conv_id, turn AS msg_pos, text AS body FROM conversations WHERE role <> 'system'
+  UNION ALL SELECT c.conv_id, (SELECT count(*) FROM conversations x WHERE x.conv_id = c.conv_id), text FROM conversations c
+  JOIN (SELECT conv_id, max(turn) AS last FROM conversations GROUP BY conv_id) e ON c.conv_id = e.conv_id AND c.turn = last
+  WHERE c.conv_id % 4 = 0 AND last % 3 = 0 AND role <> 'system'"""
+
+
+@register(_TREE_MESSAGES)
 def tree_archive_messages(spark, sf_dir):
     return tree_messages(fixtures.trees(spark, sf_dir)).select("conv_id", F.col("msg_pos").cast("long").alias("msg_pos"), "body")
 
 
-@register(f"SELECT conv_id, msg_pos, {O.strip('body')} AS body FROM c_fx WHERE NOT {O.tool_call('body')}")
+_GENERIC_MESSAGES = f"SELECT conv_id, msg_pos, {O.strip('body')} AS body FROM c_fx WHERE NOT {O.tool_call('body')}"
+
+
+@register(_GENERIC_MESSAGES)
 def generic_archive_messages(spark, sf_dir):
     content = F.col("body").alias("content")
     listed = fixtures.messages(spark, sf_dir).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("msg_pos", "role", content))).alias("m"))
@@ -342,7 +351,7 @@ def interaction_totals(spark, sf_dir):
     return I.interaction_totals(report(spark, sf_dir).features)
 
 
-_SUMMARY = ["avg_user_len", "avg_assistant_len", *I.RATES]
+_SUMMARY = ["avg_user_len", "avg_turns", *I.RATES]
 
 
 @register(f"SELECT conversations, user_messages, assistant_messages, {', '.join(f'round({r}, 6) AS {r}' for r in _SUMMARY)} FROM c_summary")
@@ -491,22 +500,24 @@ def filter_all(spark, sf_dir):
 _ORDERS = {"updated": "updated DESC NULLS LAST", "created": "created ASC NULLS LAST", "messages": "messages DESC"}
 
 
-@register(" UNION ALL ".join(f"SELECT '{k}' AS kind, CAST(row_number() OVER (ORDER BY {v}, conv_id) AS INTEGER) AS place, conv_id FROM c_convs QUALIFY place <= 50" for k, v in _ORDERS.items()))
+_PLACED = "SELECT '{0}' AS kind, row_number() OVER (ORDER BY {1}, conv_id) AS place, conv_id FROM c_convs"
+
+
+@register(" UNION ALL ".join(_PLACED.format(k, v) for k, v in _ORDERS.items()))
 def sort_items(spark, sf_dir):
-    """The first page of each order; places are read off the sorted page."""
-    parts = []
-    for kind in _ORDERS:
-        page = R.sort_items(fixtures.convs(spark, sf_dir), kind).limit(50).withColumn("kind", F.lit(kind))
-        order = {"updated": F.desc_nulls_last("updated"), "created": F.asc_nulls_last("created"), "messages": F.desc("messages")}[kind]
-        parts.append(page.withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy(order, "index"))).select("kind", "place", "conv_id"))
-    return parts[0].union(parts[1]).union(parts[2])
+    """The place of every item in each order."""
+    rows = fixtures.convs(spark, sf_dir)
+    placed = [R.item_places(rows, kind).select(F.lit(kind).alias("kind"), "place", "conv_id") for kind in _ORDERS]
+    return placed[0].union(placed[1]).union(placed[2])
 
 
 @register("""SELECT conv_id, other, round(score, 6) AS score, rank FROM (SELECT a.conv_id, b.conv_id AS other, len(list_intersect(a.keywords, b.keywords)) / CAST(len(a.keywords) + len(b.keywords) - len(list_intersect(a.keywords, b.keywords)) AS DOUBLE) AS score,
   CAST(row_number() OVER (PARTITION BY a.conv_id ORDER BY len(list_intersect(a.keywords, b.keywords)) / CAST(len(a.keywords) + len(b.keywords) - len(list_intersect(a.keywords, b.keywords)) AS DOUBLE) DESC, b.conv_id) AS INTEGER) AS rank
   FROM c_items a JOIN c_items b ON a.conv_id <> b.conv_id WHERE len(list_intersect(a.keywords, b.keywords)) > 0) WHERE rank <= 5""")
 def similar_items(spark, sf_dir):
-    return rounded(R.similar(insights(spark, sf_dir).items), "score")
+    job = insights(spark, sf_dir)
+    listed = job.keywords.groupBy("conv_id").agg(F.collect_list("term").alias("keywords"))  # no more of the items is needed
+    return rounded(R.similar(job.convs.select("conv_id", "index").join(listed, "conv_id")), "score")
 
 
 @register("SELECT conv_id, coalesce(starred, false) AS starred, note FROM c_convs c LEFT JOIN c_stars s ON c.file = s.file")
@@ -514,9 +525,9 @@ def attach_notes(spark, sf_dir):
     return R.attach_notes(fixtures.convs(spark, sf_dir), fixtures.annotations(spark, sf_dir)).select("conv_id", "starred", "note")
 
 
-@register()
+@register("SELECT conv_id, title FROM c_convs ORDER BY md5('3|' || file), file LIMIT 1")
 def random_item(spark, sf_dir):
-    return R.random_item(fixtures.convs(spark, sf_dir).select("conv_id", "title"), seed=3)
+    return R.random_item(fixtures.convs(spark, sf_dir).select("conv_id", "title", "file"), seed=3).select("conv_id", "title")
 
 
 # -- Sinks ---------------------------------------------------------------------------------------------------------
@@ -560,3 +571,83 @@ def markdown_parse(spark, sf_dir):
 def archive_index(spark, sf_dir):
     bare = fixtures.convs(spark, sf_dir).drop("messages", "file")
     return build_archive(bare, fixtures.messages(spark, sf_dir)).select("conv_id", "messages", "file")
+
+
+# -- Files: written to the shared folder, and read back ------------------------------------------------------------
+
+@register(_TREE_MESSAGES)
+def tree_export_files(spark, sf_dir):
+    """Trees as files of JSON arrays, 50 conversations each, read as an export."""
+    path = new_folder(spark, "trees")
+    rows = fixtures.trees(spark, sf_dir).select(F.col("conv_id").cast("string").alias("id"), "current_node", "mapping")
+    texts = rows.select(F.floor(F.col("id").cast("long") / 50).alias("part"), F.to_json(F.struct("*")).alias("json"))
+    arrays = texts.groupBy("part").agg(F.concat(F.lit("["), F.array_join(F.collect_list("json"), ","), F.lit("]")).alias("value"))
+    arrays.write.partitionBy("part").text(path)
+    read = M.normalize_conversation_fields(X.read_tree_export(spark, path)).withColumn("conv_id", F.col("id").cast("long"))
+    return tree_messages(read).select("conv_id", F.col("msg_pos").cast("long").alias("msg_pos"), "body")
+
+
+@register(_GENERIC_MESSAGES)
+def generic_export_files(spark, sf_dir):
+    """Conversations as JSON lines, read as an export."""
+    path = new_folder(spark, "generic")
+    said = F.struct("msg_pos", "role", F.col("body").alias("content"))
+    listed = fixtures.messages(spark, sf_dir).groupBy("conv_id").agg(F.array_sort(F.collect_list(said)).alias("messages"))
+    listed.select(F.col("conv_id").cast("string").alias("id"), "messages").write.json(path)
+    read = X.read_generic_export(spark, path, json_lines=True).withColumn("conv_id", F.col("id").cast("long"))
+    return generic_messages(read).select("conv_id", F.col("msg_pos").cast("long").alias("msg_pos"), "body")
+
+
+_SIZES = "SELECT conv_id % 7 AS part, CAST(sum(strlen(text) + 1) AS BIGINT) AS size FROM conversations GROUP BY ALL"
+
+
+@register(f"SELECT 'all' AS kind, part, size FROM ({_SIZES}) UNION ALL (SELECT 'largest', part, size FROM ({_SIZES}) ORDER BY size DESC, part LIMIT 1)")
+def export_files(spark, sf_dir):
+    """Files of known sizes, and the largest of them."""
+    path = new_folder(spark, "sized")
+    rows = fixtures.raw(spark, sf_dir).select(F.col("text").alias("value"), (F.col("conv_id") % 7).alias("part"))
+    rows.repartition("part").write.partitionBy("part").text(path)
+    kinds = [X.select_export_files(spark, path, "part-*", only).withColumn("kind", F.lit(kind)) for kind, only in (("all", False), ("largest", True))]
+    part = F.regexp_extract("path", r"part=(\d+)/", 1).cast("long").alias("part")
+    return kinds[0].union(kinds[1]).select("kind", part, "size")
+
+
+@register(f"SELECT CAST(idx AS INTEGER) AS number, title, {WHEN.format('created')} AS created_utc, {WHEN.format('updated')} AS updated_utc, CAST(messages AS INTEGER) AS messages, file, id FROM c_convs")
+def index_csv_files(spark, sf_dir):
+    path = new_folder(spark, "index")
+    A.write_index_csv(fixtures.convs(spark, sf_dir), path)
+    return A.read_index_csv(spark, path).withColumnRenamed("index", "number")
+
+
+@register("SELECT conv_id, title, snippet, cluster_label, array_to_string(keywords, '|') AS keywords, (SELECT count(*) FROM c_convs) AS total FROM c_items")
+def items_files(spark, sf_dir):
+    """Items as JSON lines, with the one row of insights beside them."""
+    path, job = new_folder(spark, "items"), insights(spark, sf_dir)
+    A.write_items(job.items, job.report(), path)
+    schema = "conv_id long, title string, snippet string, cluster_label string, keywords array<string>"
+    total = spark.read.schema("total long").json(f"{path}/insights")
+    items = spark.read.schema(schema).json(f"{path}/items").withColumn("keywords", F.array_join("keywords", "|"))
+    return items.crossJoin(F.broadcast(total))  # one row
+
+
+@register("SELECT file, title, search_text FROM c_search")
+def search_shard_files(spark, sf_dir):
+    path = new_folder(spark, "shards")
+    A.write_search_shards(insights(spark, sf_dir).search, path, 30)
+    return A.read_search_shards(spark, path)
+
+
+_REPORT = """SELECT 'summary' AS part, NULL AS label, round(avg_turns, 6) AS value FROM c_summary
+  UNION ALL SELECT 'quotes', label, CAST(conversation AS DOUBLE) FROM ({quotes})"""
+
+
+@register(_REPORT.format(quotes=_greedy()))
+def report_files(spark, sf_dir):
+    """The interaction report as one JSON document: its summary's turns, and whose quotes it has."""
+    path = new_folder(spark, "report")
+    A.write_report(report(spark, sf_dir).parts(), path)
+    schema = "summary array<struct<avg_turns:double>>, quotes array<struct<label:string,index:long>>"
+    read = spark.read.schema(schema).json(path)
+    turns = read.select(F.explode("summary").alias("s")).select(F.lit("summary").alias("part"), F.lit(None).cast("string").alias("label"), F.round("s.avg_turns", 6).alias("value"))
+    quotes = read.select(F.explode("quotes").alias("q")).select(F.lit("quotes"), "q.label", F.col("q.index").cast("double"))
+    return turns.union(quotes)

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from talkloom.functions import fields, text as T
+from talkloom.operators.joins import join_by_key
 from talkloom.operators import highlights as H, interaction as I, messages as M, retrieval as R, rollups, terms as K
 
 
@@ -44,6 +45,10 @@ def test_contents(spark):
 def test_tool_calls(spark):
     bodies = ['{"path":1}', '```\n{"path":1}\n```', '```unknown\n{"args":{}}\n```', '```json\n{"path":1}\n```', '{"path":1} x', '{"path":1}\n{"path":2}', '[{"path":1}]', '{"a":{"path":1}}', "", "```", '{"path":1', "{'path':1}"]
     assert values(spark, T.is_tool_call, bodies) == [True, True, True] + [False] * 9
+    lenient = ['{"path":1,"path":2}', '{"path":NaN}', '{"b":[1,{"c":-Infinity}],"args":Infinity}', '```\n{"a":1,"a":2,"call":0}\n```']
+    assert values(spark, T.is_tool_call, lenient) == [True] * 4
+    broken = ['{"path":1} {"b":2}', '{"path":1,}', '{"path":01}', "{path:1}", '{"path":"a\nb"}', '{"path":tru}', '{"path":1},{"b":2}', '{"path":1}]', "{}"]
+    assert values(spark, T.is_tool_call, broken) == [False] * 9
 
 
 def test_bodies(spark):
@@ -198,6 +203,7 @@ def test_search_and_filters(spark):
     notes = R.attach_notes(rows, spark.createDataFrame([("a.md", True, "n")], "file string, starred boolean, note string"))
     assert {r.conv_id: (r.starred, r.note) for r in notes.collect()}[1] == (True, "n") and notes.where("starred").count() == 1
     assert R.random_item(rows, 1).count() == 1 and R.random_item(rows.limit(0), 1).count() == 0
+    assert R.random_item(rows, 1).collect() == R.random_item(rows.repartition(3), 1).collect()
 
 
 def test_similar(spark):
@@ -207,6 +213,54 @@ def test_similar(spark):
     assert R.similar_to(items(spark), 4).count() == 0 and R.similar_to(items(spark), 99).count() == 0
 
 
+@pytest.mark.parametrize("frequent", [0, 5, 1000])
+def test_similar_against_all_pairs(spark, monkeypatch, frequent):
+    import random
+
+    monkeypatch.setattr(R, "RARE", frequent)
+    rng = random.Random(2)
+    kept = {n: sorted({"hot"} | set(rng.choices([f"w{k}" for k in range(25)], k=rng.randrange(8)))) for n in range(70)}
+    kept |= {200: ["hot"], 201: ["hot"], 202: [], 203: ["alone"], 204: None}
+    df = spark.createDataFrame([(n, 1000 - n, w) for n, w in kept.items()], "conv_id long, index long, keywords array<string>")
+    want = {}
+    for a, x in kept.items():
+        scored = [(len(set(x) & set(y)) / len(set(x) | set(y)), b - 1000, b) for b, y in kept.items() if a != b and x and y]
+        want[a] = [(b, round(s, 9)) for s, _, b in sorted((r for r in scored if r[0]), key=lambda r: (-r[0], -r[1]))[:3]]
+    got = {}
+    for r in R.similar(df, k=3).orderBy("conv_id", "rank").collect():
+        got.setdefault(r.conv_id, []).append((r.other, round(r.score, 9)))
+    assert got == {a: found for a, found in want.items() if found}
+
+
+def test_joins_of_hot_keys(spark):
+    rows = spark.createDataFrame([(k % 3 if k < 900 else k, k) for k in range(1000)] + [(None, -1)], "key long, v long")
+    per = rows.where("key is not null").groupBy("key").agg(F.count("*").alias("n"), F.min("v").alias("least")).where("key <> 905")
+    for how in ("inner", "left"):
+        got = join_by_key(rows, per, ["key"], "n", 1000, how).select("key", "v", "least").collect()
+        assert sorted(map(str, got)) == sorted(map(str, rows.join(per.drop("n"), "key", how).select("key", "v", "least").collect()))
+
+
+def test_summary_by_hand(spark):
+    turns = [(1, "user", "What is it, and why?"), (1, "assistant", "x" * 8), (1, "user", "ok"), (2, "user", "budget 500 km"), (2, "assistant", "y" * 4)]
+    rows = spark.createDataFrame([(c, c, p, r, t) for p, (c, r, t) in enumerate(turns)], "conv_id long, index long, msg_pos int, role string, text string")
+    got = I.interaction_summary(I.interaction_totals(I.turn_features(rows))).first().asDict()
+    assert got == {
+        "conversations": 2, "user_messages": 3, "assistant_messages": 2, "avg_user_len": (16 + 2 + 11) / 3, "avg_turns": 2.5, "clarity_avg": 1 / 3,
+        "constraint_rate": 1 / 3, "context_rate": 0.0, "feedback_rate": 0.0, "iteration_rate": 0.5, "clarification_rate": 0.0,
+    }
+
+
+def test_trends_of_one_large_topic(spark):
+    rows = [(k, k + 1, f"2024-01-{k % 28 + 1:02d} 00:00:00", "hot" if k % 4 else f"t{k}", (k % 28) / 28) for k in range(400)]
+    items = spark.createDataFrame(rows, "conv_id long, index long, created string, cluster_label string, score double").withColumn("created", F.to_timestamp("created"))
+    got = I.topic_trends(items.drop("score"), items.select("conv_id", "score")).collect()
+    points = sorted((r[2], r[1], r[4]) for r in rows if r[3] == "hot")
+    half = len(points) // 2
+    early, late = (sum(p[2] for p in part) / len(part) for part in (points[:half], points[half:]))
+    assert [(r.trend, r.label, r["count"]) for r in got] == [("improving", "hot", 300)]
+    assert (got[0].early, got[0].recent) == (pytest.approx(early), pytest.approx(late))
+
+
 def test_rollups_of_nothing(spark):
     none = items(spark).limit(0)
     assert rollups.month_counts(none).count() == 0 and rollups.topic_counts(none).count() == 0

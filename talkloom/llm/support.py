@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-#: Keys with more rows than this, and than the HEAVY_KEYS-th part of all rows, are joined by a broadcast (join_by_key()).
-HEAVY_ROWS, HEAVY_KEYS = 256, 100_000
+from talkloom.operators.joins import join_by_key  # noqa: F401
+from talkloom.session import checkpointed as cut, new_folder
+
 ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -16,35 +14,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one serves a
-    local session; on a cluster its executors would not see each other's files, so that fails."""
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not folder:
-        if not sc.master.split("[")[0] == "local":
-            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-        folder = tempfile.mkdtemp(prefix="talkloom-")
-        sc.setCheckpointDir(folder)
-    return folder
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; what is written there is removed when the application ends."""
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return path
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder, so that a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: for wide rows, where checkpoint() files would be large."""
     path = new_folder(df.sparkSession, name)
@@ -60,24 +29,6 @@ def small_batches(spark: SparkSession, size: str = "8m") -> None:
         spark.conf.set(ARROW_BYTES, size)
 
 
-def join_by_key(rows: DataFrame, per_key: DataFrame, keys: list[str], n: str, total: int, how: str = "inner") -> DataFrame:
-    """rows joined with per_key, which has a row for each key and, in column n, how many of rows have it.
-
-    Keys of many rows would each be the work of one task. Those with more than HEAVY_ROWS rows and more than a
-    HEAVY_KEYS-th of all (total) are broadcast, at most HEAVY_KEYS of them therefore; only the others are shuffled.
-    per_key should be cut: it is read twice. n isn't returned. how is inner or left.
-    """
-    most = max(HEAVY_ROWS, total // HEAVY_KEYS)
-    heavy = F.coalesce(F.col(n) > most, F.lit(False))
-    few = F.broadcast(per_key.where(heavy).drop(n).withColumn("__heavy", F.lit(True)))
-    others = per_key.where(~heavy).drop(n)
-    added = [c for c in others.columns if c not in keys]
-    met = rows.join(few, keys, "left")
-    hot = met.where("__heavy").drop("__heavy")
-    cool = met.where("__heavy is null").drop("__heavy", *added).join(others, keys, how)
-    return hot.select(*cool.columns).union(cool)
-
-
 def spread_hash(parts: int | Column, *columns: str, salt: int = 1) -> Column:
     """A number from 0 below parts, by a hash of the columns."""
     return F.pmod(F.xxhash64(*columns, F.lit(salt)), F.lit(parts) if isinstance(parts, int) else parts).cast("int")

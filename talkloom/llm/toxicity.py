@@ -208,7 +208,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, trees
     read = parts[0]
     for more in parts[1:]:
         read = read.union(more)
-    read = cut(read).select("part", F.col("label").cast("double").alias("label"), array_to_vector("f").alias("__features")).coalesce(4)
+    read = cut(read).select("part", F.col("label").cast("double").alias("label"), array_to_vector("f").alias("__features")).coalesce(1)  # sample rows of a few numbers
     grow = GBTClassifier(featuresCol="__features", labelCol="label", predictionCol="__prediction", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=seed, minInstancesPerNode=3)
     grow.setRawPredictionCol("__raw").setProbabilityCol("__probability")
     grown = grow.fit(read.where("part > 0"))

@@ -107,8 +107,9 @@ def test_groups_and_representatives_of_odd_rows(spark):
     kept = one_of_each_group(spark.createDataFrame(rows, DOCS), 4, 4).toPandas()
     assert sorted(kept.doc_id.fillna(-1)) == [-1, 3, 7, 8] and list(kept.columns) == ["doc_id", "text", "fingerprint", "component_id"]
     clashing = spark.createDataFrame([(3, long, k, "b") for k in (2, 1)] + [(4, "", 5, "c")], "doc_id long, text string, id int, doc string")
-    again = [sorted(map(str, one_of_each_group(clashing.repartition(n), 4, 4).collect())) for n in (1, 2)]
-    assert again[0] == again[1] and len(again[0]) == 2
+    again = {r.doc_id: r for r in one_of_each_group(clashing.repartition(2), 4, 4).collect()}
+    least = clashing.where("doc_id = 3").orderBy(F.xxhash64(F.struct("*"))).first()
+    assert again == {3: least, 4: clashing.where("doc_id = 4").first()}
     assert simhash_groups(spark.createDataFrame([], DOCS), 4, 4).count() == 0
     assert one_of_each_group(spark.createDataFrame([], DOCS), 4, 4).count() == 0
 
@@ -234,15 +235,18 @@ def test_only_similar_sets_are_copies(spark):
     assert sorted(kept.doc_id) == [0, 1, 2, 3]
 
 
-def test_copies_within_the_radius_by_all_pairs(spark, monkeypatch):
+@pytest.mark.parametrize("crowd, block", [(24, 1024), (3, 4)])
+def test_copies_within_the_radius_by_all_pairs(spark, monkeypatch, crowd, block):
+    monkeypatch.setattr(simhash, "CROWD", crowd)  # so that buckets of both kinds, and crowds of many blocks, occur
+    monkeypatch.setattr(simhash, "CROWD_BLOCK", block)
     monkeypatch.setattr(simhash, "PAIRS", 7)  # so that comparisons go in many steps
     monkeypatch.setattr(simhash, "GROUP", 50)
     rng = random.Random(3)
     texts = {}
     for g in range(30):
         base = worded(rng, 120)
-        for k in range(5):
-            texts[len(texts)] = " ".join(changed(rng, base, rng.sample(range(120), k)))
+        for k in range(25 if g == 0 else 5):
+            texts[len(texts)] = " ".join(changed(rng, base, rng.sample(range(120), k % 6)))
     sets = {i: {" ".join(t.split()[k : k + 5]) for k in range(116)} for i, t in texts.items()}
     prints = {i: fingerprint(t.encode(), 5) for i, t in texts.items()}
     similar = [(a, b) for a in texts for b in texts if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]

@@ -8,6 +8,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__
 import corpus_pipeline
+from talkloom.llm.simhash import shingle_hashes
 from talkloom.llm.tokens import VOCABULARY
 
 SMALL = "/root/testdata/sf0.001"
@@ -68,5 +69,36 @@ def test_operators_against_sql(spark, name):
     assert norm(got) == norm(want)
 
 
-def test_radius_reaches_near_copies():
-    assert corpus_pipeline.RADIUS >= 13 and corpus_pipeline.SIMILARITY == 0.8
+def similar_pairs(texts, width, least):
+    """All pairs of different shingle sets with at least that Jaccard index, by the rarest shingles of each."""
+    sets = {}
+    for doc, text in texts:
+        sets.setdefault(np.unique(shingle_hashes(text.encode(), width)).tobytes(), []).append(doc)
+    arrays = [np.frombuffer(k, dtype=np.uint64) for k in sets]
+    every, counts = np.unique(np.concatenate(arrays), return_counts=True)
+    met, pairs = defaultdict(list), set()
+    for n, a in enumerate(arrays):
+        rare = a[np.lexsort((a, counts[np.searchsorted(every, a)]))][: len(a) - int(np.ceil(least * len(a))) + 1]
+        others = {m for h in rare.tolist() for m in met[h]}
+        for m in others:
+            both = len(np.intersect1d(a, arrays[m], assume_unique=True))
+            if both >= least * (len(a) + len(arrays[m]) - both):
+                pairs.add((m, n))
+        for h in rare.tolist():
+            met[h].append(n)
+    return list(sets.values()), pairs
+
+
+def test_near_copies_are_found_and_others_kept(spark):
+    """The stage on its own input, against all pairs of five-word shingle sets with a Jaccard index of 0.8 or more."""
+    assert corpus_pipeline.SHINGLE == 5 and corpus_pipeline.SIMILARITY == 0.8
+    large = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{large}/documents.parquet").where("text is not null")
+    groups, pairs = similar_pairs([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()], 5, 0.8)
+    kept = {r.doc_id for r in corpus_pipeline.distinct(spark, docs, large).select("doc_id").collect()}
+    survives = [bool(kept & set(g)) for g in groups]
+    assert all(len(kept & set(g)) <= 1 for g in groups)  # equal sets
+    recall = np.mean([not (survives[a] and survives[b]) for a, b in pairs])
+    assert len(pairs) > 30 and recall >= 0.9
+    alone = set(range(len(groups))) - {n for p in pairs for n in p}
+    assert all(survives[n] and min(groups[n]) in kept for n in alone)  # nothing else goes

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 
 from talkloom.llm import topk
 from talkloom.llm.topk import quantised, top_k
-from talkloom.llm.toxicity import Reader, fit_toxicity, in_held_out, units_of, without_toxic
+from talkloom.llm.toxicity import FEATURES, Reader, fit_toxicity, in_held_out, units_of, without_toxic
 
 
 def by_hand(rows, k):
@@ -138,3 +139,15 @@ def test_features_read_disguises_and_persons():
     plain, hidden, other = reader.features("you blork HERE!!!"), reader.features("bl0rk"), reader.features("nothing at all")
     names = dict(zip(("word_max", "nearness"), (plain[0], plain[8])))
     assert names == {"word_max": 5.0, "nearness": 0.5} and hidden[15] == 1.0 and other[0] == 0.0 and plain[11] > 0
+
+
+def test_features_by_hand():
+    text = "You BLORK, yes!! a fl33b blorking *** soooo 7th. du"  # ten words, 51 characters
+    got = dict(zip(FEATURES, Reader({"blork": 5.0, "blor~": 4.0, "fleeb": 3.0}).features(text)))
+    assert got == pytest.approx({
+        "word_max": 5.0, "word_sum": 5.0 + 3.0, "word_hits": 2.0, "word_density": 10.0,  # blork and, behind its digits, fleeb
+        "prefix_max": 4.0, "prefix_sum": 4.0 + 4.0, "prefix_hits": 2.0, "prefix_density": 20.0,  # blork and blorking
+        "nearness_to_second_person": 1 / 2, "second_person_density": 20.0,  # you beside blork; du
+        "capitals": 6 / 51, "shouted_words": 10.0, "punctuation": 7 / 51, "exclamations": 2 / 51,
+        "disguised_words": 20.0, "disguised_hits": 1.0, "repetitions": 20.0, "log_words": math.log1p(10),  # fl33b and 7th; *** and soooo
+    })

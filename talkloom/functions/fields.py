@@ -28,7 +28,9 @@ def to_time(value: Column, strict: bool = False) -> Column:
         iso_text = F.regexp_replace(iso_text, r"\.[0-9]+Z$", "Z")
     iso = F.when(text.endswith("Z") & text.contains("T"), F.try_to_timestamp(iso_text, F.lit(TIME)))
     plain = F.lit(None).cast("timestamp") if strict else F.try_to_timestamp(text, F.lit(TIME))
-    return F.when(number.isNotNull(), F.when(number != 0, F.timestamp_seconds(number))).otherwise(F.coalesce(iso, plain))
+    return F.when(
+        number.isNotNull(), F.when(number != 0, F.timestamp_seconds(number))
+    ).otherwise(F.coalesce(iso, plain))
 
 
 def format_ts(time: Column) -> Column:
@@ -55,7 +57,9 @@ def role_label(role: Column, name: Column | None = None, time: Column | None = N
 
 
 def base_role(label: Column) -> Column:
-    return F.lower(strip(F.split_part(F.split_part(F.coalesce(label, F.lit("")), F.lit(" "), F.lit(1)), F.lit(":"), F.lit(1))))
+    return F.lower(
+        strip(F.split_part(F.split_part(F.coalesce(label, F.lit("")), F.lit(" "), F.lit(1)), F.lit(":"), F.lit(1)))
+    )
 
 
 def archive_file_name(index: Column, created: Column, title: Column, conv_id: Column) -> Column:
@@ -75,7 +79,9 @@ def normalize_content(content: Column) -> Column:
         whole = F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
         items = F.try_variant_get(v, "$", "array<variant>")
         if depth:
-            truthy = lambda x: x.isNotNull() & ~F.is_variant_null(x) & ~F.coalesce(F.to_json(x).isin('""', "0", "false", "[]", "{}"), F.lit(False))
+            truthy = lambda x: x.isNotNull() & ~F.is_variant_null(x) & ~F.coalesce(
+                F.to_json(x).isin('""', "0", "false", "[]", "{}"), F.lit(False)
+            )
             joined = F.array_join(F.transform(F.filter(items, truthy), lambda x: text(x, depth - 1)), "\n")
             return F.coalesce(whole, joined, F.to_json(v))
         return F.coalesce(whole, F.to_json(v))
@@ -99,7 +105,9 @@ def render_content(content: Column, keep_metadata: bool = False) -> Column:
     def media(p: Column) -> Column:
         w, h = of(p, "$.width", "int"), of(p, "$.height", "int")
         dims = F.when((w != 0) & (h != 0), F.format_string(" (%dx%d)", w, h)).otherwise(F.lit(""))
-        image = F.concat(F.lit("[image]"), dims, F.lit(" "), F.coalesce(or_else(of(p, "$.asset_pointer")), F.lit("image")))
+        image = F.concat(
+            F.lit("[image]"), dims, F.lit(" "), F.coalesce(or_else(of(p, "$.asset_pointer")), F.lit("image"))
+        )
         return (
             F.when(is_text(p), blank_out(of(p, "$")))
             .when(of(p, "$.content_type") == "text", blank_out(of(p, "$.text")))
@@ -107,9 +115,14 @@ def render_content(content: Column, keep_metadata: bool = False) -> Column:
             .otherwise(F.to_json(p))
         )
 
-    code = F.when(F.length(strip(said)) > 0, F.concat(F.lit("```"), strip(F.coalesce(content["language"], F.lit(""))), F.lit("\n"), said, F.lit("\n```")))
+    code = F.when(
+        F.length(strip(said)) > 0,
+        F.concat(F.lit("```"), strip(F.coalesce(content["language"], F.lit(""))), F.lit("\n"), said, F.lit("\n```"))
+    )
     other = F.to_json(content) if keep_metadata else F.lit("")
-    body = F.when(kind == "text", plain).when(kind == "code", code).when(kind == "execution_output", said).when(kind == "multimodal_text", _parts(content, media)).otherwise(other)
+    body = F.when(kind == "text", plain).when(kind == "code", code).when(kind == "execution_output", said).when(
+        kind == "multimodal_text", _parts(content, media)
+    ).otherwise(other)
     if not keep_metadata:
         body = F.when(kind.isin(METADATA_TYPES), F.lit("")).otherwise(body)
     return F.when(F.length(kind) > 0, F.coalesce(body, F.lit(""))).otherwise(F.lit(""))

@@ -73,7 +73,12 @@ def is_one_json_object(s: Column) -> Column:
 def transcript(line: Column) -> Column:
     """What was said, of a JSON line that is a transcription; else null."""
     said = F.get_json_object(line, "$.text")
-    return F.when(is_one_json_object(line) & F.coalesce(F.get_json_object(line, "$.content_type"), F.lit("")).contains("transcription") & (F.length(said) > 0), strip(said))
+    return F.when(
+        is_one_json_object(line) & F.coalesce(
+            F.get_json_object(line, "$.content_type"), F.lit("")
+        ).contains("transcription") & (F.length(said) > 0),
+        strip(said)
+    )
 
 
 def clean_prose(line: Column) -> Column:

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, functions as F
 HEAVY_ROWS, HEAVY_KEYS = 256, 100_000
 
 
-def join_by_key(rows: DataFrame, per_key: DataFrame, keys: list[str], n: str, total: int, how: str = "inner") -> DataFrame:
+def join_by_key(
+    rows: DataFrame, per_key: DataFrame, keys: list[str], n: str, total: int, how: str = "inner"
+) -> DataFrame:
     """rows joined with per_key, which has a row for each key and, in column n, how many of rows have it.
 
     Keys of many rows would each be the work of one task. Those with more than HEAVY_ROWS rows and more than a

@@ -18,7 +18,9 @@ def normalize_conversation_fields(df: DataFrame, strict: bool = False) -> DataFr
 
     def first(*names: str) -> Column:
         texts = [F.col(n).cast("string") for n in names if n in have]
-        return F.coalesce(*(F.when((F.length(t) > 0) & ~F.coalesce(t.try_cast("double") == 0, F.lit(False)), t) for t in texts)) if texts else F.lit(None).cast("string")
+        return F.coalesce(
+            *(F.when((F.length(t) > 0) & ~F.coalesce(t.try_cast("double") == 0, F.lit(False)), t) for t in texts)
+        ) if texts else F.lit(None).cast("string")
 
     ids = [F.col(n).cast("string") for n in ("id", "conversation_id") if n in have]
     return df.withColumns({
@@ -44,7 +46,9 @@ def all_nodes(df: DataFrame, key: str = "conv_id") -> DataFrame:
     """Every node of a tree that has a message, by its time (0 if none), then by its id: key, node_id, msg_pos, message."""
     nodes = df.select(key, F.explode("mapping").alias("node_id", "node")).where("node.message is not null")
     order = Window.partitionBy(key).orderBy(F.coalesce(F.col("node.message.create_time"), F.lit(0.0)), "node_id")
-    return nodes.select(key, "node_id", (F.row_number().over(order) - 1).alias("msg_pos"), F.col("node.message").alias("message"))
+    return nodes.select(
+        key, "node_id", (F.row_number().over(order) - 1).alias("msg_pos"), F.col("node.message").alias("message")
+    )
 
 
 def _walk(nodes: list[dict], current: str | None) -> list[str]:
@@ -70,12 +74,23 @@ def linear_path(df: DataFrame, key: str = "conv_id") -> DataFrame:
     It ends at current_node, or where that is no node at the latest leaf (no time counts as 0, the first of equals),
     and starts where a parent is missing or was met before. Only ids, parents and times leave the JVM.
     """
-    slim = F.transform(F.map_entries("mapping"), lambda e: F.struct(e.key.alias("id"), e.value["parent"].alias("parent"), (F.coalesce(F.size(e.value["children"]), F.lit(0)) > 0).alias("children"), F.coalesce(e.value["message"]["create_time"], F.lit(0.0)).alias("time")))
+    slim = F.transform(
+        F.map_entries("mapping"),
+        lambda e: F.struct(
+            e.key.alias("id"), e.value["parent"].alias("parent"),
+            (F.coalesce(F.size(e.value["children"]), F.lit(0)) > 0).alias("children"),
+            F.coalesce(e.value["message"]["create_time"], F.lit(0.0)).alias("time")
+        )
+    )
 
     def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            walked = [_walk(n.as_py() or [], c.as_py()) for n, c in zip(batch.column("nodes"), batch.column("current_node"))]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(walked, pa.list_(pa.string()))], ["key", "path"])
+            walked = [
+                _walk(n.as_py() or [], c.as_py()) for n, c in zip(batch.column("nodes"), batch.column("current_node"))
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("key"), pa.array(walked, pa.list_(pa.string()))], ["key", "path"]
+            )
 
     rows = df.select(F.col(key).alias("key"), slim.alias("nodes"), "current_node")
     found = rows.mapInArrow(paths, f"key {rows.schema['key'].dataType.simpleString()}, path array<string>")
@@ -106,13 +121,19 @@ def message_counts(convs: DataFrame, messages: DataFrame, key: str = "conv_id")
     """convs with messages, the number of kept messages (0 if none)."""
     counts = messages.groupBy(key).agg(F.count("*").alias("messages"))
     kept = [c for c in convs.columns if c != "messages"]
-    return convs.select(*kept).join(counts, key, "left").withColumn("messages", F.coalesce("messages", F.lit(0)).cast("long"))
+    return convs.select(*kept).join(counts, key, "left").withColumn(
+        "messages", F.coalesce("messages", F.lit(0)).cast("long")
+    )
 
 
-def in_order(messages: DataFrame, value: Column, separator: str = "\n", key: str = "conv_id", name: str = "text") -> DataFrame:
+def in_order(
+    messages: DataFrame, value: Column, separator: str = "\n", key: str = "conv_id", name: str = "text"
+) -> DataFrame:
     """Each conversation's values, joined in the order of its messages; empty ones are left out."""
     rows = messages.select(key, F.struct("msg_pos", value.alias("v")).alias("x")).where("x.v <> ''")
-    return rows.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["v"]), separator).alias(name))
+    return rows.groupBy(key).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["v"]), separator).alias(name)
+    )
 
 
 def extract_text(messages: DataFrame, keep_code: bool = False, key: str = "conv_id") -> DataFrame:
@@ -133,9 +154,19 @@ def segments(messages: DataFrame, key: str = "conv_id") -> DataFrame:
     pieces = messages.select(key, "msg_pos", F.posexplode(F.split("body", "```", -1)).alias("seg_pos", "piece"))
     code = F.col("seg_pos") % 2 == 1
     language = T.strip(F.substring_index("piece", "\n", 1))
-    inside = T.strip(F.when(F.col("piece").contains("\n"), F.regexp_replace("piece", r"^[^\n]*\n", "")).otherwise(F.lit("")))
-    shown = F.transform(F.filter(F.transform(F.split("piece", "\n", -1), T.strip), lambda x: x != ""), lambda x: F.when(T.is_one_json_object(x), T.transcript(x)).when(x.contains("sediment://"), F.lit(None).cast("string")).otherwise(T.strip(T.strip_citations(x))))
+    inside = T.strip(
+        F.when(F.col("piece").contains("\n"), F.regexp_replace("piece", r"^[^\n]*\n", "")).otherwise(F.lit(""))
+    )
+    shown = F.transform(
+        F.filter(F.transform(F.split("piece", "\n", -1), T.strip), lambda x: x != ""),
+        lambda x: F.when(T.is_one_json_object(x), T.transcript(x)).when(
+            x.contains("sediment://"), F.lit(None).cast("string")
+        ).otherwise(T.strip(T.strip_citations(x)))
+    )
     prose = F.array_join(F.filter(shown, lambda x: x.isNotNull() & (x != "")), "\n")
-    cut = pieces.select(key, "msg_pos", "seg_pos", F.when(code, "code").otherwise("text").alias("type"), F.when(code, language).alias("lang"), F.when(code, inside).otherwise(prose).alias("text"))
+    cut = pieces.select(
+        key, "msg_pos", "seg_pos", F.when(code, "code").otherwise("text").alias("type"),
+        F.when(code, language).alias("lang"), F.when(code, inside).otherwise(prose).alias("text")
+    )
     call = (F.col("type") == "code") & F.lower("lang").isin("", "unknown") & T.is_tool_call(F.col("text"))
     return cut.where(F.length("text") > 0).where(~F.coalesce(call, F.lit(False)))

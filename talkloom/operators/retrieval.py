@@ -14,10 +14,17 @@ from talkloom.session import checkpointed
 
 def search(items: DataFrame, texts: DataFrame | None, query: str) -> DataFrame:
     """Items in which every word of the query is part of title, keywords, snippet or search text, in any case."""
-    joined = items if texts is None else items.join(texts.select("file", F.col("search_text").alias("__text")), "file", "left")
-    where = [F.lower("title"), F.lower(F.array_join("keywords", " ")), F.lower("snippet"), *([] if texts is None else [F.col("__text")])]
+    joined = items if texts is None else items.join(
+        texts.select("file", F.col("search_text").alias("__text")), "file", "left"
+    )
+    where = [
+        F.lower("title"), F.lower(F.array_join("keywords", " ")), F.lower("snippet"),
+        *([] if texts is None else [F.col("__text")])
+    ]
     for word in query.lower().split():
-        joined = joined.where(reduce(Column.__or__, [F.coalesce(F.contains(c, F.lit(word)), F.lit(False)) for c in where]))
+        joined = joined.where(
+            reduce(Column.__or__, [F.coalesce(F.contains(c, F.lit(word)), F.lit(False)) for c in where])
+        )
     return joined.select(*items.columns)
 
 
@@ -38,7 +45,9 @@ def search_many(items: DataFrame, texts: DataFrame, queries: DataFrame) -> DataF
     found = None
     for block in range(blocks):
         some = words.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
-        met = hay.join(F.broadcast(some), F.forall("words", lambda w: F.contains(F.col("hay"), w))).select("query_id", "file")
+        met = hay.join(
+            F.broadcast(some), F.forall("words", lambda w: F.contains(F.col("hay"), w))
+        ).select("query_id", "file")
         found = met if found is None else found.union(met)
     return found
 
@@ -59,18 +68,26 @@ def by_topic(items: DataFrame, label: str) -> DataFrame:
     return items.where(F.col("cluster_label") == label)
 
 
-def by_date_range(items: DataFrame, start: str | None = None, end: str | None = None, whole_end_day: bool = False) -> DataFrame:
+def by_date_range(
+    items: DataFrame, start: str | None = None, end: str | None = None, whole_end_day: bool = False
+) -> DataFrame:
     """Items created from start to end (days, at midnight UTC: the end day itself is out after it, unless whole_end_day).
     Items without a date are out as soon as there is a bound."""
     if start:
         items = items.where(F.col("created") >= F.lit(datetime.fromisoformat(start)).cast("timestamp"))
     if end:
         bound = F.lit(datetime.fromisoformat(end)).cast("timestamp")
-        items = items.where(F.col("created") < bound + F.expr("interval 1 day") if whole_end_day else F.col("created") <= bound)
+        items = items.where(
+            F.col("created") < bound + F.expr("interval 1 day") if whole_end_day else F.col("created") <= bound
+        )
     return items
 
 
-def filter_items(items: DataFrame, texts: DataFrame | None = None, query: str = "", min_messages: int = 0, starred: DataFrame | None = None, keyword: str | None = None, topic: str | None = None, start: str | None = None, end: str | None = None, whole_end_day: bool = False) -> DataFrame:
+def filter_items(
+    items: DataFrame, texts: DataFrame | None = None, query: str = "", min_messages: int = 0,
+    starred: DataFrame | None = None, keyword: str | None = None, topic: str | None = None, start: str | None = None,
+    end: str | None = None, whole_end_day: bool = False
+) -> DataFrame:
     """All given filters at once. The cheap ones come first and reach the scan."""
     found = by_date_range(by_min_messages(items, min_messages), start, end, whole_end_day)
     found = by_topic(found, topic) if topic else found
@@ -80,7 +97,9 @@ def filter_items(items: DataFrame, texts: DataFrame | None = None, query: str =
 
 
 def _item_order(by: str) -> list[Column]:
-    orders = {"updated": F.desc_nulls_last("updated"), "created": F.asc_nulls_last("created"), "messages": F.desc("messages")}
+    orders = {
+        "updated": F.desc_nulls_last("updated"), "created": F.asc_nulls_last("created"), "messages": F.desc("messages")
+    }
     return [orders[by], F.asc("index")]
 
 
@@ -101,8 +120,12 @@ RARE = 32
 def _subsets(words: str) -> Column:
     """All non-empty subsets of an array of a few words, each in the array's order."""
     n = F.size(words)
-    masks = F.when(n > 0, F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), n) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(masks, lambda m: F.filter(words, lambda _, i: F.call_function("shiftright", m, i).bitwiseAND(1) == 1))
+    masks = F.when(
+        n > 0, F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), n) - 1)
+    ).otherwise(F.array().cast("array<int>"))
+    return F.transform(
+        masks, lambda m: F.filter(words, lambda _, i: F.call_function("shiftright", m, i).bitwiseAND(1) == 1)
+    )
 
 
 def similar(items: DataFrame, k: int = 5, key: str = "conv_id") -> DataFrame:
@@ -124,17 +147,26 @@ def similar(items: DataFrame, k: int = 5, key: str = "conv_id") -> DataFrame:
     others = rare.select("word", F.col("a").alias("b"), F.col("index").alias("ib"), F.col("words").alias("theirs"))
     met = rare.select("a", "words", "word").join(others, "word").drop("word")
 
-    frequent = known.where(F.col("df") > RARE).groupBy("a", "index", "words").agg(F.array_sort(F.collect_list("word")).alias("frequent"))
+    frequent = known.where(F.col("df") > RARE).groupBy("a", "index", "words").agg(
+        F.array_sort(F.collect_list("word")).alias("frequent")
+    )
     sets = checkpointed(frequent.select("a", "index", "words", F.explode(_subsets("frequent")).alias("set")))
-    held = sets.select("set", F.size("words").alias("size"), F.struct(F.col("index").alias("ib"), F.col("a").alias("b"), F.col("words").alias("theirs")).alias("item"))
-    first = top_k(held, ["set", "size"], [F.asc("item.ib")], k + 1, "place").groupBy("set").agg(F.collect_list("item").alias("items"))
+    held = sets.select(
+        "set", F.size("words").alias("size"),
+        F.struct(F.col("index").alias("ib"), F.col("a").alias("b"), F.col("words").alias("theirs")).alias("item")
+    )
+    first = top_k(
+        held, ["set", "size"], [F.asc("item.ib")], k + 1, "place"
+    ).groupBy("set").agg(F.collect_list("item").alias("items"))
     sized = checkpointed(first.join(sets.groupBy("set").agg(F.count("*").alias("n")).where("n > 1"), "set"))
     total = sized.agg(F.sum("n")).first()[0] or 0
     listed = join_by_key(sets, sized, ["set"], "n", total).select("a", "words", F.explode("items").alias("item"))
     met = met.union(listed.select("a", "words", "item.b", "item.ib", "item.theirs")).where(F.col("a") != F.col("b"))
 
     both = F.size(F.array_intersect("words", "theirs"))
-    scored = met.withColumn("score", both / (F.size("words") + F.size("theirs") - both)).select("a", "b", "ib", "score").distinct()
+    scored = met.withColumn(
+        "score", both / (F.size("words") + F.size("theirs") - both)
+    ).select("a", "b", "ib", "score").distinct()
     best = top_k(scored, ["a"], [F.desc("score"), F.asc("ib")], k)
     return best.select(F.col("a").alias(key), F.col("b").alias("other"), "score", "rank")
 
@@ -159,4 +191,6 @@ def random_item(items: DataFrame, seed: int) -> DataFrame:
 def attach_notes(items: DataFrame, annotations: DataFrame) -> DataFrame:
     """items with starred and note."""
     kept = [c for c in items.columns if c not in ("starred", "note")]
-    return items.select(*kept).join(annotations.select("file", "starred", "note"), "file", "left").withColumn("starred", F.coalesce("starred", F.lit(False)))
+    return items.select(*kept).join(
+        annotations.select("file", "starred", "note"), "file", "left"
+    ).withColumn("starred", F.coalesce("starred", F.lit(False)))

@@ -27,7 +27,9 @@ def han_runs(text: Column) -> Column:
 
 def han_ngrams(run: Column, least: int = 2, most: int = 4) -> Column:
     """All substrings of those lengths: by length, then by place."""
-    grams = lambda n: F.transform(F.sequence(F.lit(1), F.length(run) - n + 1), lambda i: F.substring(run, i, F.lit(n)))
+    grams = lambda n: F.transform(
+        F.sequence(F.lit(1), F.length(run) - n + 1), lambda i: F.substring(run, i, F.lit(n))
+    )
     empty = F.array().cast("array<string>")
     return F.concat(*(F.when(F.length(run) >= n, grams(n)).otherwise(empty) for n in range(least, most + 1)))
 
@@ -38,40 +40,79 @@ def is_chinese_term(term: Column) -> Column:
 
 def is_noise_term(term: Column, lexicon: Lexicon = DEFAULT) -> Column:
     low = F.lower(term)
-    ids = low.rlike(r"^turn\p{Nd}+(?:search|news|view|file|calc|code|media)\p{Nd}+$") | low.rlike(r"^[a-z]{1,2}\p{Nd}{1,4}$") | low.rlike(r"^[a-z]{1,3}\p{Nd}{3,}$")
+    ids = low.rlike(
+        r"^turn\p{Nd}+(?:search|news|view|file|calc|code|media)\p{Nd}+$"
+    ) | low.rlike(r"^[a-z]{1,2}\p{Nd}{1,4}$") | low.rlike(r"^[a-z]{1,3}\p{Nd}{3,}$")
     return F.coalesce(low.isin(lexicon.noise) | ids | (term == ""), F.lit(True))
 
 
-def han_vocab(docs: DataFrame, n_docs: int, min_df: int | None = None, max_df_ratio: float = 0.35, lexicon: Lexicon = DEFAULT, text: str = "text", max_run: int = 0) -> DataFrame:
+def han_vocab(
+    docs: DataFrame, n_docs: int, min_df: int | None = None, max_df_ratio: float = 0.35, lexicon: Lexicon = DEFAULT,
+    text: str = "text", max_run: int = 0
+) -> DataFrame:
     """term: n-grams of Han runs (of their first max_run characters, if any are given) in min_df documents or more and max_df_ratio of them or fewer, and the domain terms.
 
     Grams are made distinct within their document's row, so the shuffle counts documents.
     """
     n = max(1, n_docs)
     least = (2 if n < 80 else 3) if min_df is None else min_df
-    grams = F.array_distinct(F.flatten(F.transform(han_runs(F.col(text)), lambda r: han_ngrams(F.substring(r, 1, max_run) if max_run else r))))
-    counted = docs.select(F.explode(grams).alias("term")).where(~F.col("term").isin(lexicon.zh_stop) & ~F.col("term").rlike(r"^(.)\1+$")).groupBy("term").agg(F.count("*").alias("df"))
+    grams = F.array_distinct(
+        F.flatten(
+            F.transform(han_runs(F.col(text)), lambda r: han_ngrams(F.substring(r, 1, max_run) if max_run else r))
+        )
+    )
+    counted = docs.select(F.explode(grams).alias("term")).where(
+        ~F.col("term").isin(lexicon.zh_stop) & ~F.col("term").rlike(r"^(.)\1+$")
+    ).groupBy("term").agg(F.count("*").alias("df"))
     learned = counted.where(F.col("df").between(least, int(n * max_df_ratio))).select("term")
     domain = docs.sparkSession.createDataFrame([(t,) for t in lexicon.domain], "term string")
     return learned.union(domain).distinct()
 
 
-def segment_han(runs: DataFrame, vocab: DataFrame, keys: list[str], lexicon: Lexicon = DEFAULT, broadcast_words: int = 1_000_000) -> DataFrame:
+def segment_han(
+    runs: DataFrame, vocab: DataFrame, keys: list[str], lexicon: Lexicon = DEFAULT, broadcast_words: int = 1_000_000
+) -> DataFrame:
     """keys, pos, term: each run cut from the left into the longest terms of the vocabulary (4, 3, 2 characters).
 
     Candidates meet the vocabulary in a semi join, where they lie if it has broadcast_words terms at most (some ten
     bytes each); a fold over a run's hits, by place and falling length, then
     keeps those that start where the last one has ended or later.
     """
-    at = F.explode(F.flatten(F.transform(F.array(F.lit(4), F.lit(3), F.lit(2)), lambda n: F.when(F.length("run") >= n, F.transform(F.sequence(F.lit(1), F.length("run") - n + 1), lambda i: F.struct(i.alias("pos"), (-n).alias("less"), F.substring(F.col("run"), i, n).alias("term")))).otherwise(F.array().cast("array<struct<pos:int,less:int,term:string>>")))))
+    at = F.explode(
+        F.flatten(
+            F.transform(
+                F.array(F.lit(4), F.lit(3), F.lit(2)),
+                lambda n: F.when(
+                    F.length("run") >= n,
+                    F.transform(
+                        F.sequence(F.lit(1), F.length("run") - n + 1),
+                        lambda i: F.struct(
+                            i.alias("pos"), (-n).alias("less"), F.substring(F.col("run"), i, n).alias("term")
+                        )
+                    )
+                ).otherwise(F.array().cast("array<struct<pos:int,less:int,term:string>>"))
+            )
+        )
+    )
     candidates = runs.select(*keys, at.alias("x")).select(*keys, "x.pos", "x.less", "x.term").where(~F.col("term").isin(lexicon.zh_stop))
     words = vocab.select("term")
     if broadcast_words and words.count() <= broadcast_words:
         words = F.broadcast(words)
-    hits = candidates.join(words, "term", "left_semi").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "less", "term"))).alias("hits"))
+    hits = candidates.join(words, "term", "left_semi").groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("pos", "less", "term"))).alias("hits")
+    )
     start = F.struct(F.lit(0).alias("free"), F.array().cast("array<struct<pos:int,less:int,term:string>>").alias("out"))
-    kept = F.aggregate("hits", start, lambda s, x: F.when(x["pos"] >= s["free"], F.struct((x["pos"] - x["less"]).alias("free"), F.concat(s["out"], F.array(x)).alias("out"))).otherwise(s), lambda s: s["out"])
-    return hits.select(*keys, F.explode(kept).alias("x")).select(*keys, F.col("x.pos").alias("pos"), F.col("x.term").alias("term"))
+    kept = F.aggregate(
+        "hits", start, lambda s,
+        x: F.when(
+            x["pos"] >= s["free"],
+            F.struct((x["pos"] - x["less"]).alias("free"), F.concat(s["out"], F.array(x)).alias("out"))
+        ).otherwise(s),
+        lambda s: s["out"]
+    )
+    return hits.select(*keys, F.explode(kept).alias("x")).select(
+        *keys, F.col("x.pos").alias("pos"), F.col("x.term").alias("term")
+    )
 
 
 def normalize_terms(tokens: DataFrame, lexicon: Lexicon = DEFAULT, name: str = "term") -> DataFrame:
@@ -80,26 +121,39 @@ def normalize_terms(tokens: DataFrame, lexicon: Lexicon = DEFAULT, name: str = "
     Letter case stays unless an alias (keyed in lower case) says otherwise.
     """
     aliases = tokens.sparkSession.createDataFrame(list(lexicon.aliases.items()), "__key string, __shown string")
-    shown = tokens.join(F.broadcast(aliases), F.lower(name) == F.col("__key"), "left").withColumn(name, F.coalesce("__shown", name)).drop("__key", "__shown")
+    shown = tokens.join(
+        F.broadcast(aliases), F.lower(name) == F.col("__key"), "left"
+    ).withColumn(name, F.coalesce("__shown", name)).drop("__key", "__shown")
     term, low = F.col(name), F.lower(name)
-    short = ~is_chinese_term(term) & (((F.length(low) <= 2) & ~low.isin(lexicon.short_allowed)) | (low.rlike(r"\p{Nd}") & (F.length(low) <= 3)))
+    short = ~is_chinese_term(term) & (
+        ((F.length(low) <= 2) & ~low.isin(lexicon.short_allowed)) | (low.rlike(r"\p{Nd}") & (F.length(low) <= 3))
+    )
     drop = is_noise_term(term, lexicon) | low.isin(lexicon.en_stop) | term.isin(lexicon.zh_stop) | low.startswith("http") | low.rlike(r"^\p{Nd}+$") | short
     return shown.where(~drop)
 
 
-def tokenize(docs: DataFrame, vocab: DataFrame | None, keys: list[str], lexicon: Lexicon = DEFAULT, text: str = "text", max_chars: int = 0) -> DataFrame:
+def tokenize(
+    docs: DataFrame, vocab: DataFrame | None, keys: list[str], lexicon: Lexicon = DEFAULT, text: str = "text",
+    max_chars: int = 0
+) -> DataFrame:
     """keys, pos, term: Latin tokens in order, then Chinese ones, of the text (its first max_chars characters, if given).
 
     vocab None stands for no vocabulary: every n-gram of a run is a token then.
     """
     cut = docs.select(*keys, (F.substring(text, 1, max_chars) if max_chars else F.col(text)).alias("text"))
-    latin = cut.select(*keys, F.posexplode(latin_tokens(F.col("text"))).alias("pos", "term")).withColumn("pos", F.col("pos").cast("long"))
-    runs = cut.select(*keys, F.posexplode(han_runs(F.col("text"))).alias("run_no", "run")).where(~F.col("run").isin(lexicon.zh_stop))
+    latin = cut.select(
+        *keys, F.posexplode(latin_tokens(F.col("text"))).alias("pos", "term")
+    ).withColumn("pos", F.col("pos").cast("long"))
+    runs = cut.select(
+        *keys, F.posexplode(han_runs(F.col("text"))).alias("run_no", "run")
+    ).where(~F.col("run").isin(lexicon.zh_stop))
     if vocab is None:
         han = runs.select(*keys, "run_no", F.posexplode(han_ngrams(F.col("run"))).alias("pos", "term"))
     else:
         han = segment_han(runs, vocab, [*keys, "run_no"], lexicon)
-    han = han.select(*keys, (F.lit(HAN_PLACE) + F.col("run_no").cast("long") * RUN_PLACE + F.col("pos")).alias("pos"), "term")
+    han = han.select(
+        *keys, (F.lit(HAN_PLACE) + F.col("run_no").cast("long") * RUN_PLACE + F.col("pos")).alias("pos"), "term"
+    )
     return normalize_terms(latin.unionByName(han), lexicon)
 
 
@@ -110,7 +164,9 @@ def term_counts(tokens: DataFrame, keys: list[str]) -> DataFrame:
 def doc_freq(tf: DataFrame, index: str = "index") -> DataFrame:
     """term, df, first_index, first_pos: documents of each term, and where it was seen first."""
     first = F.min(F.struct(index, "first_pos"))
-    return tf.groupBy("term").agg(F.count("*").alias("df"), first.alias("f")).select("term", "df", F.col(f"f.{index}").alias("first_index"), F.col("f.first_pos").alias("first_pos"))
+    return tf.groupBy("term").agg(F.count("*").alias("df"), first.alias("f")).select(
+        "term", "df", F.col(f"f.{index}").alias("first_index"), F.col("f.first_pos").alias("first_pos")
+    )
 
 
 def idf(df: Column, n_docs: int) -> Column:
@@ -122,19 +178,30 @@ def is_good_keyword(term: Column, df: Column, n_docs: int, lexicon: Lexicon = DE
     listed = low.isin(lexicon.blacklist) | is_noise_term(term, lexicon) | term.isin(lexicon.zh_stop) | low.isin(lexicon.en_stop)
     common = (df < 2) | (df > int(max(1, n_docs) * 0.6))
     short = ~is_chinese_term(term) & (F.length(low) <= 2) & ~low.isin(lexicon.short_allowed)
-    code = term.rlike(r"^[\x{00}-\x{7F}]*$") & ((term.contains("_") & (F.length(term) >= 6)) | term.rlike("^[a-z].*[A-Z]") | term.rlike(f"(?:{'|'.join(IDENTIFIER_ENDINGS)})$"))
+    code = term.rlike(r"^[\x{00}-\x{7F}]*$") & (
+        (
+            term.contains("_") & (F.length(term) >= 6)
+        ) | term.rlike("^[a-z].*[A-Z]") | term.rlike(f"(?:{'|'.join(IDENTIFIER_ENDINGS)})$")
+    )
     return ~(listed | common | short | code)
 
 
-def tfidf_keywords(tf: DataFrame, df: DataFrame, n_docs: int, keys: list[str], limit: int = 8, lexicon: Lexicon = DEFAULT) -> DataFrame:
+def tfidf_keywords(
+    tf: DataFrame, df: DataFrame, n_docs: int, keys: list[str], limit: int = 8, lexicon: Lexicon = DEFAULT
+) -> DataFrame:
     """keys, rank, term, tf, df, weight: each document's best terms. Only good keywords are joined."""
     good = df.where(is_good_keyword(F.col("term"), F.col("df"), n_docs, lexicon)).select("term", "df")
-    weighed = tf.join(good, "term").withColumn("weight", (1.0 + F.log(F.col("tf").cast("double"))) * idf(F.col("df"), n_docs))
+    weighed = tf.join(good, "term").withColumn(
+        "weight", (1.0 + F.log(F.col("tf").cast("double"))) * idf(F.col("df"), n_docs)
+    )
     best = top_k(weighed, keys, [F.desc("weight"), F.desc("tf"), F.asc("term")], limit)
     return best.select(*keys, "rank", "term", "tf", "df", "weight")
 
 
-def topic_labels(docs: DataFrame, tf: DataFrame, keywords: DataFrame, n_docs: int, key: str = "conv_id", min_fallback_df: int | None = None, lexicon: Lexicon = DEFAULT) -> DataFrame:
+def topic_labels(
+    docs: DataFrame, tf: DataFrame, keywords: DataFrame, n_docs: int, key: str = "conv_id",
+    min_fallback_df: int | None = None, lexicon: Lexicon = DEFAULT
+) -> DataFrame:
     """key, cluster_label for every row of docs: the rule with the most hits (two or more; earlier rules win ties),
     else the first keyword that enough documents share, else the label of all others."""
     n = max(1, n_docs)
@@ -142,9 +209,15 @@ def topic_labels(docs: DataFrame, tf: DataFrame, keywords: DataFrame, n_docs: in
     triggers = sorted({(t.lower(), label, place) for place, (label, terms) in enumerate(lexicon.topics) for t in terms})
     rules = tf.sparkSession.createDataFrame(triggers, "low string, label string, place int")
     scores = tf.withColumn("low", F.lower("term")).join(F.broadcast(rules), "low").groupBy(key, "label", "place").agg(F.sum("tf").alias("hits"))
-    ruled = scores.groupBy(key).agg(F.max_by("label", F.struct("hits", -F.col("place"))).alias("rule"), F.max("hits").alias("hits")).where("hits >= 2").select(key, "rule")
-    shared = keywords.where((F.col("df") >= least) & ~F.lower("term").isin(lexicon.blacklist)).groupBy(key).agg(F.min_by("term", "rank").alias("shared"))
-    return docs.select(key).join(ruled, key, "left").join(shared, key, "left").select(key, F.coalesce("rule", "shared", F.lit(OTHER_TOPIC)).alias("cluster_label"))
+    ruled = scores.groupBy(key).agg(
+        F.max_by("label", F.struct("hits", -F.col("place"))).alias("rule"), F.max("hits").alias("hits")
+    ).where("hits >= 2").select(key, "rule")
+    shared = keywords.where(
+        (F.col("df") >= least) & ~F.lower("term").isin(lexicon.blacklist)
+    ).groupBy(key).agg(F.min_by("term", "rank").alias("shared"))
+    return docs.select(key).join(ruled, key, "left").join(shared, key, "left").select(
+        key, F.coalesce("rule", "shared", F.lit(OTHER_TOPIC)).alias("cluster_label")
+    )
 
 
 def _interleaved(candidates: DataFrame, taken: DataFrame, limit: int, han_a_round: int, n_taken: int = 0) -> DataFrame:
@@ -157,7 +230,12 @@ def _interleaved(candidates: DataFrame, taken: DataFrame, limit: int, han_a_roun
     for han, share in ((True, han_a_round), (False, 1)):
         side = candidates.where(is_chinese_term(F.col("term")) == han).orderBy(*order).limit(depth).withColumn("all", F.lit(1))
         side = top_k(side, ["all"], order, depth, "n")
-        sides.append(side.select("term", "df", F.floor(n / share).alias("round"), (F.pmod(n, F.lit(share)) if han else F.lit(han_a_round)).cast("int").alias("turn")))
+        sides.append(
+            side.select(
+                "term", "df", F.floor(n / share).alias("round"),
+                (F.pmod(n, F.lit(share)) if han else F.lit(han_a_round)).cast("int").alias("turn")
+            )
+        )
     return sides[0].union(sides[1]).join(taken.select("term"), "term", "left_anti")
 
 
@@ -168,11 +246,15 @@ def hot_terms(df: DataFrame, n_docs: int, limit: int = 40, lexicon: Lexicon = DE
     pinned = good.join(F.broadcast(pins), "term").select("term", "df", F.lit(-1).cast("long").alias("round"), "turn")
     rest = _interleaved(good, pinned, limit, 2, len(lexicon.pinned))
     best = pinned.union(rest).orderBy("round", "turn").limit(limit).withColumn("all", F.lit(1))
-    return top_k(best, ["all"], [F.asc("round"), F.asc("turn")], limit).select("rank", "term", F.col("df").alias("count"))
+    return top_k(
+        best, ["all"], [F.asc("round"), F.asc("turn")], limit
+    ).select("rank", "term", F.col("df").alias("count"))
 
 
 def mix_keywords(df: DataFrame, limit: int = 40) -> DataFrame:
     """rank, term, count: Chinese and other terms in turn, each by falling count."""
     none = df.sparkSession.createDataFrame([], "term string")
     best = _interleaved(df, none, limit, 1).orderBy("round", "turn").limit(limit).withColumn("all", F.lit(1))
-    return top_k(best, ["all"], [F.asc("round"), F.asc("turn")], limit).select("rank", "term", F.col("df").alias("count"))
+    return top_k(
+        best, ["all"], [F.asc("round"), F.asc("turn")], limit
+    ).select("rank", "term", F.col("df").alias("count"))

@@ -16,7 +16,11 @@ def words(values) -> str:
 
 
 def rows(values) -> str:
-    return ", ".join("(" + ", ".join("'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v) for v in r) + ")" for r in values)
+    return ", ".join(
+        "(" + ", ".join(
+            "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v) for v in r
+        ) + ")" for r in values
+    )
 
 
 def strip(x: str) -> str:
@@ -162,7 +166,11 @@ CTES = {
     "c_feat": f"SELECT *, length(replace(text, ' ', '')) AS chars, {_flags('compact')} FROM (SELECT *, {one_space('text')} AS compact, length(replace({one_space('text')}, ' ', '')) AS char_len FROM c_turns WHERE text <> '')",
     "c_user": "SELECT * FROM c_feat WHERE role = 'user'",
     "c_bot": f"SELECT *, regexp_matches(text, '(?:{_CUES['clarify']})') AS clarify, regexp_matches(text, '(?i)(?:{_CUES['boundary']})') AS boundary FROM c_feat WHERE role = 'assistant'",
-    "c_counts": """SELECT conv_id, CAST(count(*) FILTER (role = 'user') AS BIGINT) AS u, CAST(count(*) FILTER (role = 'assistant') AS BIGINT) AS a, """ + ", ".join(f'count(*) FILTER (role = \'user\' AND "{n}") AS {n[:5]}' for n in ("clarity", "constraint", "context", "feedback")) + " FROM c_feat GROUP BY conv_id",
+    "c_counts": """SELECT conv_id, CAST(count(*) FILTER (role = 'user') AS BIGINT) AS u, CAST(count(*) FILTER (role = 'assistant') AS BIGINT) AS a, """ + ", ".join(
+        f'count(*) FILTER (role = \'user\' AND "{n}") AS {n[:5]}' for n in (
+            "clarity", "constraint", "context", "feedback"
+        )
+    ) + " FROM c_feat GROUP BY conv_id",
     "c_scores": """SELECT conv_id, u AS user_messages, a AS assistant_messages, clari / greatest(1, u) AS clarity_rate, const / greatest(1, u) AS constraint_rate, conte / greatest(1, u) AS context_rate, feedb / greatest(1, u) AS feedback_rate, CAST(u >= 2 AS INTEGER) AS iteration,
       (clari / greatest(1, u) + const / greatest(1, u) + conte / greatest(1, u) + feedb / greatest(1, u) + CAST(u >= 2 AS INTEGER)) / 5.0 AS score FROM c_counts""",
     "c_totals": """SELECT (SELECT count(*) FROM c_counts) AS conversations, (SELECT count(*) FROM c_counts WHERE u >= 2) AS iteration_conversations, (SELECT count(*) FROM c_user) AS user_messages, (SELECT count(*) FROM c_bot) AS assistant_messages,
@@ -170,7 +178,10 @@ CTES = {
     "c_summary": """SELECT conversations, user_messages, assistant_messages, user_chars / greatest(1, user_messages) AS avg_user_len, (user_messages + assistant_messages) / greatest(1, conversations) AS avg_turns, clarity_hits / greatest(1, user_messages) AS clarity_avg, constraint_hits / greatest(1, user_messages) AS constraint_rate,
       context_hits / greatest(1, user_messages) AS context_rate, feedback_hits / greatest(1, user_messages) AS feedback_rate, iteration_conversations / greatest(1, conversations) AS iteration_rate, clarify_hits / greatest(1, assistant_messages) AS clarification_rate FROM c_totals WHERE user_messages > 0""",
     "c_rates": "UNPIVOT (SELECT clarity_avg, constraint_rate, context_rate, feedback_rate, iteration_rate, clarification_rate FROM c_summary) ON COLUMNS(*) INTO NAME metric VALUE value",
-    "c_buckets": "SELECT *, CAST(row_number() OVER (PARTITION BY bucket ORDER BY score DESC, text, conv_id, msg_pos) AS INTEGER) AS rank FROM (" + " UNION ALL ".join(f"""SELECT '{n}' AS bucket, {truncate('compact')} AS text, {"100 - char_len" if n == "vague" else "char_len"} AS score, conv_id, msg_pos FROM c_user WHERE "{n}" """ for n, _ in L.QUOTE_LABELS) + ") QUALIFY rank <= 60",
+    "c_buckets": "SELECT *, CAST(row_number() OVER (PARTITION BY bucket ORDER BY score DESC, text, conv_id, msg_pos) AS INTEGER) AS rank FROM (" + " UNION ALL ".join(
+        f"""SELECT '{n}' AS bucket, {truncate('compact')} AS text, {"100 - char_len" if n == "vague" else "char_len"} AS score, conv_id, msg_pos FROM c_user WHERE "{n}" """ for n,
+        _ in L.QUOTE_LABELS
+    ) + ") QUALIFY rank <= 60",
     "c_search": f"SELECT c.conv_id, idx, file, title, coalesce({strip('lower(t)')}, '') AS search_text FROM c_convs c LEFT JOIN (SELECT conv_id, regexp_replace(string_agg(clean_code, {NL} ORDER BY msg_pos) FILTER (clean_code <> ''), '[\\s\\x{{3000}}]+', ' ', 'g') AS t FROM (SELECT *, {normalize('body', True)} AS clean_code FROM c_fx) GROUP BY conv_id) s ON c.conv_id = s.conv_id",
     "c_kwlist": "SELECT conv_id, list(term ORDER BY rank) AS keywords FROM c_kw GROUP BY conv_id",
     "c_items": f"SELECT c.*, coalesce(keywords, []) AS keywords, cluster_label, {strip('substr(coalesce(text, chr(32)), 1, 240)')} AS snippet FROM c_convs c LEFT JOIN c_texts t ON c.conv_id = t.conv_id LEFT JOIN c_kwlist k ON c.conv_id = k.conv_id JOIN c_topics p ON c.conv_id = p.conv_id",

@@ -55,7 +55,10 @@ def insights(spark: SparkSession, sf_dir: str) -> Insights:
 
 
 def report(spark: SparkSession, sf_dir: str, items: bool = False) -> InteractionReport:
-    return InteractionReport(fixtures.messages(spark, sf_dir), fixtures.convs(spark, sf_dir).join(insights(spark, sf_dir).topics, "conv_id") if items else None)
+    return InteractionReport(
+        fixtures.messages(spark, sf_dir),
+        fixtures.convs(spark, sf_dir).join(insights(spark, sf_dir).topics, "conv_id") if items else None
+    )
 
 
 def rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -66,46 +69,96 @@ def rounded(df: DataFrame, *names: str) -> DataFrame:
 
 WHEN = "coalesce(strftime({0}, '%Y-%m-%d %H:%M:%SZ'), 'unknown')"
 on_convs("format_ts", lambda: fields.format_ts(F.col("created")), WHEN.format("created"))
-on_convs("parse_ts", lambda: F.coalesce(fields.parse_ts(fields.format_ts(F.col("created"))).cast("long"), F.lit(0)), "coalesce(epoch_us(created) // 1000000, 0)")
-on_convs("to_time", lambda: fields.format_ts(fields.to_time(F.when(F.col("conv_id") % 3 == 0, F.unix_timestamp("created").cast("string")).when(F.col("conv_id") % 3 == 1, F.date_format("created", "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise(fields.format_ts(F.col("created"))))), WHEN.format("created"))
-on_convs("slugify", lambda: fields.slugify(F.concat(F.lit("-Chat, No. "), "conv_id", F.lit("!"))), "'chat-no-' || conv_id")
-on_convs("archive_file_name", lambda: fields.archive_file_name(F.col("index"), F.col("created"), F.col("title"), F.col("id")), "substr(file, 15)")
-
-
-@register(f"""SELECT conv_id, CASE WHEN conv_id % 2 = 0 THEN title ELSE 'Untitled' END AS title, CASE WHEN conv_id % 3 = 0 THEN '' WHEN conv_id % 3 = 1 THEN id ELSE 'c' || conv_id END AS id, {WHEN.format("CASE WHEN conv_id % 2 = 1 THEN created END")} AS created FROM c_convs""")
+on_convs(
+    "parse_ts", lambda: F.coalesce(fields.parse_ts(fields.format_ts(F.col("created"))).cast("long"), F.lit(0)),
+    "coalesce(epoch_us(created) // 1000000, 0)"
+)
+on_convs(
+    "to_time",
+    lambda: fields.format_ts(
+        fields.to_time(
+            F.when(F.col("conv_id") % 3 == 0, F.unix_timestamp("created").cast("string")).when(
+                F.col("conv_id") % 3 == 1, F.date_format("created", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+            ).otherwise(fields.format_ts(F.col("created")))
+        )
+    ),
+    WHEN.format("created")
+)
+on_convs(
+    "slugify", lambda: fields.slugify(F.concat(F.lit("-Chat, No. "), "conv_id", F.lit("!"))), "'chat-no-' || conv_id"
+)
+on_convs(
+    "archive_file_name",
+    lambda: fields.archive_file_name(F.col("index"), F.col("created"), F.col("title"), F.col("id")), "substr(file, 15)"
+)
+
+
+@register(
+    f"""SELECT conv_id, CASE WHEN conv_id % 2 = 0 THEN title ELSE 'Untitled' END AS title, CASE WHEN conv_id % 3 = 0 THEN '' WHEN conv_id % 3 = 1 THEN id ELSE 'c' || conv_id END AS id, {WHEN.format("CASE WHEN conv_id % 2 = 1 THEN created END")} AS created FROM c_convs"""
+)
 def normalize_fields(spark, sf_dir):
     c = F.col("conv_id")
     rows = fixtures.convs(spark, sf_dir).select(
         "conv_id", F.when(c % 2 == 0, F.col("title")).otherwise(F.when(c % 4 == 1, F.lit(""))).alias("title"), F.when(c % 3 == 1, F.col("id")).otherwise(F.lit("")).alias("id"),
-        F.when(c % 3 == 2, F.concat(F.lit("c"), c.cast("string"))).alias("conversation_id"), F.lit("0").alias("created_utc"), F.when(c % 2 == 1, F.unix_timestamp("created").cast("string")).alias("create_time"),
+        F.when(
+            c % 3 == 2, F.concat(F.lit("c"), c.cast("string"))
+        ).alias("conversation_id"), F.lit("0").alias("created_utc"), F.when(
+            c % 2 == 1, F.unix_timestamp("created").cast("string")
+        ).alias("create_time"),
     )
     found = M.normalize_conversation_fields(rows)
     return found.select("conv_id", "title", "id", fields.format_ts(F.col("created")).alias("created"))
 
 
-@register("""SELECT conv_id, turn AS msg_pos, role || CASE WHEN turn % 2 = 1 THEN ':web' ELSE '' END || CASE WHEN turn > 0 THEN ' (1970-01-01 00:' || printf('%02d', turn * 10 // 60) || ':' || printf('%02d', turn * 10 % 60) || 'Z)' ELSE '' END AS label, lower(role) AS base FROM conversations""")
+@register(
+    """SELECT conv_id, turn AS msg_pos, role || CASE WHEN turn % 2 = 1 THEN ':web' ELSE '' END || CASE WHEN turn > 0 THEN ' (1970-01-01 00:' || printf('%02d', turn * 10 // 60) || ':' || printf('%02d', turn * 10 % 60) || 'Z)' ELSE '' END AS label, lower(role) AS base FROM conversations"""
+)
 def role_labels(spark, sf_dir):
-    rows = fixtures.raw(spark, sf_dir).withColumn("ts", F.when(F.col("turn") > 0, F.timestamp_seconds(F.col("turn") * 10)))
+    rows = fixtures.raw(spark, sf_dir).withColumn(
+        "ts", F.when(F.col("turn") > 0, F.timestamp_seconds(F.col("turn") * 10))
+    )
     label = fields.role_label(F.col("role"), F.when(F.col("turn") % 2 == 1, "web"), F.col("ts"))
-    return rows.select("conv_id", F.col("turn").alias("msg_pos"), label.alias("label")).withColumn("base", fields.base_role(F.col("label")))
+    return rows.select(
+        "conv_id", F.col("turn").alias("msg_pos"), label.alias("label")
+    ).withColumn("base", fields.base_role(F.col("label")))
 
 
-@register("SELECT conv_id, turn AS msg_pos, CASE turn % 3 WHEN 0 THEN text WHEN 1 THEN role || chr(10) || text || chr(10) || 'x' ELSE '{\"t\":\"' || replace(text, chr(10), '\\n') || '\"}' END AS body FROM conversations")
+@register(
+    "SELECT conv_id, turn AS msg_pos, CASE turn % 3 WHEN 0 THEN text WHEN 1 THEN role || chr(10) || text || chr(10) || 'x' ELSE '{\"t\":\"' || replace(text, chr(10), '\\n') || '\"}' END AS body FROM conversations"
+)
 def normalize_content(spark, sf_dir):
     nested = F.to_json(F.array(F.col("role"), F.lit(""), F.col("text"), F.lit("x")))
-    raw = F.when(F.col("turn") % 3 == 0, F.to_json(F.to_variant_object(F.array("text")))).when(F.col("turn") % 3 == 1, nested).otherwise(F.to_json(F.struct(F.col("text").alias("t"))))
+    raw = F.when(
+        F.col("turn") % 3 == 0, F.to_json(F.to_variant_object(F.array("text")))
+    ).when(F.col("turn") % 3 == 1, nested).otherwise(F.to_json(F.struct(F.col("text").alias("t"))))
     rows = fixtures.raw(spark, sf_dir).select("conv_id", F.col("turn").alias("msg_pos"), F.parse_json(raw).alias("v"))
     return rows.select("conv_id", "msg_pos", fields.normalize_content(F.col("v")).alias("body"))
 
 
-@register("SELECT conv_id, turn AS msg_pos, CASE turn % 4 WHEN 0 THEN text WHEN 1 THEN repeat(chr(96), 3) || 'sql' || chr(10) || text || chr(10) || repeat(chr(96), 3) WHEN 2 THEN text || chr(10) || '[image] (640x480) file-' || conv_id ELSE '' END AS body FROM conversations")
+@register(
+    "SELECT conv_id, turn AS msg_pos, CASE turn % 4 WHEN 0 THEN text WHEN 1 THEN repeat(chr(96), 3) || 'sql' || chr(10) || text || chr(10) || repeat(chr(96), 3) WHEN 2 THEN text || chr(10) || '[image] (640x480) file-' || conv_id ELSE '' END AS body FROM conversations"
+)
 def render_content(spark, sf_dir):
     t = F.col("turn") % 4
-    image = F.to_json(F.struct(F.lit("image_asset_pointer").alias("content_type"), F.concat(F.lit("file-"), F.col("conv_id").cast("string")).alias("asset_pointer"), F.lit(640).alias("width"), F.lit(480).alias("height")))
-    parts = F.concat(F.lit("["), F.to_json(F.array("text")).substr(F.lit(2), F.length(F.to_json(F.array("text"))) - 2), F.when(t == 2, F.concat(F.lit(","), image)).otherwise(F.lit("")), F.lit("]"))
+    image = F.to_json(
+        F.struct(
+            F.lit("image_asset_pointer").alias("content_type"),
+            F.concat(F.lit("file-"), F.col("conv_id").cast("string")).alias("asset_pointer"),
+            F.lit(640).alias("width"), F.lit(480).alias("height")
+        )
+    )
+    parts = F.concat(
+        F.lit("["), F.to_json(F.array("text")).substr(F.lit(2), F.length(F.to_json(F.array("text"))) - 2),
+        F.when(t == 2, F.concat(F.lit(","), image)).otherwise(F.lit("")), F.lit("]")
+    )
     kind = F.when(t == 0, "text").when(t == 1, "code").when(t == 2, "multimodal_text").otherwise("thoughts")
-    content = F.struct(kind.alias("content_type"), F.from_json(parts, "array<variant>").alias("parts"), F.col("text"), F.lit("sql").alias("language"))
-    return fixtures.raw(spark, sf_dir).select("conv_id", F.col("turn").alias("msg_pos"), fields.render_content(content).alias("body"))
+    content = F.struct(
+        kind.alias("content_type"), F.from_json(parts, "array<variant>").alias("parts"), F.col("text"),
+        F.lit("sql").alias("language")
+    )
+    return fixtures.raw(spark, sf_dir).select(
+        "conv_id", F.col("turn").alias("msg_pos"), fields.render_content(content).alias("body")
+    )
 
 
 # -- Trees and messages --------------------------------------------------------------------------------------------
@@ -124,26 +177,41 @@ def all_nodes(spark, sf_dir):
     return M.all_nodes(fixtures.trees(spark, sf_dir)).select("conv_id", "node_id", "msg_pos")
 
 
-@register("SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS msg_pos, role, text FROM conversations")
+@register(
+    "SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS msg_pos, role, text FROM conversations"
+)
 def explode_messages(spark, sf_dir):
-    listed = fixtures.raw(spark, sf_dir).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("messages"))
+    listed = fixtures.raw(spark, sf_dir).groupBy("conv_id").agg(
+        F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("messages")
+    )
     return M.explode_messages(listed).select("conv_id", "msg_pos", "message.role", "message.text")
 
 
-@register("SELECT conv_id, CAST(row_number() OVER (ORDER BY conv_id) AS BIGINT) AS arrival FROM (SELECT DISTINCT conv_id FROM conversations)")
+@register(
+    "SELECT conv_id, CAST(row_number() OVER (ORDER BY conv_id) AS BIGINT) AS arrival FROM (SELECT DISTINCT conv_id FROM conversations)"
+)
 def number_conversations(spark, sf_dir):
     numbered = M.number_conversations(fixtures.raw(spark, sf_dir).select("conv_id").distinct(), ["conv_id"])
     return numbered.select("conv_id", F.col("index").alias("arrival"))
 
 
-@register(f"SELECT c.conv_id, count(f.body) AS messages FROM c_convs c LEFT JOIN (SELECT * FROM c_fx WHERE NOT {O.tool_call('body')}) f ON c.conv_id = f.conv_id GROUP BY c.conv_id")
+@register(
+    f"SELECT c.conv_id, count(f.body) AS messages FROM c_convs c LEFT JOIN (SELECT * FROM c_fx WHERE NOT {O.tool_call('body')}) f ON c.conv_id = f.conv_id GROUP BY c.conv_id"
+)
 def message_counts(spark, sf_dir):
-    return M.message_counts(fixtures.convs(spark, sf_dir).select("conv_id"), M.drop_tool_calls(fixtures.messages(spark, sf_dir)))
+    return M.message_counts(
+        fixtures.convs(spark, sf_dir).select("conv_id"), M.drop_tool_calls(fixtures.messages(spark, sf_dir))
+    )
 
 
-@register("SELECT conv_id, turn AS msg_pos FROM conversations WHERE turn % 5 <> 4 AND role <> 'system' AND turn % 7 <> 6")
+@register(
+    "SELECT conv_id, turn AS msg_pos FROM conversations WHERE turn % 5 <> 4 AND role <> 'system' AND turn % 7 <> 6"
+)
 def drop_hidden_system_metadata(spark, sf_dir):
-    rows = fixtures.raw(spark, sf_dir).select("conv_id", F.col("turn").alias("msg_pos"), "role", F.when(F.col("turn") % 5 == 4, True).alias("hidden"), F.when(F.col("turn") % 7 == 6, "thoughts").otherwise("text").alias("content_type"))
+    rows = fixtures.raw(spark, sf_dir).select(
+        "conv_id", F.col("turn").alias("msg_pos"), "role", F.when(F.col("turn") % 5 == 4, True).alias("hidden"),
+        F.when(F.col("turn") % 7 == 6, "thoughts").otherwise("text").alias("content_type")
+    )
     return M.drop_metadata_types(M.drop_system(M.drop_hidden(rows))).select("conv_id", "msg_pos")
 
 
@@ -154,7 +222,10 @@ def tool_calls(spark, sf_dir):
 
 @register("SELECT conv_id, turn AS msg_pos FROM conversations WHERE turn % 3 <> 1")
 def drop_blank(spark, sf_dir):
-    rows = fixtures.raw(spark, sf_dir).select("conv_id", F.col("turn").alias("msg_pos"), F.when(F.col("turn") % 3 == 1, "　 \n").otherwise(F.col("text")).alias("body"))
+    rows = fixtures.raw(spark, sf_dir).select(
+        "conv_id", F.col("turn").alias("msg_pos"),
+        F.when(F.col("turn") % 3 == 1, "　 \n").otherwise(F.col("text")).alias("body")
+    )
     return M.drop_blank(rows).select("conv_id", "msg_pos")
 
 
@@ -166,7 +237,9 @@ _TREE_MESSAGES = """SELECT conv_id, turn AS msg_pos, text AS body FROM conversat
 
 @register(_TREE_MESSAGES)
 def tree_archive_messages(spark, sf_dir):
-    return tree_messages(fixtures.trees(spark, sf_dir)).select("conv_id", F.col("msg_pos").cast("long").alias("msg_pos"), "body")
+    return tree_messages(fixtures.trees(spark, sf_dir)).select(
+        "conv_id", F.col("msg_pos").cast("long").alias("msg_pos"), "body"
+    )
 
 
 _GENERIC_MESSAGES = f"SELECT conv_id, msg_pos, {O.strip('body')} AS body FROM c_fx WHERE NOT {O.tool_call('body')}"
@@ -175,9 +248,21 @@ _GENERIC_MESSAGES = f"SELECT conv_id, msg_pos, {O.strip('body')} AS body FROM c_
 @register(_GENERIC_MESSAGES)
 def generic_archive_messages(spark, sf_dir):
     content = F.col("body").alias("content")
-    listed = fixtures.messages(spark, sf_dir).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("msg_pos", "role", content))).alias("m"))
+    listed = fixtures.messages(spark, sf_dir).groupBy("conv_id").agg(
+        F.array_sort(F.collect_list(F.struct("msg_pos", "role", content))).alias("m")
+    )
     variant = lambda c: F.try_variant_get(F.parse_json(F.to_json(F.array(c))), "$[0]", "variant")
-    rows = listed.select("conv_id", F.transform("m", lambda x: F.struct(x["role"].alias("role"), variant(x["content"]).alias("content"), F.lit(None).cast("variant").alias("text"), F.lit(None).cast("string").alias("created_utc"), F.lit(None).cast("string").alias("created_at"))).alias("messages"))
+    rows = listed.select(
+        "conv_id",
+        F.transform(
+            "m",
+            lambda x: F.struct(
+                x["role"].alias("role"), variant(x["content"]).alias("content"),
+                F.lit(None).cast("variant").alias("text"), F.lit(None).cast("string").alias("created_utc"),
+                F.lit(None).cast("string").alias("created_at")
+            )
+        ).alias("messages")
+    )
     return generic_messages(rows).select("conv_id", F.col("msg_pos").cast("long").alias("msg_pos"), "body")
 
 
@@ -205,7 +290,9 @@ def snippets(spark, sf_dir):
 
 @register("SELECT conv_id, search_text FROM c_search")
 def search_text(spark, sf_dir):
-    return fixtures.convs(spark, sf_dir).select("conv_id").join(M.search_text(fixtures.messages(spark, sf_dir)), "conv_id", "left").withColumn("search_text", F.coalesce("search_text", F.lit("")))
+    return fixtures.convs(spark, sf_dir).select("conv_id").join(
+        M.search_text(fixtures.messages(spark, sf_dir)), "conv_id", "left"
+    ).withColumn("search_text", F.coalesce("search_text", F.lit("")))
 
 
 _PIECES = "SELECT conv_id, msg_pos, unnest(p) AS piece, CAST(generate_subscripts(p, 1) - 1 AS INTEGER) AS seg_pos FROM (SELECT conv_id, msg_pos, string_split(body, repeat(chr(96), 3)) AS p FROM c_fx)"
@@ -227,18 +314,26 @@ def term_text(spark, sf_dir):
 
 @register("SELECT conv_id, CAST(pos AS INTEGER) AS pos, tok AS term FROM c_latin")
 def latin_tokens(spark, sf_dir):
-    return insights(spark, sf_dir).docs.select("conv_id", F.posexplode(K.latin_tokens(F.col("text"))).alias("pos", "term"))
+    return insights(spark, sf_dir).docs.select(
+        "conv_id", F.posexplode(K.latin_tokens(F.col("text"))).alias("pos", "term")
+    )
 
 
 @register("SELECT conv_id, CAST(run_no AS INTEGER) AS run_no, run FROM c_runs")
 def han_runs(spark, sf_dir):
-    return insights(spark, sf_dir).docs.select("conv_id", F.posexplode(K.han_runs(F.col("text"))).alias("run_no", "run"))
+    return insights(spark, sf_dir).docs.select(
+        "conv_id", F.posexplode(K.han_runs(F.col("text"))).alias("run_no", "run")
+    )
 
 
-@register("SELECT term, count(*) AS runs FROM (SELECT substr(run, i, n) AS term FROM c_runs, (VALUES (2), (3), (4)) AS l(n), unnest(range(1, length(run) + 1)) AS p(i) WHERE i + n - 1 <= length(run)) GROUP BY term")
+@register(
+    "SELECT term, count(*) AS runs FROM (SELECT substr(run, i, n) AS term FROM c_runs, (VALUES (2), (3), (4)) AS l(n), unnest(range(1, length(run) + 1)) AS p(i) WHERE i + n - 1 <= length(run)) GROUP BY term"
+)
 def han_ngrams(spark, sf_dir):
     runs = insights(spark, sf_dir).docs.select(F.explode(K.han_runs(F.col("text"))).alias("run"))
-    return runs.select(F.explode(K.han_ngrams(F.col("run"))).alias("term")).groupBy("term").agg(F.count("*").alias("runs"))
+    return runs.select(
+        F.explode(K.han_ngrams(F.col("run"))).alias("term")
+    ).groupBy("term").agg(F.count("*").alias("runs"))
 
 
 @register("SELECT term FROM c_vocab")
@@ -246,10 +341,14 @@ def han_vocab(spark, sf_dir):
     return insights(spark, sf_dir).vocab
 
 
-@register("SELECT conv_id, CAST(run_no AS INTEGER) AS run_no, CAST(i - length(term) AS INTEGER) AS pos, term FROM c_seg WHERE term IS NOT NULL")
+@register(
+    "SELECT conv_id, CAST(run_no AS INTEGER) AS run_no, CAST(i - length(term) AS INTEGER) AS pos, term FROM c_seg WHERE term IS NOT NULL"
+)
 def segment_han(spark, sf_dir):
     job = insights(spark, sf_dir)
-    runs = job.docs.select("conv_id", F.posexplode(K.han_runs(F.col("text"))).alias("run_no", "run")).where(~F.col("run").isin(ZH_STOPWORDS))
+    runs = job.docs.select(
+        "conv_id", F.posexplode(K.han_runs(F.col("text"))).alias("run_no", "run")
+    ).where(~F.col("run").isin(ZH_STOPWORDS))
     return K.segment_han(runs, job.vocab, ["conv_id", "run_no"])
 
 
@@ -262,9 +361,13 @@ def normalize_terms(spark, sf_dir):
 def term_kinds(spark, sf_dir):
     job = insights(spark, sf_dir)
     latin = job.docs.select(F.explode(K.latin_tokens(F.col("text"))).alias("term"))
-    runs = job.docs.select("conv_id", F.posexplode(K.han_runs(F.col("text"))).alias("run_no", "run")).where(~F.col("run").isin(ZH_STOPWORDS))
+    runs = job.docs.select(
+        "conv_id", F.posexplode(K.han_runs(F.col("text"))).alias("run_no", "run")
+    ).where(~F.col("run").isin(ZH_STOPWORDS))
     found = latin.union(K.segment_han(runs, job.vocab, ["conv_id", "run_no"]).select("term")).distinct()
-    return found.select("term", K.is_noise_term(F.col("term")).alias("noise"), K.is_chinese_term(F.col("term")).alias("chinese"))
+    return found.select(
+        "term", K.is_noise_term(F.col("term")).alias("noise"), K.is_chinese_term(F.col("term")).alias("chinese")
+    )
 
 
 @register("SELECT conv_id, term, tf, first_pos FROM c_tf")
@@ -304,7 +407,9 @@ def hot_terms(spark, sf_dir):
     return insights(spark, sf_dir).hot
 
 
-@register(f"""SELECT CAST(row_number() OVER (ORDER BY n, NOT han) AS INTEGER) AS rank, term, df AS count FROM (SELECT *, {O.chinese('term')} AS han, row_number() OVER (PARTITION BY {O.chinese('term')} ORDER BY {O.BEST}) AS n FROM c_df) QUALIFY rank <= 40""")
+@register(
+    f"""SELECT CAST(row_number() OVER (ORDER BY n, NOT han) AS INTEGER) AS rank, term, df AS count FROM (SELECT *, {O.chinese('term')} AS han, row_number() OVER (PARTITION BY {O.chinese('term')} ORDER BY {O.BEST}) AS n FROM c_df) QUALIFY rank <= 40"""
+)
 def mix_keywords(spark, sf_dir):
     return K.mix_keywords(insights(spark, sf_dir).df)
 
@@ -329,7 +434,9 @@ def cleaned_turns(spark, sf_dir):
 @register('SELECT conv_id, msg_pos, char_len, clarity, "constraint", context, feedback, vague FROM c_user')
 def user_features(spark, sf_dir):
     turns = I.cleaned_turns(fixtures.messages(spark, sf_dir)).where("role = 'user'")
-    return I.user_message_features(turns).select("conv_id", "msg_pos", F.col("char_len").cast("long").alias("char_len"), *I.BUCKETS)
+    return I.user_message_features(turns).select(
+        "conv_id", "msg_pos", F.col("char_len").cast("long").alias("char_len"), *I.BUCKETS
+    )
 
 
 @register("SELECT conv_id, msg_pos, clarify, boundary FROM c_bot")
@@ -341,7 +448,9 @@ def assistant_flags(spark, sf_dir):
 _RATES = [f"{n}_rate" for n in I.BUCKETS[:4]]
 
 
-@register(f"SELECT conv_id, user_messages, assistant_messages, {', '.join(f'round({r}, 6) AS {r}' for r in _RATES)}, iteration, round(score, 6) AS score FROM c_scores")
+@register(
+    f"SELECT conv_id, user_messages, assistant_messages, {', '.join(f'round({r}, 6) AS {r}' for r in _RATES)}, iteration, round(score, 6) AS score FROM c_scores"
+)
 def conversation_scores(spark, sf_dir):
     return rounded(report(spark, sf_dir).scores.drop("index"), *_RATES, "score")
 
@@ -354,17 +463,23 @@ def interaction_totals(spark, sf_dir):
 _SUMMARY = ["avg_user_len", "avg_turns", *I.RATES]
 
 
-@register(f"SELECT conversations, user_messages, assistant_messages, {', '.join(f'round({r}, 6) AS {r}' for r in _SUMMARY)} FROM c_summary")
+@register(
+    f"SELECT conversations, user_messages, assistant_messages, {', '.join(f'round({r}, 6) AS {r}' for r in _SUMMARY)} FROM c_summary"
+)
 def interaction_summary(spark, sf_dir):
     return rounded(report(spark, sf_dir).summary, *_SUMMARY)
 
 
-@register(f"SELECT CAST(row_number() OVER (ORDER BY round(value, 3) DESC, place) AS INTEGER) AS rank, label, round(value, 6) AS value FROM c_rates JOIN (VALUES {O.rows([(k, *r) for k, r in enumerate(STRENGTHS)])}) AS s(place, label, metric, threshold) USING (metric) WHERE value >= threshold QUALIFY rank <= 3")
+@register(
+    f"SELECT CAST(row_number() OVER (ORDER BY round(value, 3) DESC, place) AS INTEGER) AS rank, label, round(value, 6) AS value FROM c_rates JOIN (VALUES {O.rows([(k, *r) for k, r in enumerate(STRENGTHS)])}) AS s(place, label, metric, threshold) USING (metric) WHERE value >= threshold QUALIFY rank <= 3"
+)
 def strengths(spark, sf_dir):
     return rounded(I.strengths(report(spark, sf_dir).summary), "value")
 
 
-@register(f"SELECT CAST(row_number() OVER (ORDER BY round(abs(value - threshold), 3) DESC, place) AS INTEGER) AS rank, label, round(value, 6) AS value, round(abs(value - threshold), 6) AS delta FROM c_rates JOIN (VALUES {O.rows([(k, *r) for k, r in enumerate(GAPS)])}) AS s(place, label, metric, threshold, reverse) USING (metric) WHERE (reverse AND value >= threshold) OR (NOT reverse AND value < threshold) QUALIFY rank <= 3")
+@register(
+    f"SELECT CAST(row_number() OVER (ORDER BY round(abs(value - threshold), 3) DESC, place) AS INTEGER) AS rank, label, round(value, 6) AS value, round(abs(value - threshold), 6) AS delta FROM c_rates JOIN (VALUES {O.rows([(k, *r) for k, r in enumerate(GAPS)])}) AS s(place, label, metric, threshold, reverse) USING (metric) WHERE (reverse AND value >= threshold) OR (NOT reverse AND value < threshold) QUALIFY rank <= 3"
+)
 def gaps(spark, sf_dir):
     return rounded(I.gaps(report(spark, sf_dir).summary), "value", "delta")
 
@@ -372,7 +487,10 @@ def gaps(spark, sf_dir):
 @register("SELECT bucket, rank, text, score, conv_id + 1 AS conversation, msg_pos FROM c_buckets")
 def quote_buckets(spark, sf_dir):
     found = I.quote_buckets(report(spark, sf_dir).features)
-    return found.select("bucket", "rank", "text", F.col("score").cast("long").alias("score"), F.col("index").alias("conversation"), "msg_pos")
+    return found.select(
+        "bucket", "rank", "text", F.col("score").cast("long").alias("score"), F.col("index").alias("conversation"),
+        "msg_pos"
+    )
 
 
 def _greedy() -> str:
@@ -380,7 +498,9 @@ def _greedy() -> str:
     picks, parts = [], []
     for k, (bucket, label) in enumerate(QUOTE_LABELS):
         used = f" AND conv_id NOT IN ({' UNION ALL '.join(f'SELECT conv_id FROM q{j}' for j in range(k))})" if k else ""
-        picks.append(f"q{k} AS (SELECT {k} AS place, '{label}' AS label, text, conv_id FROM c_buckets WHERE bucket = '{bucket}'{used} ORDER BY rank LIMIT 1)")
+        picks.append(
+            f"q{k} AS (SELECT {k} AS place, '{label}' AS label, text, conv_id FROM c_buckets WHERE bucket = '{bucket}'{used} ORDER BY rank LIMIT 1)"
+        )
         parts.append(f"SELECT * FROM q{k}")
     return f"SELECT place, label, text, conv_id + 1 AS conversation FROM (WITH {', '.join(picks)} {' UNION ALL '.join(parts)})"
 
@@ -390,9 +510,13 @@ def report_quotes(spark, sf_dir):
     return report(spark, sf_dir).quotes.withColumnRenamed("index", "conversation")
 
 
-@register(f"SELECT CAST(row_number() OVER (ORDER BY length(text) DESC, short, conv_id, msg_pos) AS INTEGER) AS rank, short AS text, conv_id + 1 AS conversation FROM (SELECT *, {O.truncate('text')} AS short FROM c_bot WHERE boundary) QUALIFY rank <= 4")
+@register(
+    f"SELECT CAST(row_number() OVER (ORDER BY length(text) DESC, short, conv_id, msg_pos) AS INTEGER) AS rank, short AS text, conv_id + 1 AS conversation FROM (SELECT *, {O.truncate('text')} AS short FROM c_bot WHERE boundary) QUALIFY rank <= 4"
+)
 def boundary_quotes(spark, sf_dir):
-    return I.boundary_quotes(report(spark, sf_dir).features).select("rank", "text", F.col("index").alias("conversation"))
+    return I.boundary_quotes(report(spark, sf_dir).features).select(
+        "rank", "text", F.col("index").alias("conversation")
+    )
 
 
 _TREND = """SELECT label, avg(score) FILTER (n <= c // 2) AS early, avg(score) FILTER (n > c // 2) AS recent, max(c) AS count FROM (
@@ -419,7 +543,9 @@ def month_counts(spark, sf_dir):
 
 @register("SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS count FROM orders GROUP BY ALL")
 def order_month_counts(spark, sf_dir):
-    return rollups.month_counts(spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderdate").cast("timestamp").alias("created")))
+    return rollups.month_counts(
+        spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderdate").cast("timestamp").alias("created"))
+    )
 
 
 @register(f"SELECT month, count, round(count / max(count) OVER (), 6) AS share FROM ({_MONTHS})")
@@ -433,12 +559,16 @@ def topic_counts(spark, sf_dir):
     return rollups.topic_counts(job.convs.join(job.topics, "conv_id"))
 
 
-@register("SELECT count(*) AS total, strftime(min(created), '%Y-%m-%d') AS first_day, strftime(max(created), '%Y-%m-%d') AS last_day, (SELECT count(*) FROM c_stars) AS starred FROM c_convs")
+@register(
+    "SELECT count(*) AS total, strftime(min(created), '%Y-%m-%d') AS first_day, strftime(max(created), '%Y-%m-%d') AS last_day, (SELECT count(*) FROM c_stars) AS starred FROM c_convs"
+)
 def corpus_metrics(spark, sf_dir):
     return rollups.corpus_metrics(fixtures.convs(spark, sf_dir), fixtures.annotations(spark, sf_dir))
 
 
-@register("SELECT 'keyword' AS kind, rank, term AS value, count FROM c_hot WHERE rank <= 18 UNION ALL SELECT 'topic', rank, label, count FROM c_topcounts WHERE rank <= 12")
+@register(
+    "SELECT 'keyword' AS kind, rank, term AS value, count FROM c_hot WHERE rank <= 18 UNION ALL SELECT 'topic', rank, label, count FROM c_topcounts WHERE rank <= 12"
+)
 def facets(spark, sf_dir):
     job = insights(spark, sf_dir)
     return rollups.facets(job.hot, rollups.topic_counts(job.convs.join(job.topics, "conv_id")))
@@ -456,10 +586,14 @@ def search_terms(spark, sf_dir):
     return R.search(job.items, job.search, "summary RISK").select("conv_id")
 
 
-@register(f"SELECT 1 AS query_id, file FROM {_HAY} WHERE ({_FOUND.format('python')}) UNION ALL SELECT 2, file FROM {_HAY} WHERE ({_FOUND.format('chat')}) AND ({_FOUND.format('投资组合')})")
+@register(
+    f"SELECT 1 AS query_id, file FROM {_HAY} WHERE ({_FOUND.format('python')}) UNION ALL SELECT 2, file FROM {_HAY} WHERE ({_FOUND.format('chat')}) AND ({_FOUND.format('投资组合')})"
+)
 def search_many(spark, sf_dir):
     job = insights(spark, sf_dir)
-    return R.search_many(job.items, job.search, spark.createDataFrame([(1, "Python"), (2, "chat 投资组合")], "query_id int, query string"))
+    return R.search_many(
+        job.items, job.search, spark.createDataFrame([(1, "Python"), (2, "chat 投资组合")], "query_id int, query string")
+    )
 
 
 @register("SELECT conv_id, messages FROM c_convs WHERE messages >= 6")
@@ -484,17 +618,23 @@ def filter_topic(spark, sf_dir):
     return R.by_topic(job.topics, "投资理财").select("conv_id")
 
 
-@register("SELECT conv_id, 'day' AS kind FROM c_convs WHERE created >= timestamp '2024-01-03' AND created <= timestamp '2024-01-12' UNION ALL SELECT conv_id, 'whole' FROM c_convs WHERE created < timestamp '2024-01-13'")
+@register(
+    "SELECT conv_id, 'day' AS kind FROM c_convs WHERE created >= timestamp '2024-01-03' AND created <= timestamp '2024-01-12' UNION ALL SELECT conv_id, 'whole' FROM c_convs WHERE created < timestamp '2024-01-13'"
+)
 def filter_dates(spark, sf_dir):
     rows = fixtures.convs(spark, sf_dir)
     both = R.by_date_range(rows, "2024-01-03", "2024-01-12").select("conv_id", F.lit("day").alias("kind"))
     return both.union(R.by_date_range(rows, end="2024-01-12", whole_end_day=True).select("conv_id", F.lit("whole")))
 
 
-@register(f"SELECT conv_id FROM {_HAY} WHERE ({_FOUND.format('how')}) AND messages >= 4 AND conv_id % 5 = 0 AND created >= timestamp '2024-01-02'")
+@register(
+    f"SELECT conv_id FROM {_HAY} WHERE ({_FOUND.format('how')}) AND messages >= 4 AND conv_id % 5 = 0 AND created >= timestamp '2024-01-02'"
+)
 def filter_all(spark, sf_dir):
     job = insights(spark, sf_dir)
-    return R.filter_items(job.items, job.search, "how", 4, fixtures.annotations(spark, sf_dir), start="2024-01-02").select("conv_id")
+    return R.filter_items(
+        job.items, job.search, "how", 4, fixtures.annotations(spark, sf_dir), start="2024-01-02"
+    ).select("conv_id")
 
 
 _ORDERS = {"updated": "updated DESC NULLS LAST", "created": "created ASC NULLS LAST", "messages": "messages DESC"}
@@ -516,18 +656,26 @@ def sort_items(spark, sf_dir):
   FROM c_items a JOIN c_items b ON a.conv_id <> b.conv_id WHERE len(list_intersect(a.keywords, b.keywords)) > 0) WHERE rank <= 5""")
 def similar_items(spark, sf_dir):
     job = insights(spark, sf_dir)
-    listed = job.keywords.groupBy("conv_id").agg(F.collect_list("term").alias("keywords"))  # no more of the items is needed
+    listed = job.keywords.groupBy("conv_id").agg(
+        F.collect_list("term").alias("keywords")
+    )  # no more of the items is needed
     return rounded(R.similar(job.convs.select("conv_id", "index").join(listed, "conv_id")), "score")
 
 
-@register("SELECT conv_id, coalesce(starred, false) AS starred, note FROM c_convs c LEFT JOIN c_stars s ON c.file = s.file")
+@register(
+    "SELECT conv_id, coalesce(starred, false) AS starred, note FROM c_convs c LEFT JOIN c_stars s ON c.file = s.file"
+)
 def attach_notes(spark, sf_dir):
-    return R.attach_notes(fixtures.convs(spark, sf_dir), fixtures.annotations(spark, sf_dir)).select("conv_id", "starred", "note")
+    return R.attach_notes(
+        fixtures.convs(spark, sf_dir), fixtures.annotations(spark, sf_dir)
+    ).select("conv_id", "starred", "note")
 
 
 @register("SELECT conv_id, title FROM c_convs ORDER BY md5('3|' || file), file LIMIT 1")
 def random_item(spark, sf_dir):
-    return R.random_item(fixtures.convs(spark, sf_dir).select("conv_id", "title", "file"), seed=3).select("conv_id", "title")
+    return R.random_item(
+        fixtures.convs(spark, sf_dir).select("conv_id", "title", "file"), seed=3
+    ).select("conv_id", "title")
 
 
 # -- Sinks ---------------------------------------------------------------------------------------------------------
@@ -537,12 +685,16 @@ def search_shards(spark, sf_dir):
     return A.with_shard(insights(spark, sf_dir).search, 30).select("shard", "file", "title", "search_text")
 
 
-@register("SELECT CAST((idx - 1) // 30 AS INTEGER) AS shard, printf('search_%04d.json', (idx - 1) // 30) AS file, count(*) AS count FROM c_search GROUP BY ALL")
+@register(
+    "SELECT CAST((idx - 1) // 30 AS INTEGER) AS shard, printf('search_%04d.json', (idx - 1) // 30) AS file, count(*) AS count FROM c_search GROUP BY ALL"
+)
 def search_manifest(spark, sf_dir):
     return A.search_manifest(fixtures.convs(spark, sf_dir), 30)
 
 
-@register(f"SELECT conv_id, '| ' || idx || ' | ' || title || ' | ' || {WHEN.format('created')} || ' | ' || {WHEN.format('updated')} || ' | ' || messages || ' | ' || file || ' |' AS line FROM c_convs")
+@register(
+    f"SELECT conv_id, '| ' || idx || ' | ' || title || ' | ' || {WHEN.format('created')} || ' | ' || {WHEN.format('updated')} || ' | ' || messages || ' | ' || file || ' |' AS line FROM c_convs"
+)
 def index_rows(spark, sf_dir):
     return A.index_markdown_rows(fixtures.convs(spark, sf_dir)).select((F.col("index") - 1).alias("conv_id"), "line")
 
@@ -559,12 +711,18 @@ def _documents(spark, sf_dir):
 
 @register(_DOC)
 def markdown_docs(spark, sf_dir):
-    return _documents(spark, sf_dir).select(F.regexp_extract("file", r"_(\d+)\.md$", 1).cast("long").alias("conv_id"), "markdown")
+    return _documents(spark, sf_dir).select(
+        F.regexp_extract("file", r"_(\d+)\.md$", 1).cast("long").alias("conv_id"), "markdown"
+    )
 
 
-@register(f"SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY msg_pos) - 1 AS INTEGER) AS msg_pos, role AS role_label, {O.strip('body')} AS body FROM c_fx")
+@register(
+    f"SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY msg_pos) - 1 AS INTEGER) AS msg_pos, role AS role_label, {O.strip('body')} AS body FROM c_fx"
+)
 def markdown_parse(spark, sf_dir):
-    return A.parse_markdown(_documents(spark, sf_dir)).select(F.regexp_extract("file", r"_(\d+)\.md$", 1).cast("long").alias("conv_id"), "msg_pos", "role_label", "body")
+    return A.parse_markdown(_documents(spark, sf_dir)).select(
+        F.regexp_extract("file", r"_(\d+)\.md$", 1).cast("long").alias("conv_id"), "msg_pos", "role_label", "body"
+    )
 
 
 @register("SELECT conv_id, messages, file FROM c_convs")
@@ -581,7 +739,9 @@ def tree_export_files(spark, sf_dir):
     path = new_folder(spark, "trees")
     rows = fixtures.trees(spark, sf_dir).select(F.col("conv_id").cast("string").alias("id"), "current_node", "mapping")
     texts = rows.select(F.floor(F.col("id").cast("long") / 50).alias("part"), F.to_json(F.struct("*")).alias("json"))
-    arrays = texts.groupBy("part").agg(F.concat(F.lit("["), F.array_join(F.collect_list("json"), ","), F.lit("]")).alias("value"))
+    arrays = texts.groupBy("part").agg(
+        F.concat(F.lit("["), F.array_join(F.collect_list("json"), ","), F.lit("]")).alias("value")
+    )
     arrays.write.partitionBy("part").text(path)
     read = M.normalize_conversation_fields(X.read_tree_export(spark, path)).withColumn("conv_id", F.col("id").cast("long"))
     return tree_messages(read).select("conv_id", F.col("msg_pos").cast("long").alias("msg_pos"), "body")
@@ -592,7 +752,9 @@ def generic_export_files(spark, sf_dir):
     """Conversations as JSON lines, read as an export."""
     path = new_folder(spark, "generic")
     said = F.struct("msg_pos", "role", F.col("body").alias("content"))
-    listed = fixtures.messages(spark, sf_dir).groupBy("conv_id").agg(F.array_sort(F.collect_list(said)).alias("messages"))
+    listed = fixtures.messages(spark, sf_dir).groupBy("conv_id").agg(
+        F.array_sort(F.collect_list(said)).alias("messages")
+    )
     listed.select(F.col("conv_id").cast("string").alias("id"), "messages").write.json(path)
     read = X.read_generic_export(spark, path, json_lines=True).withColumn("conv_id", F.col("id").cast("long"))
     return generic_messages(read).select("conv_id", F.col("msg_pos").cast("long").alias("msg_pos"), "body")
@@ -601,25 +763,34 @@ def generic_export_files(spark, sf_dir):
 _SIZES = "SELECT conv_id % 7 AS part, CAST(sum(strlen(text) + 1) AS BIGINT) AS size FROM conversations GROUP BY ALL"
 
 
-@register(f"SELECT 'all' AS kind, part, size FROM ({_SIZES}) UNION ALL (SELECT 'largest', part, size FROM ({_SIZES}) ORDER BY size DESC, part LIMIT 1)")
+@register(
+    f"SELECT 'all' AS kind, part, size FROM ({_SIZES}) UNION ALL (SELECT 'largest', part, size FROM ({_SIZES}) ORDER BY size DESC, part LIMIT 1)"
+)
 def export_files(spark, sf_dir):
     """Files of known sizes, and the largest of them."""
     path = new_folder(spark, "sized")
     rows = fixtures.raw(spark, sf_dir).select(F.col("text").alias("value"), (F.col("conv_id") % 7).alias("part"))
     rows.repartition("part").write.partitionBy("part").text(path)
-    kinds = [X.select_export_files(spark, path, "part-*", only).withColumn("kind", F.lit(kind)) for kind, only in (("all", False), ("largest", True))]
+    kinds = [
+        X.select_export_files(spark, path, "part-*", only).withColumn("kind", F.lit(kind)) for kind,
+        only in (("all", False), ("largest", True))
+    ]
     part = F.regexp_extract("path", r"part=(\d+)/", 1).cast("long").alias("part")
     return kinds[0].union(kinds[1]).select("kind", part, "size")
 
 
-@register(f"SELECT CAST(idx AS INTEGER) AS number, title, {WHEN.format('created')} AS created_utc, {WHEN.format('updated')} AS updated_utc, CAST(messages AS INTEGER) AS messages, file, id FROM c_convs")
+@register(
+    f"SELECT CAST(idx AS INTEGER) AS number, title, {WHEN.format('created')} AS created_utc, {WHEN.format('updated')} AS updated_utc, CAST(messages AS INTEGER) AS messages, file, id FROM c_convs"
+)
 def index_csv_files(spark, sf_dir):
     path = new_folder(spark, "index")
     A.write_index_csv(fixtures.convs(spark, sf_dir), path)
     return A.read_index_csv(spark, path).withColumnRenamed("index", "number")
 
 
-@register("SELECT conv_id, title, snippet, cluster_label, array_to_string(keywords, '|') AS keywords, (SELECT count(*) FROM c_convs) AS total FROM c_items")
+@register(
+    "SELECT conv_id, title, snippet, cluster_label, array_to_string(keywords, '|') AS keywords, (SELECT count(*) FROM c_convs) AS total FROM c_items"
+)
 def items_files(spark, sf_dir):
     """Items as JSON lines, with the one row of insights beside them."""
     path, job = new_folder(spark, "items"), insights(spark, sf_dir)
@@ -648,6 +819,11 @@ def report_files(spark, sf_dir):
     A.write_report(report(spark, sf_dir).parts(), path)
     schema = "summary array<struct<avg_turns:double>>, quotes array<struct<label:string,index:long>>"
     read = spark.read.schema(schema).json(path)
-    turns = read.select(F.explode("summary").alias("s")).select(F.lit("summary").alias("part"), F.lit(None).cast("string").alias("label"), F.round("s.avg_turns", 6).alias("value"))
-    quotes = read.select(F.explode("quotes").alias("q")).select(F.lit("quotes"), "q.label", F.col("q.index").cast("double"))
+    turns = read.select(F.explode("summary").alias("s")).select(
+        F.lit("summary").alias("part"), F.lit(None).cast("string").alias("label"),
+        F.round("s.avg_turns", 6).alias("value")
+    )
+    quotes = read.select(F.explode("quotes").alias("q")).select(
+        F.lit("quotes"), "q.label", F.col("q.index").cast("double")
+    )
     return turns.union(quotes)

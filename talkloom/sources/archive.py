@@ -12,7 +12,10 @@ INDEX_COLUMNS = ["index", "title", "created_utc", "updated_utc", "messages", "fi
 
 
 def markdown_blocks(role_label: Column, body: Column) -> Column:
-    return F.concat(F.lit("<!-- MSG role: "), role_label, F.lit(" -->\n### "), role_label, F.lit("\n\n"), strip(body), F.lit("\n\n<!-- /MSG -->\n"))
+    return F.concat(
+        F.lit("<!-- MSG role: "), role_label, F.lit(" -->\n### "), role_label, F.lit("\n\n"), strip(body),
+        F.lit("\n\n<!-- /MSG -->\n")
+    )
 
 
 def to_markdown(messages: DataFrame, convs: DataFrame, key: str = "conv_id") -> DataFrame:
@@ -20,10 +23,16 @@ def to_markdown(messages: DataFrame, convs: DataFrame, key: str = "conv_id") ->
     bodies = in_order(messages, markdown_blocks(F.col("role_label"), F.col("body")), key=key, name="blocks")
     line = lambda name, value: F.concat(F.lit(f"- {name}: "), value, F.lit("\n"))
     head = F.concat(
-        F.lit("# "), F.col("title"), F.lit("\n\n"), F.when(F.length("id") > 0, line("id", F.col("id"))).otherwise(F.lit("")),
-        line("created_utc", format_ts(F.col("created"))), line("updated_utc", format_ts(F.col("updated"))), line("messages", F.col("messages").cast("string")), F.lit("\n---\n\n"),
+        F.lit("# "), F.col("title"), F.lit("\n\n"), F.when(
+            F.length("id") > 0, line("id", F.col("id"))
+        ).otherwise(F.lit("")),
+        line("created_utc", format_ts(F.col("created"))), line("updated_utc", format_ts(F.col("updated"))), line(
+            "messages", F.col("messages").cast("string")
+        ), F.lit("\n---\n\n"),
     )
-    return convs.join(bodies, key, "left").select("file", F.concat(head, F.coalesce("blocks", F.lit(""))).alias("markdown"))
+    return convs.join(bodies, key, "left").select(
+        "file", F.concat(head, F.coalesce("blocks", F.lit(""))).alias("markdown")
+    )
 
 
 def write_markdown(documents: DataFrame, path: str) -> None:
@@ -43,11 +52,16 @@ def parse_markdown(documents: DataFrame, text: str = "markdown", name: str = "fi
 
     def pairs(pattern: str) -> Column:
         found = lambda n: F.regexp_extract_all(F.col("__body"), F.lit(pattern), F.lit(n))
-        return F.transform(F.arrays_zip(found(1).alias("r"), found(2).alias("b")), lambda x: F.struct(strip(x["r"]).alias("role_label"), strip(x["b"]).alias("body")))
+        return F.transform(
+            F.arrays_zip(found(1).alias("r"), found(2).alias("b")),
+            lambda x: F.struct(strip(x["r"]).alias("role_label"), strip(x["b"]).alias("body"))
+        )
 
     both = F.when(F.col("__body").contains("<!-- MSG role:"), pairs(marked)).otherwise(pairs(legacy))
     kept = F.filter(both, lambda m: m["body"] != "")
-    return documents.withColumn("__body", body).select(name, F.posexplode(kept).alias("msg_pos", "m")).select(name, "msg_pos", "m.role_label", "m.body")
+    return documents.withColumn("__body", body).select(
+        name, F.posexplode(kept).alias("msg_pos", "m")
+    ).select(name, "msg_pos", "m.role_label", "m.body")
 
 
 def read_markdown_archive(spark: SparkSession, path: str) -> DataFrame:
@@ -58,7 +72,10 @@ def read_markdown_archive(spark: SparkSession, path: str) -> DataFrame:
 
 def index_rows(convs: DataFrame) -> DataFrame:
     """The index: convs with times as text, in INDEX_COLUMNS."""
-    return convs.select("index", "title", format_ts(F.col("created")).alias("created_utc"), format_ts(F.col("updated")).alias("updated_utc"), "messages", "file", "id")
+    return convs.select(
+        "index", "title", format_ts(F.col("created")).alias("created_utc"),
+        format_ts(F.col("updated")).alias("updated_utc"), "messages", "file", "id"
+    )
 
 
 def write_index_csv(convs: DataFrame, path: str) -> None:
@@ -66,14 +83,23 @@ def write_index_csv(convs: DataFrame, path: str) -> None:
 
 
 def read_index_csv(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').schema("index int, title string, created_utc string, updated_utc string, messages int, file string, id string").csv(path)
-    return rows.withColumns({"title": F.coalesce("title", F.lit("Untitled")), "messages": F.coalesce("messages", F.lit(0)), "index": F.coalesce("index", F.lit(0)), "id": F.coalesce("id", F.lit(""))})
+    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').schema(
+        "index int, title string, created_utc string, updated_utc string, messages int, file string, id string"
+    ).csv(path)
+    return rows.withColumns(
+        {
+            "title": F.coalesce("title", F.lit("Untitled")), "messages": F.coalesce("messages", F.lit(0)),
+            "index": F.coalesce("index", F.lit(0)), "id": F.coalesce("id", F.lit(""))
+        }
+    )
 
 
 def index_markdown_rows(convs: DataFrame) -> DataFrame:
     """index, line: the rows of a markdown table of conversations."""
     cells = index_rows(convs)
-    line = F.concat(F.lit("| "), F.concat_ws(" | ", *(F.col(c).cast("string") for c in INDEX_COLUMNS[:-1])), F.lit(" |"))
+    line = F.concat(
+        F.lit("| "), F.concat_ws(" | ", *(F.col(c).cast("string") for c in INDEX_COLUMNS[:-1])), F.lit(" |")
+    )
     return cells.select("index", line.alias("line"))
 
 
@@ -85,7 +111,9 @@ def write_items(items: DataFrame, insights: DataFrame, path: str) -> None:
 
 def with_shard(search: DataFrame, shard_size: int = 300) -> DataFrame:
     """search with shard: consecutive conversations by index; a size of 0 or less makes one shard."""
-    return search.withColumn("shard", F.floor((F.col("index") - 1) / shard_size).cast("int") if shard_size > 0 else F.lit(0))
+    return search.withColumn(
+        "shard", F.floor((F.col("index") - 1) / shard_size).cast("int") if shard_size > 0 else F.lit(0)
+    )
 
 
 def search_manifest(search: DataFrame, shard_size: int = 300) -> DataFrame:
@@ -95,12 +123,16 @@ def search_manifest(search: DataFrame, shard_size: int = 300) -> DataFrame:
 
 
 def write_search_shards(search: DataFrame, path: str, shard_size: int = 300) -> None:
-    with_shard(search, shard_size).repartition("shard").select("shard", "file", "title", "search_text").write.mode("overwrite").partitionBy("shard").json(path)
+    with_shard(search, shard_size).repartition("shard").select(
+        "shard", "file", "title", "search_text"
+    ).write.mode("overwrite").partitionBy("shard").json(path)
 
 
 def read_search_shards(spark: SparkSession, path: str) -> DataFrame:
     """file, title, search_text of shards: a row a line, or files of one object with a list of items."""
-    rows = spark.read.schema("file string, title string, search_text string, items array<struct<file:string,title:string,search_text:string>>").option("recursiveFileLookup", True).json(path)
+    rows = spark.read.schema(
+        "file string, title string, search_text string, items array<struct<file:string,title:string,search_text:string>>"
+    ).option("recursiveFileLookup", True).json(path)
     listed = rows.where("items is not null").select(F.explode("items").alias("i")).select("i.*")
     return rows.where("items is null").select("file", "title", "search_text").union(listed)
 

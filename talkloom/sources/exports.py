@@ -35,10 +35,16 @@ def read_generic_export(spark: SparkSession, path: str, json_lines: bool | None
     wrapped = rows.where("conversations is not null").select(F.explode("conversations").alias("c")).select("c.*")
     found = plain.union(wrapped)
     known = F.coalesce("id", "conversation_id", "title", F.when(F.col("messages").isNotNull(), F.lit("")))
-    return found.where(F.when(known.isNotNull(), True).otherwise(F.raise_error(F.lit("a generic export must be a list of conversations")).cast("boolean")))
+    return found.where(
+        F.when(known.isNotNull(), True).otherwise(
+            F.raise_error(F.lit("a generic export must be a list of conversations")).cast("boolean")
+        )
+    )
 
 
-def select_export_files(spark: SparkSession, folder: str, pattern: str = "conversations.json", largest_only: bool = True) -> DataFrame:
+def select_export_files(
+    spark: SparkSession, folder: str, pattern: str = "conversations.json", largest_only: bool = True
+) -> DataFrame:
     """path, size of export files below the folder whose name fits the pattern; the largest alone, ties by path."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder).select("path", F.col("length").alias("size"))
     ordered = files.orderBy(F.desc("size"), "path")

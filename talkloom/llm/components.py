@@ -43,10 +43,14 @@ def _within_partitions(edges: DataFrame) -> DataFrame:
             some.append((batch.column("hi").to_numpy(), batch.column("lo").to_numpy()))
             held += len(batch)
             if held >= GATHERED:
-                hi, lo = contracted(np.concatenate([hi, *(x[0] for x in some)]), np.concatenate([lo, *(x[1] for x in some)]))
+                hi, lo = contracted(
+                    np.concatenate([hi, *(x[0] for x in some)]), np.concatenate([lo, *(x[1] for x in some)])
+                )
                 some, held = [], 0
         if some:
-            hi, lo = contracted(np.concatenate([hi, *(x[0] for x in some)]), np.concatenate([lo, *(x[1] for x in some)]))
+            hi, lo = contracted(
+                np.concatenate([hi, *(x[0] for x in some)]), np.concatenate([lo, *(x[1] for x in some)])
+            )
         if len(hi):
             yield pa.RecordBatch.from_arrays([pa.array(hi), pa.array(lo)], ["hi", "lo"])
 

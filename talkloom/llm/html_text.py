@@ -35,7 +35,9 @@ TEXT_BLOCKS = HEADINGS | frozenset("p pre blockquote ul ol dl table figure".spli
 # Elements, roles and words in class or id of what is no article.
 NOT_ARTICLE = frozenset("nav footer aside button input menu dialog head legend".split())
 MAYBE_ARTICLE = frozenset("form fieldset".split())
-NOT_ARTICLE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+NOT_ARTICLE_ROLES = frozenset(
+    "navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split()
+)
 COMMENT_WORDS = frozenset("comment comments commentlist disqus respond replies".split())
 OTHER_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs footer sidebar cookie cookies consent gdpr "
@@ -50,7 +52,9 @@ STATES = re.compile(r"(?:^|\s)(?:has|no|with|without)-\S+|\S+-(?:open|closed|ena
 TAG = re.compile(r"""(/?)([a-zA-Z][^\s/>]*+)((?:"[^"]*+"|'[^']*+'|[^>"'])*+)>""")
 #: A tag whose quotes don't match ends at the next bracket.
 PLAIN_TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?""", re.I)
+ATTRIBUTE = re.compile(
+    r"""\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?""", re.I
+)
 WORD = re.compile(r"[a-z]+")
 HIDDEN = re.compile(r"display\s*+:\s*+none|visibility\s*+:\s*+hidden")
 
@@ -61,7 +65,10 @@ class Node:
     drop: no part of the article; kind: for what is unsure until sizes are known, why it may be none.
     """
 
-    __slots__ = ("tag", "parent", "parts", "drop", "kind", "chars", "tags", "link_chars", "link_tags", "density", "density_sum", "holds_article", "holds_talk")
+    __slots__ = (
+        "tag", "parent", "parts", "drop", "kind", "chars", "tags", "link_chars", "link_tags", "density", "density_sum",
+        "holds_article", "holds_talk"
+    )
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent, self.parts = tag, parent, []
@@ -127,7 +134,9 @@ def parse(page: str) -> Node:
     tag_end = TAG
     while at < size:
         start = page.find("<", at)
-        while start >= 0 and not (page[start + 1 : start + 2].isalpha() or page[start + 1 : start + 2] in ("!", "?", "/") and start + 1 < size):
+        while start >= 0 and not (
+            page[start + 1 : start + 2].isalpha() or page[start + 1 : start + 2] in ("!", "?", "/") and start + 1 < size
+        ):
             start = page.find("<", start + 1)
         text = page[at:start] if start >= 0 else page[at:]
         if text:
@@ -190,7 +199,9 @@ def parse(page: str) -> Node:
         ends = {"p"} if tag in ENDS_PARAGRAPH else CLOSED_BY.get(tag)
         if ends and any(opened[x] for x in ends):
             up, found = node, None
-            while up is not root and up.tag not in SCOPES and not (tag in ENDS_PARAGRAPH and up.tag in ("td", "th", "button")):
+            while up is not root and up.tag not in SCOPES and not (
+                tag in ENDS_PARAGRAPH and up.tag in ("td", "th", "button")
+            ):
                 if up.tag in ends:
                     found = up
                     break
@@ -268,7 +279,9 @@ def _drop_unsure(root: Node, order: list[Node]) -> bool:
         elif node.kind == DISCUSSION:
             keep = not node.holds_talk
         else:
-            keep = node.holds_article or node.tag in ("article", "main") or main and (not root.holds_article or node.chars > 0.8 * root.chars)
+            keep = node.holds_article or node.tag in ("article", "main") or main and (
+                not root.holds_article or node.chars > 0.8 * root.chars
+            )
         if not keep:
             node.drop = found = True
     return found
@@ -281,7 +294,9 @@ def _densities(root: Node, order: list[Node]) -> None:
         c, t, lc, lt = node.chars, max(node.tags, 1), node.link_chars, node.link_tags
         base = math.log(c / max(c - lc, 1) * lc + share * c + math.e)
         value = c / max(lc, 1) * (t / max(lt, 1))
-        node.density = (c / t * (math.log(value) / math.log(base) if base > 1 else 1.0)) if c else 0.0  # base is 1 on a page without links
+        node.density = (
+            c / t * (math.log(value) / math.log(base) if base > 1 else 1.0)
+        ) if c else 0.0  # base is 1 on a page without links
     for node in order:
         node.density_sum = sum(x.density for x in node.children() if not x.drop)
 
@@ -310,7 +325,9 @@ def _blocks(node: Node, only: set[int] | None) -> Iterator[str]:
             run = []
         elif type(part) is str:
             run.append(part)
-        elif type(part) is Node and not part.drop and not (only is not None and owners[-1] is node and id(part) not in only):
+        elif type(part) is Node and not part.drop and not (
+            only is not None and owners[-1] is node and id(part) not in only
+        ):
             yield "".join(run)
             run = []
             stack.append(iter(part.parts))
@@ -352,7 +369,9 @@ def main_text(page: str | None) -> str:
     return "\n".join(line for line in lines if line)
 
 
-def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract_main_text(
+    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html"
+) -> DataFrame:
     """page_id, url and text of every row; a null or empty html gives the empty text.
 
     Rows are kept one to one, repeated and null ids included; other columns are ignored.
@@ -363,9 +382,14 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [main_text(x.as_py()) for x in batch.column("html")]
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
-
-    rows = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").alias("html"))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())],
+                ["page_id", "url", "text"]
+            )
+
+    rows = pages.select(
+        F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").alias("html")
+    )
     kinds = ", ".join(f"{c} {t}" for c, t in rows.dtypes[:2])
     return rows.mapInArrow(extracted, f"{kinds}, text string")
 

@@ -67,7 +67,10 @@ def _source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit("null"))
 
 
-def source_rates(df: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, epochs: float = 1.0, source_col: str = "source", text_col: str = "text") -> DataFrame:
+def source_rates(
+    df: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, epochs: float = 1.0,
+    source_col: str = "source", text_col: str = "text"
+) -> DataFrame:
     """source, n, size, weight and rate: how often a document of the source is repeated in the mean.
 
     Sizes are UTF-8 bytes plus one per document, over all rows. weights gives the share of each source (sources it
@@ -75,7 +78,9 @@ def source_rates(df: DataFrame, weights: dict[str, float] | None = None, tempera
     size / size of the source. Null is a source of its own.
     """
     octets = F.coalesce(F.octet_length(f"`{text_col}`"), F.lit(0)).cast("long") + 1
-    sizes = df.groupBy(F.col(f"`{source_col}`").alias("source")).agg(F.sum(octets).alias("size"), F.count("*").alias("n"))
+    sizes = df.groupBy(F.col(f"`{source_col}`").alias("source")).agg(
+        F.sum(octets).alias("size"), F.count("*").alias("n")
+    )
     share = F.pow(F.col("size").cast("double"), F.lit(temperature))
     if weights is not None:
         given = [F.when(F.col("source") == k, F.lit(float(v))) for k, v in weights.items()]
@@ -88,7 +93,10 @@ def source_rates(df: DataFrame, weights: dict[str, float] | None = None, tempera
     return with_totals.withColumn("weight", weight).select("source", "n", "size", "weight", rate.alias("rate"))
 
 
-def mix_sources(df: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, epochs: float = 1.0, seed: str = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+def mix_sources(
+    df: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, epochs: float = 1.0,
+    seed: str = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text"
+) -> DataFrame:
     """Each row of df as often as a Poisson variable says, in a globally shuffled order.
 
     The variable is read off its distribution function at a number in [0, 1) hashed from the seed and the id, so
@@ -96,20 +104,26 @@ def mix_sources(df: DataFrame, weights: dict[str, float] | None = None, temperat
     count each; a null id hashes as the word null. Returns df's columns, then copy (from 0) and shuffle_key, by
     which the rows are range partitioned and sorted; columns of df with these names are replaced.
     """
-    rates = source_rates(df, weights, temperature, epochs, source_col, text_col).withColumn("source", _source_key(F.col("source")))
+    rates = source_rates(
+        df, weights, temperature, epochs, source_col, text_col
+    ).withColumn("source", _source_key(F.col("source")))
     tables = cut(_with_tables(rates).withColumnsRenamed({c: f"__{c}" for c in ("source", "n", "start", "cdf")}))
     size = tables.agg(F.sum(F.size("__cdf")), F.sum("__n")).first()
     kept = [c for c in df.columns if c not in ("copy", "shuffle_key")]
     name = F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null")))
     chance = _hex_number(name, 13) / F.lit(2.0**52)
-    named = df.select(*(F.col(f"`{c}`") for c in kept), chance.alias("__u"), _source_key(F.col(f"`{source_col}`")).alias("__source"))
+    named = df.select(
+        *(F.col(f"`{c}`") for c in kept), chance.alias("__u"), _source_key(F.col(f"`{source_col}`")).alias("__source")
+    )
     if (size[0] or 0) <= BROADCAST_NUMBERS:
         counted = named.join(F.broadcast(tables), "__source")
     else:
         counted = join_by_key(named, tables, ["__source"], "__n", size[1])
     times = (F.col("__start") + _places_below(F.col("__cdf"), F.col("__u"))).cast("int")
     some = counted.withColumn("__times", times).where("__times > 0")
-    copies = some.select(*(F.col(f"`{c}`") for c in kept), F.explode(F.sequence(F.lit(0), F.col("__times") - 1)).alias("copy"))
+    copies = some.select(
+        *(F.col(f"`{c}`") for c in kept), F.explode(F.sequence(F.lit(0), F.col("__times") - 1)).alias("copy")
+    )
     key = _hex_number(F.concat(name, F.lit("|"), F.col("copy").cast("string")), 15)
     return copies.withColumn("shuffle_key", key).repartitionByRange("shuffle_key", "copy").sortWithinPartitions("shuffle_key", "copy")
 

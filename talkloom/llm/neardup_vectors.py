@@ -30,12 +30,16 @@ def number_of_cells(n: int) -> int:
     return max(1, math.ceil(math.sqrt(n) / 2))
 
 
-def cell_centres(vectors: DataFrame, n: int, cells: int | None = None, sample: int = SAMPLE, seed: int = 5) -> np.ndarray:
+def cell_centres(
+    vectors: DataFrame, n: int, cells: int | None = None, sample: int = SAMPLE, seed: int = 5
+) -> np.ndarray:
     """Unit centres of spherical k-means over n vectors (row, vector) of one dimension."""
     k = cells or number_of_cells(n)
     part = vectors.where(F.pmod(F.xxhash64("row"), F.lit(1 << 20)) < F.lit((1 << 20) * min(1.0, sample * k / n)))
     fitted = cut(part.select(array_to_vector(F.col("vector").cast("array<double>")).alias("v")))
-    model = KMeans(k=max(2, k), distanceMeasure="cosine", maxIter=8, initSteps=1, seed=seed, featuresCol="v").fit(fitted)
+    model = KMeans(
+        k=max(2, k), distanceMeasure="cosine", maxIter=8, initSteps=1, seed=seed, featuresCol="v"
+    ).fit(fitted)
     centres = np.array(model.clusterCenters())
     return centres / np.linalg.norm(centres, axis=1, keepdims=True)
 
@@ -57,13 +61,18 @@ def visit_distance(cosine: float, dim: int, exact: bool = False) -> float:
     return chord / 2 * (1.0 if exact else min(1.0, 4 / math.sqrt(min(dim, 64))))
 
 
-def with_cells(vectors: DataFrame, centres: dict[int, np.ndarray], cosine: float = COSINE, exact: bool = False) -> DataFrame:
+def with_cells(
+    vectors: DataFrame, centres: dict[int, np.ndarray], cosine: float = COSINE, exact: bool = False
+) -> DataFrame:
     """vectors (row, vector, dim, n) with their home cell and the cells they visit (home first)."""
     shared = vectors.sparkSession.sparkContext.broadcast(centres)  # half a square root of the rows, for each dimension
     columns = vectors.columns
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        apart = {d: np.sqrt(np.maximum(2 - 2 * c @ c.T, 0)) * visit_distance(cosine, d, exact) for d, c in shared.value.items()}
+        apart = {
+            d: np.sqrt(np.maximum(2 - 2 * c @ c.T, 0)) * visit_distance(cosine, d, exact) for d,
+            c in shared.value.items()
+        }
         for batch in batches:
             dims = np.asarray(batch.column("dim"))
             for dim in np.unique(dims).tolist():
@@ -122,7 +131,9 @@ def _compare(cell: int, rows: pd.DataFrame, cosine: float) -> pd.DataFrame:
     return out[(out["links"] > 0) | (out["root"] != out["row"])]
 
 
-def neighbour_links(vectors: DataFrame, cosine: float = COSINE, cells: int | None = None, exact: bool = False, block: int = BLOCK) -> DataFrame:
+def neighbour_links(
+    vectors: DataFrame, cosine: float = COSINE, cells: int | None = None, exact: bool = False, block: int = BLOCK
+) -> DataFrame:
     """row, links, root: partial counts and roots, from comparing each vector with the members of cells it visits.
 
     vectors holds row (a unique long), vector, dim and n (how many copies it stands for). A cell's members, and its
@@ -140,13 +151,19 @@ def neighbour_links(vectors: DataFrame, cosine: float = COSINE, cells: int | Non
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda n: spread_hash(F.col(n), "row")
     kept = ["dim", "cell", "i", "j", "row", "vector", "n", "home", "visits", "member"]
-    guests = visiting.join(sizes, ["dim", "cell"]).withColumns({"j": own("gb"), "visits": F.lit(None).cast("array<int>"), "member": F.lit(False)})
-    members = placed.withColumn("cell", F.col("home")).join(sizes, ["dim", "cell"]).withColumns({"i": own("mb"), "member": F.lit(True)})
+    guests = visiting.join(sizes, ["dim", "cell"]).withColumns(
+        {"j": own("gb"), "visits": F.lit(None).cast("array<int>"), "member": F.lit(False)}
+    )
+    members = placed.withColumn("cell", F.col("home")).join(sizes, ["dim", "cell"]).withColumns(
+        {"i": own("mb"), "member": F.lit(True)}
+    )
     both = members.withColumn("j", each("gb")).select(*kept).union(guests.withColumn("i", each("mb")).select(*kept))
     return both.groupBy("dim", "cell", "i", "j").applyInPandas(lambda key, rows: _compare(key[1], rows, cosine), FOUND)
 
 
-def near_vectors(df: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vector_col: str = "embedding", **how) -> DataFrame:
+def near_vectors(
+    df: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vector_col: str = "embedding", **how
+) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row of df.
 
     Two rows are linked if their cosine, in double precision, is at least the bound and one of them visits the
@@ -157,23 +174,35 @@ def near_vectors(df: DataFrame, cosine: float = COSINE, id_col: str = "vec_id",
     returned; other columns are ignored.
     """
     narrow = df.select(F.col(f"`{id_col}`").alias("vec_id"), F.col(f"`{vector_col}`").alias("vector"))
-    able = F.col("vec_id").isNotNull() & sound("vector") & F.coalesce(F.exists("vector", lambda x: x != 0), F.lit(False))
+    able = F.col("vec_id").isNotNull() & sound("vector") & F.coalesce(
+        F.exists("vector", lambda x: x != 0), F.lit(False)
+    )
     rows = narrow.withColumns({"row": F.monotonically_increasing_id(), "able": able})
     rows = cut(rows.withColumns({"h": F.xxhash64("vector"), "g": F.xxhash64(F.lit(1), "vector")}))
-    alike = rows.where("able").groupBy(F.size("vector").alias("dim"), "vector").agg(F.count("*").alias("n"), F.min("row").alias("row"), F.min("vec_id").alias("first"))
+    alike = rows.where("able").groupBy(F.size("vector").alias("dim"), "vector").agg(
+        F.count("*").alias("n"), F.min("row").alias("row"), F.min("vec_id").alias("first")
+    )
     alike = cut(alike)
     found = cut(neighbour_links(alike.select("row", "vector", "dim", "n"), cosine, **how))
     links = found.groupBy("row").agg(F.sum("links").alias("links"))
     roots = cut(connected_components(found.select("row", "root")).toDF("row", "root"))
-    classes = alike.select("row", "first", "n", F.xxhash64("vector").alias("h"), F.xxhash64(F.lit(1), "vector").alias("g"))
-    classes = cut(classes.join(links, "row", "left").join(roots, "row", "left").withColumn("root", F.coalesce("root", "row")).drop("row"))
+    classes = alike.select(
+        "row", "first", "n", F.xxhash64("vector").alias("h"), F.xxhash64(F.lit(1), "vector").alias("g")
+    )
+    classes = cut(
+        classes.join(links, "row", "left").join(roots, "row", "left").withColumn("root", F.coalesce("root", "row")).drop("row")
+    )
     least = cut(classes.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("size")))
     n = least.agg(F.sum("size")).first()[0] or 0
     count = (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links")
     marked = cut(join_by_key(classes, least, ["root"], "size", n).select("h", "g", "n", count, "component_id"))
     total = marked.agg(F.sum("n")).first()[0] or 0
-    linked = join_by_key(rows.where("able").select("vec_id", "h", "g"), marked, ["h", "g"], "n", total).select("vec_id", "n_links", "component_id")
-    alone = rows.where("not able").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    linked = join_by_key(
+        rows.where("able").select("vec_id", "h", "g"), marked, ["h", "g"], "n", total
+    ).select("vec_id", "n_links", "component_id")
+    alone = rows.where("not able").select(
+        "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")
+    )
     return linked.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 

@@ -76,7 +76,10 @@ def plan_pool(lengths: list[int], length: int = LENGTH) -> Iterator[tuple[int, i
                 sizes, sequence, offset = sizes[1:], sequence + 1, 0
 
 
-def pack_documents(df: DataFrame, path: str, end_id: int = 1, length: int = LENGTH, pool_tokens: int = POOL_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(
+    df: DataFrame, path: str, end_id: int = 1, length: int = LENGTH, pool_tokens: int = POOL_TOKENS,
+    id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """Pieces of every document: doc_id, start, length, token_ids, doc_tokens, sequence_id, offset.
 
     token_ids holds the piece's ids as little-endian unsigned 32-bit numbers; a document is its text's ids and then
@@ -107,7 +110,9 @@ def pack_documents(df: DataFrame, path: str, end_id: int = 1, length: int = LENG
                 yield pa.RecordBatch.from_arrays([
                     pa.array([ids[d] for d in doc], id_type), pa.array(start, pa.int64()), pa.array(size, pa.int64()),
                     pa.array([texts[d][4 * a : 4 * (a + n)] for d, a, n in zip(doc, start, size)], pa.binary()),
-                    pa.array([len(texts[d]) // 4 for d in doc], pa.int64()), pa.array([first + s for s in sequence], pa.int64()), pa.array(offset, pa.int64()),
+                    pa.array(
+                        [len(texts[d]) // 4 for d in doc], pa.int64()
+                    ), pa.array([first + s for s in sequence], pa.int64()), pa.array(offset, pa.int64()),
                 ], columns)
             first += max((p[3] for p in pieces), default=-1) + 1
             ids.clear()
@@ -126,9 +131,14 @@ def pack_documents(df: DataFrame, path: str, end_id: int = 1, length: int = LENG
         if ids:
             yield from flush()
 
-    return rows.mapInArrow(packed, f"doc_id {kind}, start long, length long, token_ids binary, doc_tokens long, sequence_id long, offset long")
+    return rows.mapInArrow(
+        packed,
+        f"doc_id {kind}, start long, length long, token_ids binary, doc_tokens long, sequence_id long, offset long"
+    )
 
 
 def op10_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
-    return pieces.select("doc_id", "start", "length", F.crc32("token_ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("token_ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )

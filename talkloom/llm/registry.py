@@ -13,5 +13,12 @@ from talkloom.llm.topk import OP2_SQL, op2_pivot_top_k
 from talkloom.llm.toxicity import op1_toxicity
 from talkloom.llm.warc import OP8_SQL, op8_arc_to_warc
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_pivot_top_k, op3_feistel_shards, op4_main_text, op5_token_counts, op6_near_vectors, op7_simhash_groups, op8_arc_to_warc, op9_poisson_mixture, op10_packed_sequences)}
-ORACLE_SQL = {"op2_pivot_top_k": OP2_SQL, "op6_near_vectors": OP6_SQL, "op8_arc_to_warc": OP8_SQL, "op9_poisson_mixture": OP9_SQL}
+QUERIES = {
+    f.__name__: f for f in (
+        op1_toxicity, op2_pivot_top_k, op3_feistel_shards, op4_main_text, op5_token_counts, op6_near_vectors,
+        op7_simhash_groups, op8_arc_to_warc, op9_poisson_mixture, op10_packed_sequences
+    )
+}
+ORACLE_SQL = {
+    "op2_pivot_top_k": OP2_SQL, "op6_near_vectors": OP6_SQL, "op8_arc_to_warc": OP8_SQL, "op9_poisson_mixture": OP9_SQL
+}

@@ -29,7 +29,9 @@ def feistel(x: Column, n_rows: int, seed: int, rounds: int = ROUNDS) -> Column:
         noise = F.xxhash64(F.lit(seed).cast("long"), i, F.when(i % 2 == 0, state.r).otherwise(state.l))
         return F.struct(
             F.when(i % 2 == 0, F.pmod(state.l + F.pmod(noise, F.lit(left)), F.lit(left))).otherwise(state.l).alias("l"),
-            F.when(i % 2 == 0, state.r).otherwise(F.pmod(state.r + F.pmod(noise, F.lit(right)), F.lit(right))).alias("r"),
+            F.when(i % 2 == 0, state.r).otherwise(
+                F.pmod(state.r + F.pmod(noise, F.lit(right)), F.lit(right))
+            ).alias("r"),
         )
 
     start = F.struct(F.floor(x / right).cast("long").alias("l"), F.pmod(x, F.lit(right)).cast("long").alias("r"))
@@ -48,11 +50,16 @@ def permuted(x: Column, n_rows: int, seed: int, rounds: int = ROUNDS) -> Column:
     def walk(y: Column, steps: int) -> Column:
         if steps < 1:
             return y
-        return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), y, lambda v, _: F.when(v < n_rows, v).otherwise(feistel(v, n_rows, seed, rounds)))
+        return F.aggregate(
+            F.sequence(F.lit(1), F.lit(steps)), y, lambda v,
+            _: F.when(v < n_rows, v).otherwise(feistel(v, n_rows, seed, rounds))
+        )
 
     outside = left * right - n_rows
     first = walk(feistel(x, n_rows, seed, rounds), min(UNROLLED_WALK, outside))
-    return first if outside <= UNROLLED_WALK else F.transform(F.array(first), lambda v: F.when(v < n_rows, v).otherwise(walk(v, outside)))[0]
+    return first if outside <= UNROLLED_WALK else F.transform(
+        F.array(first), lambda v: F.when(v < n_rows, v).otherwise(walk(v, outside))
+    )[0]
 
 
 def number_rows(df: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
@@ -62,18 +69,28 @@ def number_rows(df: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
     in every column of the order are dealt among them in any way, so order should hold all that tells rows apart.
     """
     spread = [*(F.col(c).asc_nulls_first() for c in order), F.col("__spread")]
-    ordered = cut(df.withColumn("__spread", F.monotonically_increasing_id()).repartitionByRange(*spread).sortWithinPartitions(*spread).drop("__spread"))
-    numbered = ordered.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    ordered = cut(
+        df.withColumn(
+            "__spread", F.monotonically_increasing_id()
+        ).repartitionByRange(*spread).sortWithinPartitions(*spread).drop("__spread")
+    )
+    numbered = ordered.withColumn("__part", F.spark_partition_id()).withColumn(
+        "__at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    )
     counts = sorted((r[0], r[1]) for r in numbered.groupBy("__part").count().collect())  # one row per partition
     offsets, total = [], 0
     for part, count in counts:
         offsets.append((part, total))
         total += count
     starts = df.sparkSession.createDataFrame(offsets or [(0, 0)], "__part int, __start long")
-    return numbered.join(F.broadcast(starts), "__part").withColumn("row_number", F.col("__at") + F.col("__start")).drop("__part", "__at", "__start"), total
+    return numbered.join(F.broadcast(starts), "__part").withColumn(
+        "row_number", F.col("__at") + F.col("__start")
+    ).drop("__part", "__at", "__start"), total
 
 
-def shard_rows(df: DataFrame, n_shards: int, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
+def shard_rows(
+    df: DataFrame, n_shards: int, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS
+) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard and row_number for every row of df.
 
     Rows are numbered in the order of id, text hash and size; the number's place in the permutation gives shard

@@ -195,11 +195,18 @@ def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = merger(path)
         for batch in batches:
-            counts = [n for group in in_groups(t.as_py() for t in batch.column("text")) for n in counter.count_texts(group)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+            counts = [
+                n for group in in_groups(t.as_py() for t in batch.column("text")) for n in counter.count_texts(group)
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("n_bytes"), pa.array(counts, pa.int64())],
+                ["doc_id", "n_bytes", "n_tokens"]
+            )
 
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    rows = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
+    rows = df.select(
+        F.col(f"`{id_col}`").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text")
+    )
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(counted, f"doc_id {kind}, n_bytes long, n_tokens long")
 
@@ -214,7 +221,9 @@ class WordIds(dict):
         self.new = 0
 
     def __missing__(self, word: str) -> bytes:
-        ids = b"".join([self.packed[t.id] for p in ([word] if word.isalpha() else self.split(word)) for t in self.tokenize(p if p.isascii() and p.isprintable() else self.bytewise(p))])
+        ids = b"".join(
+            [self.packed[t.id] for p in ([word] if word.isalpha() else self.split(word)) for t in self.tokenize(p if p.isascii() and p.isprintable() else self.bytewise(p))]
+        )
         self.new += 1
         if len(self) < self.limit:
             self[word] = ids

@@ -36,7 +36,9 @@ def farthest_first(rows: np.ndarray, n: int) -> np.ndarray:
     return rows[taken]
 
 
-def pivots_of(vectors: DataFrame, share: float = PIVOT_SHARE, most: int = MOST_PIVOTS, sample: int = SAMPLE) -> dict[int, np.ndarray]:
+def pivots_of(
+    vectors: DataFrame, share: float = PIVOT_SHARE, most: int = MOST_PIVOTS, sample: int = SAMPLE
+) -> dict[int, np.ndarray]:
     """The pivots of each of the most frequent dimensions, farthest first within a sample of bounded size.
 
     Any pivots give right results: they only decide how early a search stops.
@@ -100,7 +102,9 @@ def _integer_products(rows: np.ndarray, query: np.ndarray) -> list[int]:
     return [sum(int(a) * b for a, b in zip(row, whole)) for row in rows]
 
 
-def _best(bound: np.ndarray, products: Callable, names: list[tuple[int, int]], k: int, least: float) -> tuple[list, int]:
+def _best(
+    bound: np.ndarray, products: Callable, names: list[tuple[int, int]], k: int, least: float
+) -> tuple[list, int]:
     """The k best of a query, as (-score, vec_id, row), and how many products that took: candidates in the order of
     falling bounds, until none that is left can reach the k-th score (at first: least)."""
     order = np.flatnonzero(bound >= least)
@@ -113,7 +117,9 @@ def _best(bound: np.ndarray, products: Callable, names: list[tuple[int, int]], k
             some = some[bound[some] >= -best[-1][0]]
         scores = products(some)
         floor = -best[-1][0] if len(best) == k else None
-        best = sorted([*best, *((-s, *names[n]) for n, s in zip(some.tolist(), scores) if floor is None or s >= floor)])[:k]
+        best = sorted(
+            [*best, *((-s, *names[n]) for n, s in zip(some.tolist(), scores) if floor is None or s >= floor)]
+        )[:k]
         done, step = done + len(some), 2 * step
     return best, done
 
@@ -158,7 +164,9 @@ def first_of_equal(vectors: DataFrame, n: int) -> DataFrame:
     return vectors.withColumn("h", F.xxhash64("vector")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= n).drop("n", "h")
 
 
-def search_blocks(queries: DataFrame, candidates: DataFrame, k: int, block: int = BLOCK, share: float = PIVOT_SHARE) -> DataFrame:
+def search_blocks(
+    queries: DataFrame, candidates: DataFrame, k: int, block: int = BLOCK, share: float = PIVOT_SHARE
+) -> DataFrame:
     """query_row, query_id, vec_id, row, score, exact (the score as a double), tested: found candidates, the k best of
     each query among them, and rows without candidate that count the products that took.
 
@@ -172,23 +180,37 @@ def search_blocks(queries: DataFrame, candidates: DataFrame, k: int, block: int
     q = cut(with_pivot_distances(queries.select("row", "vec_id", "vector", "dim"), points))
     square = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
     own = F.element_at("distances", F.col("cell") + 1)
-    cells = v.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max(square).alias("longest"), F.min(own).alias("near"), F.max(own).alias("far"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("dim").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cells = cells.withColumn("first", F.floor(before / block).cast("int")).withColumn("last", F.floor((before + F.col("n") - 1) / block).cast("int"))
-    listed = cut(cells.groupBy("dim").agg(F.array_sort(F.collect_list(F.struct("cell", "longest", "near", "far", "first", "last"))).alias("cells")))
+    cells = v.groupBy("dim", "cell").agg(
+        F.count("*").alias("n"), F.max(square).alias("longest"), F.min(own).alias("near"), F.max(own).alias("far")
+    )
+    before = F.coalesce(
+        F.sum("n").over(Window.partitionBy("dim").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+    )
+    cells = cells.withColumn("first", F.floor(before / block).cast("int")).withColumn(
+        "last", F.floor((before + F.col("n") - 1) / block).cast("int")
+    )
+    listed = cut(
+        cells.groupBy("dim").agg(
+            F.array_sort(F.collect_list(F.struct("cell", "longest", "near", "far", "first", "last"))).alias("cells")
+        )
+    )
     # A row a dimension, of at most MOST_PIVOTS cells; columns of more dimensions than this are joined by a shuffle.
     listed = F.broadcast(listed) if listed.count() <= 64 * DIMENSIONS else listed
     in_cell = F.filter("cells", lambda c: c["cell"] == F.col("cell"))[0]
 
     def searched(visits: DataFrame, blocks: DataFrame) -> DataFrame:
         """visits: dim, j and the query; blocks: dim, j and the candidate. A crowd of queries is cut into parts."""
-        crowd = cut(visits.groupBy("dim", "j").agg(F.ceil(F.count("*") / block).cast("int").alias("parts")))  # a row a block
+        crowd = cut(
+            visits.groupBy("dim", "j").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+        )  # a row a block
         left = visits.join(crowd, ["dim", "j"]).withColumn("i", spread_hash(F.col("parts"), "row", salt=3))
         right = blocks.join(crowd, ["dim", "j"]).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         keys = ["dim", "j", "i"]
 
         def search(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            return _search(a, b, _of(points, key[0]), k) if len(a) and len(b) else pd.DataFrame({c.split()[0]: [] for c in PRODUCTS.split(", ")})
+            return _search(a, b, _of(points, key[0]), k) if len(a) and len(b) else pd.DataFrame(
+                {c.split()[0]: [] for c in PRODUCTS.split(", ")}
+            )
 
         a = left.select(*keys, "row", "vec_id", "vector", "distances", "least")
         b = right.select(*keys, "row", "vec_id", "vector", "distances")
@@ -201,7 +223,9 @@ def search_blocks(queries: DataFrame, candidates: DataFrame, k: int, block: int
     order = Window.partitionBy("query_row").orderBy(F.desc("exact"), F.desc("score"), "vec_id", "row")
     known = first.where("vec_id is not null").withColumn("n", F.row_number().over(order)).where(F.col("n") == k)
     known = known.select(F.col("query_row").alias("row"), F.col("exact").alias("least"))
-    bounded = at_home.withColumnRenamed("j", "home").join(known, "row", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
+    bounded = at_home.withColumnRenamed("j", "home").join(known, "row", "left").withColumn(
+        "least", F.coalesce("least", F.lit(float("-inf")))
+    )
 
     def in_reach(c):
         to_pivot = F.element_at("distances", c["cell"] + 1)
@@ -210,12 +234,18 @@ def search_blocks(queries: DataFrame, candidates: DataFrame, k: int, block: int
         return bound + F.lit(ROUNDING) * (1 + F.greatest(F.col("square"), c["longest"])) >= F.col("least")
 
     measures = bounded.withColumn("square", square).withColumn("nearest", F.array_min("distances"))
-    visited = F.array_distinct(F.flatten(F.transform(F.filter("cells", in_reach), lambda c: F.sequence(c["first"], c["last"]))))
-    rest = measures.withColumn("j", F.explode(visited)).where("j <> home").select("dim", "j", "row", "vec_id", "vector", "distances", "least")
+    visited = F.array_distinct(
+        F.flatten(F.transform(F.filter("cells", in_reach), lambda c: F.sequence(c["first"], c["last"])))
+    )
+    rest = measures.withColumn("j", F.explode(visited)).where("j <> home").select(
+        "dim", "j", "row", "vec_id", "vector", "distances", "least"
+    )
     return first.union(searched(rest, placed))
 
 
-def top_k(queries: DataFrame, candidates: DataFrame, k: int, block: int = BLOCK, share: float = PIVOT_SHARE) -> DataFrame:
+def top_k(
+    queries: DataFrame, candidates: DataFrame, k: int, block: int = BLOCK, share: float = PIVOT_SHARE
+) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k candidates of highest inner product, ties to the smaller id.
 
     Both tables hold row (which row of the source it is), vec_id, vector (array<double> of whole numbers) and dim;
@@ -241,7 +271,10 @@ def quantised(df: DataFrame, scale: float = SCALE, id_col: str = "vec_id", vecto
     Rows without an id, and vectors that are null, empty or hold null or non-finite components before or after
     scaling, are left out.
     """
-    named = df.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("id"), F.transform(F.col(f"`{vector_col}`").cast("array<double>"), lambda x: x * F.lit(scale)).alias("scaled"))
+    named = df.where(F.col(f"`{id_col}`").isNotNull()).select(
+        F.col(f"`{id_col}`").alias("id"),
+        F.transform(F.col(f"`{vector_col}`").cast("array<double>"), lambda x: x * F.lit(scale)).alias("scaled")
+    )
     whole = lambda x: F.when(F.abs(x) < EXACT, F.floor(x).cast("double")).otherwise(x)
     vectors = sound_vectors(named, "id", "scaled").withColumn("vector", F.transform("vector", whole))
     return cut(vectors.select(F.monotonically_increasing_id().alias("row"), "vec_id", "vector", "dim"))

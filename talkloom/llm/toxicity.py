@@ -27,8 +27,15 @@ PREFIXES = (4, 5)
 REMEMBERED = 150_000
 
 # Second-person words of the four languages, and what stands for letters in disguised words.
-SECOND_PERSON = frozenset("you your yours yourself u ur ya du dich dir dein deine deinen deinem deiner euch euer ihr sie tu te toi ton ta tes vous votre vos tú ti usted ustedes vosotros vuestra vuestro tus su sus".split())
-DISGUISES = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "l", "€": "e", "*": None, ".": None, "-": None, "_": None, "+": "t"})
+SECOND_PERSON = frozenset(
+    "you your yours yourself u ur ya du dich dir dein deine deinen deinem deiner euch euer ihr sie tu te toi ton ta tes vous votre vos tú ti usted ustedes vosotros vuestra vuestro tus su sus".split()
+)
+DISGUISES = str.maketrans(
+    {
+        "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "l",
+        "€": "e", "*": None, ".": None, "-": None, "_": None, "+": "t"
+    }
+)
 
 EDGES = re.compile(r"^\W+|[\W_]+$")
 PUNCTUATION = re.compile(r"[^\w\s]")
@@ -64,10 +71,15 @@ def count_units(sample: DataFrame) -> DataFrame:
             unit, fold, label = zip(*seen)
             texts = list(seen.values())
             seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array(unit), pa.array(fold, pa.int32()), pa.array(label, pa.int32()), pa.array(texts, pa.int64())], ["unit", "fold", "label", "texts"])
+            return pa.RecordBatch.from_arrays(
+                [pa.array(unit), pa.array(fold, pa.int32()), pa.array(label, pa.int32()), pa.array(texts, pa.int64())],
+                ["unit", "fold", "label", "texts"]
+            )
 
         for batch in batches:
-            for text, fold, label in zip(batch.column("text"), batch.column("fold").to_pylist(), batch.column("label").to_pylist()):
+            for text, fold, label in zip(
+                batch.column("text"), batch.column("fold").to_pylist(), batch.column("label").to_pylist()
+            ):
                 cores = {units_of(w)[0] for w in text.as_py().lower().split()}
                 units = {u for c in cores if c for u in (c, *prefixes_of(c))}
                 seen.update((u, fold, label) for u in units)
@@ -82,7 +94,11 @@ def count_units(sample: DataFrame) -> DataFrame:
 def lexicons(sample: DataFrame) -> list[dict[str, float]]:
     """unit -> z-score of its log odds, by fold from all rows but the fold's, and last from all rows."""
     sizes = {(r[0], r[1]): r[2] for r in sample.groupBy("fold", "label").count().collect()}
-    sums = [F.sum(F.when((F.col("fold") == k) & (F.col("label") == y), F.col("texts")).otherwise(0)).alias(f"n{k}_{y}") for k in range(FOLDS) for y in (0, 1)]
+    sums = [
+        F.sum(
+            F.when((F.col("fold") == k) & (F.col("label") == y), F.col("texts")).otherwise(0)
+        ).alias(f"n{k}_{y}") for k in range(FOLDS) for y in (0, 1)
+    ]
     toxic = sum((F.col(f"n{k}_1") for k in range(1, FOLDS)), F.col("n0_1"))
     rows = count_units(sample).groupBy("unit").agg(*sums).where(toxic >= LEAST_TEXTS).collect()  # bounded by the sample
     out = []
@@ -113,7 +129,9 @@ class Reader(dict):
         start = max((self.lexicon.get(p, 0.0) for p in prefixes_of(core)), default=0.0)
         disguised = bool(plain) and plain != core
         hidden = self.lexicon.get(plain, 0.0) if disguised else 0.0
-        found = (weight, start, core in SECOND_PERSON, disguised, hidden) if weight or start or disguised or core in SECOND_PERSON else None
+        found = (
+            weight, start, core in SECOND_PERSON, disguised, hidden
+        ) if weight or start or disguised or core in SECOND_PERSON else None
         if len(self) < REMEMBERED:
             self[word] = found
         return found
@@ -182,7 +200,10 @@ def in_held_out(id_col: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, trees: int = 24, depth: int = 4, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
+def fit_toxicity(
+    docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, trees: int = 24, depth: int = 4, seed: int = 11,
+    id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic"
+) -> ToxicityModel:
     """A model of the labels, from labelled documents that are not held out (crc32 of the id mod 5 isn't 0).
 
     sample bounds the rows in the mean, whatever the tables' size: rows are taken by a hash of the id. A quarter of
@@ -190,39 +211,62 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, trees
     counted on, each row's features use the lexicon of the other folds. Null labels and ids teach nothing.
     """
     key = F.col(f"`{id_col}`").alias("id")
-    given = labels.select(key, F.col(f"`{label_col}`").cast("int").alias("label")).where("id is not null and label in (0, 1)").where(~in_held_out(F.col("id")))
+    given = labels.select(
+        key, F.col(f"`{label_col}`").cast("int").alias("label")
+    ).where("id is not null and label in (0, 1)").where(~in_held_out(F.col("id")))
     n = given.count()
     slot = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 20))
     chosen = given.where(slot < F.lit(int(min(1.0, sample / max(n, 1)) * (1 << 20))))
     texts = docs.select(key, F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     h = F.xxhash64("id", F.lit(seed + 1))
-    rows = texts.join(F.broadcast(chosen), "id").select("text", "label", F.pmod(h, F.lit(CALIBRATION)).cast("int").alias("part"), F.pmod(F.shiftright(h, 8), F.lit(FOLDS)).cast("int").alias("fold"))
+    rows = texts.join(F.broadcast(chosen), "id").select(
+        "text", "label", F.pmod(h, F.lit(CALIBRATION)).cast("int").alias("part"),
+        F.pmod(F.shiftright(h, 8), F.lit(FOLDS)).cast("int").alias("fold")
+    )
     rows = stored(rows, "toxicity-sample")
     have = {(r[0], r[1]): r[2] for r in rows.groupBy(F.col("part") > 0, "label").count().collect()}
     if not all(have.get((grown, y)) for grown in (True, False) for y in (0, 1)):
         total = sum(have.values())
         return ToxicityModel({}, None, None, sum(v for k, v in have.items() if k[1]) / total if total else 0.0)
     lexicon = lexicons(rows.where("part > 0"))
-    parts = [rows.where(f"part > 0 and fold = {k}").select("part", "label", features_of(F.col("text"), lexicon[k]).alias("f")) for k in range(FOLDS)]
+    parts = [
+        rows.where(f"part > 0 and fold = {k}").select(
+            "part", "label", features_of(F.col("text"), lexicon[k]).alias("f")
+        ) for k in range(FOLDS)
+    ]
     parts.append(rows.where("part = 0").select("part", "label", features_of(F.col("text"), lexicon[-1]).alias("f")))
     read = parts[0]
     for more in parts[1:]:
         read = read.union(more)
-    read = cut(read).select("part", F.col("label").cast("double").alias("label"), array_to_vector("f").alias("__features")).coalesce(1)  # sample rows of a few numbers
-    grow = GBTClassifier(featuresCol="__features", labelCol="label", predictionCol="__prediction", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=seed, minInstancesPerNode=3)
+    read = cut(read).select(
+        "part", F.col("label").cast("double").alias("label"), array_to_vector("f").alias("__features")
+    ).coalesce(1)  # sample rows of a few numbers
+    grow = GBTClassifier(
+        featuresCol="__features", labelCol="label", predictionCol="__prediction", maxIter=trees, maxDepth=depth,
+        stepSize=0.3, seed=seed, minInstancesPerNode=3
+    )
     grow.setRawPredictionCol("__raw").setProbabilityCol("__probability")
     grown = grow.fit(read.where("part > 0"))
     calibrate = IsotonicRegression(featuresCol="__margin", labelCol="label", predictionCol="__score")
-    return ToxicityModel(lexicon[-1], grown, calibrate.fit(cut(_with_margin(grown, read.where("part = 0")).select("__margin", "label"))))
+    return ToxicityModel(
+        lexicon[-1], grown, calibrate.fit(cut(_with_margin(grown, read.where("part = 0")).select("__margin", "label")))
+    )
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, at_least: float = 0.5, text_col: str = "text", **fit) -> DataFrame:
+def without_toxic(
+    docs: DataFrame, labels: DataFrame, at_least: float = 0.5, text_col: str = "text", **fit
+) -> DataFrame:
     """The rows of docs whose score is under the bound; every row is scored on its own text."""
     model = fit_toxicity(docs, labels, text_col=text_col, **fit)
-    return model.with_score(docs, text_col, "__toxicity").where(F.col("__toxicity") < at_least).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return model.with_score(docs, text_col, "__toxicity").where(F.col("__toxicity") < at_least).select(
+        *(F.col(f"`{c}`") for c in docs.columns)
+    )
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = fit_toxicity(docs, table(spark, sf_dir, "labels")).with_score(docs)
-    return scored.select("doc_id", in_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select(
+        "doc_id", in_held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )

@@ -79,7 +79,9 @@ def parse_arc(archive: bytes) -> Iterator[dict]:
             values = line.rsplit(b" ", len(FIELDS[version]) - 1)
             if len(values) != len(FIELDS[version]):
                 raise ValueError(f"{len(values)} fields at byte {at}")
-            yield dict(zip(FIELDS[version], (v.decode("utf-8", "replace") for v in values))) | {"block": block, "truncated": len(block) < int(length), "position": at}
+            yield dict(zip(FIELDS[version], (v.decode("utf-8", "replace") for v in values))) | {
+                "block": block, "truncated": len(block) < int(length), "position": at
+            }
         at = start + int(length)
 
 
@@ -87,15 +89,21 @@ def _clean_url(url: Column) -> Column:
     return F.regexp_replace(F.coalesce(url, F.lit("about:blank")), r"[\s\x00-\x1f]", "%20")
 
 
-def pages_to_arc(pages: DataFrame, version: int | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def pages_to_arc(
+    pages: DataFrame, version: int | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html"
+) -> DataFrame:
     """archive (binary): the pages of each task as archives of a few MB, of one version or of both in turn.
 
     The page's id, URL-encoded, is a header of its response; a null id has none.
     """
     html = F.coalesce(F.col(f"`{html_col}`"), F.lit(""))
-    named = F.coalesce(F.concat(F.lit("X-Page-Id: "), F.url_encode(F.col(f"`{id_col}`").cast("string")), F.lit("\r\n")), F.lit(""))
+    named = F.coalesce(
+        F.concat(F.lit("X-Page-Id: "), F.url_encode(F.col(f"`{id_col}`").cast("string")), F.lit("\r\n")), F.lit("")
+    )
     head = F.concat(F.lit("HTTP/1.0 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"), named, F.lit("\r\n"))
-    rows = pages.select(_clean_url(F.col(f"`{url_col}`")).alias("url"), F.concat(head, html).cast("binary").alias("block"))
+    rows = pages.select(
+        _clean_url(F.col(f"`{url_col}`")).alias("url"), F.concat(head, html).cast("binary").alias("block")
+    )
 
     small_batches(pages.sparkSession)
 
@@ -192,7 +200,11 @@ def convert_arc(archives: DataFrame, archive_col: str = "archive") -> DataFrame:
     return archives.select(F.col(f"`{archive_col}`").alias("archive")).mapInArrow(converted, CONVERTED)
 
 
-TYPES = [{"string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary(), "long": pa.int64()}[f.split()[1]] for f in CONVERTED.split(", ")]
+TYPES = [
+    {
+        "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary(), "long": pa.int64()
+    }[f.split()[1]] for f in CONVERTED.split(", ")
+]
 
 
 def with_revisits(records: DataFrame, least: int = LEAST_REVISIT, key: Column | None = None) -> DataFrame:
@@ -204,7 +216,9 @@ def with_revisits(records: DataFrame, least: int = LEAST_REVISIT, key: Column |
     key = F.col("page_id") if key is None else key
     rank = F.struct(key.isNull().alias("last"), key.alias("key"), F.col("record_id").alias("id"))
     long_enough = F.col("payload_bytes") >= least
-    groups = records.where(long_enough).groupBy("payload_digest").agg(F.count("*").alias("__n"), F.min(rank).alias("first")).where("__n > 1")
+    groups = records.where(long_enough).groupBy("payload_digest").agg(
+        F.count("*").alias("__n"), F.min(rank).alias("first")
+    ).where("__n > 1")
     groups = stored(groups.select("payload_digest", "__n", F.col("first.id").alias("__first")), "repeated")
     if groups.count() <= BROADCAST_REPEATED:
         met = records.where(long_enough).join(F.broadcast(groups.drop("__n")), "payload_digest", "left")
@@ -214,20 +228,35 @@ def with_revisits(records: DataFrame, least: int = LEAST_REVISIT, key: Column |
     joined = met.unionByName(short)
     again = F.col("__first").isNotNull() & (F.col("__first") != F.col("record_id"))
     kind = F.when(again, "revisit").otherwise("response")
-    return joined.select(*records.columns, kind.alias("record_type"), F.when(again, F.col("__first")).alias("refers_to"))
+    return joined.select(
+        *records.columns, kind.alias("record_type"), F.when(again, F.col("__first")).alias("refers_to")
+    )
 
 
 def warc_record(columns: DataFrame) -> Column:
     """The bytes of a record up to the blank lines that end it; of a revisit, the block is the HTTP header alone."""
-    block = F.when(F.col("record_type") == "revisit", F.col("http_header")).otherwise(F.concat("http_header", "payload"))
+    block = F.when(
+        F.col("record_type") == "revisit", F.col("http_header")
+    ).otherwise(F.concat("http_header", "payload"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     optional = lambda shown, *x: F.when(shown, line(*x)).otherwise(F.lit(""))
     again = F.col("record_type") == "revisit"
     head = F.concat(
         F.lit("WARC/1.1\r\n"), line("WARC-Type", F.col("record_type")), line("WARC-Record-ID", F.col("record_id")), line("WARC-Date", F.col("date")),
-        line("WARC-Target-URI", F.col("uri")), line("WARC-IP-Address", F.col("ip")), line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), "payload_digest")),
-        optional(again, "WARC-Refers-To", F.coalesce("refers_to", F.lit(""))), optional(again, "WARC-Profile", F.lit(PROFILE)), optional(F.col("truncated"), "WARC-Truncated", F.lit("unspecified")),
-        line("Content-Type", F.when(F.octet_length("http_header") > 0, F.lit("application/http;msgtype=response")).otherwise(F.col("content_type"))),
+        line("WARC-Target-URI", F.col("uri")), line("WARC-IP-Address", F.col("ip")), line(
+            "WARC-Payload-Digest", F.concat(F.lit("sha256:"), "payload_digest")
+        ),
+        optional(
+            again, "WARC-Refers-To", F.coalesce("refers_to", F.lit(""))
+        ), optional(again, "WARC-Profile", F.lit(PROFILE)), optional(
+            F.col("truncated"), "WARC-Truncated", F.lit("unspecified")
+        ),
+        line(
+            "Content-Type",
+            F.when(
+                F.octet_length("http_header") > 0, F.lit("application/http;msgtype=response")
+            ).otherwise(F.col("content_type"))
+        ),
         line("Content-Length", F.octet_length(block).cast("string")), F.lit("\r\n"),
     )
     return F.concat(head.cast("binary"), block)
@@ -276,11 +305,17 @@ def write_warc(records: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> N
                     size, place = size + len(member), place + 1
                     yield member[:-1], file, place
 
-        yield from _batches_of(rows(), ["value", "file", "place"], [pa.binary(), pa.int32(), pa.int64()], lambda row: len(row[0]))
+        yield from _batches_of(
+            rows(), ["value", "file", "place"], [pa.binary(), pa.int32(), pa.int64()], lambda row: len(row[0])
+        )
 
-    members = records.select(warc_record(records).alias("record")).mapInArrow(packed, "value binary, file int, place long")
+    members = records.select(warc_record(records).alias("record")).mapInArrow(
+        packed, "value binary, file int, place long"
+    )
     ordered = members.sortWithinPartitions("file", "place")
-    ordered.select(F.col("value").cast("string").alias("value"), "file").write.partitionBy("file").option("lineSep", "\0").text(path)
+    ordered.select(
+        F.col("value").cast("string").alias("value"), "file"
+    ).write.partitionBy("file").option("lineSep", "\0").text(path)
     _name_archives(spark, path)
 
 
@@ -393,7 +428,9 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(parsed, READ)
 
 
-def warc_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def warc_round_trip(
+    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html"
+) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type and refers_to of each page, read from written archives.
 
     The pages go through ARC archives of both versions, their conversion, WARC files in the shared folder and back. A
@@ -406,10 +443,14 @@ def warc_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "u
     path = new_folder(spark, "warc")
     write_warc(with_revisits(records, key=F.col("page_id").cast(kind)), path)
     back = stored(read_warc(spark, path), "read-back")
-    again = back.where("record_type = 'revisit'").select("page_id", "payload_digest", "record_type", F.col("refers_to").alias("record_id"))
+    again = back.where("record_type = 'revisit'").select(
+        "page_id", "payload_digest", "record_type", F.col("refers_to").alias("record_id")
+    )
     times = again.groupBy("record_id").agg(F.count("*").alias("n"))
     whole = back.where("record_type = 'response'")
-    referred = cut(whole.join(times, "record_id").select("record_id", "n", "payload_bytes", F.col("page_id").alias("refers_to")))
+    referred = cut(
+        whole.join(times, "record_id").select("record_id", "n", "payload_bytes", F.col("page_id").alias("refers_to"))
+    )
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     again = join_by_key(again, referred, ["record_id"], "n", again.count()).select(*columns)
     both = whole.withColumn("refers_to", F.lit(None).cast("string")).select(*columns).union(again)

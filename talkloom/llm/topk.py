@@ -17,8 +17,8 @@ SCALE, TOP, EVERY = 256.0, 5, 50
 PIVOT_SHARE, MOST_PIVOTS, SAMPLE = 0.75, 192, 2000
 #: The most frequent dimensions, so many, have pivots of their own; vectors of others are bounded by their length alone.
 DIMENSIONS = 16
-#: Rows of a block of candidates or queries, and numbers that a task holds at once while it bounds pairs.
-BLOCK, HELD = 8192, 1 << 21
+#: Candidates of a block, queries that meet it in one task, and numbers that a task holds at once while it bounds pairs.
+BLOCK, QUERIES, HELD = 2048, 8192, 1 << 21
 #: Above this, sums of products may not be exact in double precision, and plain integers are used.
 EXACT = 2.0**52
 #: Rounding of distances, as a part of the largest squared length.
@@ -154,7 +154,7 @@ def _search(queries: pd.DataFrame, candidates: pd.DataFrame, pivots: np.ndarray,
             out += [(*key, i, r, max(-(2**63), min(2**63 - 1, int(-s))), float(-s), None) for s, i, r in best]
             out.append((*key, None, None, None, None, tested))
     columns = [c.split()[0] for c in PRODUCTS.split(", ")]
-    return pd.DataFrame(out, columns=columns).astype({c: "Int64" for c in columns if c != "exact"})
+    return pd.DataFrame(out, columns=columns, dtype=object).astype({c: "Int64" for c in columns if c != "exact"})
 
 
 def first_of_equal(vectors: DataFrame, n: int) -> DataFrame:
@@ -201,7 +201,7 @@ def search_blocks(
     def searched(visits: DataFrame, blocks: DataFrame) -> DataFrame:
         """visits: dim, j and the query; blocks: dim, j and the candidate. A crowd of queries is cut into parts."""
         crowd = cut(
-            visits.groupBy("dim", "j").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+            visits.groupBy("dim", "j").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts"))
         )  # a row a block
         left = visits.join(crowd, ["dim", "j"]).withColumn("i", spread_hash(F.col("parts"), "row", salt=3))
         right = blocks.join(crowd, ["dim", "j"]).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))

@@ -31,7 +31,8 @@ def searched(vectors, k=5, **how):
 
 
 @pytest.mark.parametrize("scale, block", [(256.0, 64), (1.0, 8192), (1e9, 40)])
-def test_top_k_is_exact(spark, scale, block):
+def test_top_k_is_exact(spark, monkeypatch, scale, block):
+    monkeypatch.setattr(topk, "QUERIES", 3)  # so that crowds of queries are cut into parts
     rng = np.random.default_rng(4)
     rows = [(k, rng.normal(size=6).tolist()) for k in range(300)] + [(1000 + k, [0.5] * 6) for k in range(20)] + [(2000 + k, rng.normal(size=3).tolist()) for k in range(3)]
     df = spark.createDataFrame([(i, v, "clash") for i, v in rows], "vec_id long, embedding array<double>, rank string").repartition(3)

@@ -124,7 +124,8 @@ def role_labels(spark, sf_dir):
 
 
 @register(
-    "SELECT conv_id, turn AS msg_pos, CASE turn % 3 WHEN 0 THEN text WHEN 1 THEN role || chr(10) || text || chr(10) || 'x' ELSE '{\"t\":\"' || replace(text, chr(10), '\\n') || '\"}' END AS body FROM conversations"
+    "SELECT conv_id, turn AS msg_pos, CASE turn % 3 WHEN 0 THEN text WHEN 1 THEN role || chr(10) || text || chr(10) "
+        "|| 'x' ELSE '{\"t\":\"' || replace(text, chr(10), '\\n') || '\"}' END AS body FROM conversations"
 )
 def normalize_content(spark, sf_dir):
     nested = F.to_json(F.array(F.col("role"), F.lit(""), F.col("text"), F.lit("x")))
@@ -136,7 +137,9 @@ def normalize_content(spark, sf_dir):
 
 
 @register(
-    "SELECT conv_id, turn AS msg_pos, CASE turn % 4 WHEN 0 THEN text WHEN 1 THEN repeat(chr(96), 3) || 'sql' || chr(10) || text || chr(10) || repeat(chr(96), 3) WHEN 2 THEN text || chr(10) || '[image] (640x480) file-' || conv_id ELSE '' END AS body FROM conversations"
+    "SELECT conv_id, turn AS msg_pos, CASE turn % 4 WHEN 0 THEN text WHEN 1 THEN repeat(chr(96), 3) || 'sql' || "
+        "chr(10) || text || chr(10) || repeat(chr(96), 3) WHEN 2 THEN text || chr(10) || '[image] (640x480) file-' "
+        "|| conv_id ELSE '' END AS body FROM conversations"
 )
 def render_content(spark, sf_dir):
     t = F.col("turn") % 4
@@ -178,7 +181,8 @@ def all_nodes(spark, sf_dir):
 
 
 @register(
-    "SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS msg_pos, role, text FROM conversations"
+    "SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS msg_pos, role, "
+        "text FROM conversations"
 )
 def explode_messages(spark, sf_dir):
     listed = fixtures.raw(spark, sf_dir).groupBy("conv_id").agg(
@@ -188,7 +192,8 @@ def explode_messages(spark, sf_dir):
 
 
 @register(
-    "SELECT conv_id, CAST(row_number() OVER (ORDER BY conv_id) AS BIGINT) AS arrival FROM (SELECT DISTINCT conv_id FROM conversations)"
+    "SELECT conv_id, CAST(row_number() OVER (ORDER BY conv_id) AS BIGINT) AS arrival FROM (SELECT DISTINCT conv_id "
+        "FROM conversations)"
 )
 def number_conversations(spark, sf_dir):
     numbered = M.number_conversations(fixtures.raw(spark, sf_dir).select("conv_id").distinct(), ["conv_id"])
@@ -196,7 +201,8 @@ def number_conversations(spark, sf_dir):
 
 
 @register(
-    f"SELECT c.conv_id, count(f.body) AS messages FROM c_convs c LEFT JOIN (SELECT * FROM c_fx WHERE NOT {O.tool_call('body')}) f ON c.conv_id = f.conv_id GROUP BY c.conv_id"
+    f"SELECT c.conv_id, count(f.body) AS messages FROM c_convs c LEFT JOIN (SELECT * FROM c_fx WHERE NOT "
+        f"{O.tool_call('body')}) f ON c.conv_id = f.conv_id GROUP BY c.conv_id"
 )
 def message_counts(spark, sf_dir):
     return M.message_counts(
@@ -327,7 +333,8 @@ def han_runs(spark, sf_dir):
 
 
 @register(
-    "SELECT term, count(*) AS runs FROM (SELECT substr(run, i, n) AS term FROM c_runs, (VALUES (2), (3), (4)) AS l(n), unnest(range(1, length(run) + 1)) AS p(i) WHERE i + n - 1 <= length(run)) GROUP BY term"
+    "SELECT term, count(*) AS runs FROM (SELECT substr(run, i, n) AS term FROM c_runs, (VALUES (2), (3), (4)) AS "
+        "l(n), unnest(range(1, length(run) + 1)) AS p(i) WHERE i + n - 1 <= length(run)) GROUP BY term"
 )
 def han_ngrams(spark, sf_dir):
     runs = insights(spark, sf_dir).docs.select(F.explode(K.han_runs(F.col("text"))).alias("run"))
@@ -342,7 +349,8 @@ def han_vocab(spark, sf_dir):
 
 
 @register(
-    "SELECT conv_id, CAST(run_no AS INTEGER) AS run_no, CAST(i - length(term) AS INTEGER) AS pos, term FROM c_seg WHERE term IS NOT NULL"
+    "SELECT conv_id, CAST(run_no AS INTEGER) AS run_no, CAST(i - length(term) AS INTEGER) AS pos, term FROM c_seg "
+        "WHERE term IS NOT NULL"
 )
 def segment_han(spark, sf_dir):
     job = insights(spark, sf_dir)
@@ -449,7 +457,8 @@ _RATES = [f"{n}_rate" for n in I.BUCKETS[:4]]
 
 
 @register(
-    f"SELECT conv_id, user_messages, assistant_messages, {', '.join(f'round({r}, 6) AS {r}' for r in _RATES)}, iteration, round(score, 6) AS score FROM c_scores"
+    f"SELECT conv_id, user_messages, assistant_messages, {', '.join(f'round({r}, 6) AS {r}' for r in _RATES)}, "
+        f"iteration, round(score, 6) AS score FROM c_scores"
 )
 def conversation_scores(spark, sf_dir):
     return rounded(report(spark, sf_dir).scores.drop("index"), *_RATES, "score")
@@ -464,21 +473,27 @@ _SUMMARY = ["avg_user_len", "avg_turns", *I.RATES]
 
 
 @register(
-    f"SELECT conversations, user_messages, assistant_messages, {', '.join(f'round({r}, 6) AS {r}' for r in _SUMMARY)} FROM c_summary"
+    f"SELECT conversations, user_messages, assistant_messages, {', '.join(f'round({r}, 6) AS {r}' for r in _SUMMARY)} "
+        f"FROM c_summary"
 )
 def interaction_summary(spark, sf_dir):
     return rounded(report(spark, sf_dir).summary, *_SUMMARY)
 
 
 @register(
-    f"SELECT CAST(row_number() OVER (ORDER BY round(value, 3) DESC, place) AS INTEGER) AS rank, label, round(value, 6) AS value FROM c_rates JOIN (VALUES {O.rows([(k, *r) for k, r in enumerate(STRENGTHS)])}) AS s(place, label, metric, threshold) USING (metric) WHERE value >= threshold QUALIFY rank <= 3"
+    f"SELECT CAST(row_number() OVER (ORDER BY round(value, 3) DESC, place) AS INTEGER) AS rank, label, round(value, "
+        f"6) AS value FROM c_rates JOIN (VALUES {O.rows([(k, *r) for k, r in enumerate(STRENGTHS)])}) AS s(place, "
+        f"label, metric, threshold) USING (metric) WHERE value >= threshold QUALIFY rank <= 3"
 )
 def strengths(spark, sf_dir):
     return rounded(I.strengths(report(spark, sf_dir).summary), "value")
 
 
 @register(
-    f"SELECT CAST(row_number() OVER (ORDER BY round(abs(value - threshold), 3) DESC, place) AS INTEGER) AS rank, label, round(value, 6) AS value, round(abs(value - threshold), 6) AS delta FROM c_rates JOIN (VALUES {O.rows([(k, *r) for k, r in enumerate(GAPS)])}) AS s(place, label, metric, threshold, reverse) USING (metric) WHERE (reverse AND value >= threshold) OR (NOT reverse AND value < threshold) QUALIFY rank <= 3"
+    f"SELECT CAST(row_number() OVER (ORDER BY round(abs(value - threshold), 3) DESC, place) AS INTEGER) AS rank, "
+        f"label, round(value, 6) AS value, round(abs(value - threshold), 6) AS delta FROM c_rates JOIN (VALUES "
+        f"{O.rows([(k, *r) for k, r in enumerate(GAPS)])}) AS s(place, label, metric, threshold, reverse) USING "
+        f"(metric) WHERE (reverse AND value >= threshold) OR (NOT reverse AND value < threshold) QUALIFY rank <= 3"
 )
 def gaps(spark, sf_dir):
     return rounded(I.gaps(report(spark, sf_dir).summary), "value", "delta")
@@ -499,7 +514,8 @@ def _greedy() -> str:
     for k, (bucket, label) in enumerate(QUOTE_LABELS):
         used = f" AND conv_id NOT IN ({' UNION ALL '.join(f'SELECT conv_id FROM q{j}' for j in range(k))})" if k else ""
         picks.append(
-            f"q{k} AS (SELECT {k} AS place, '{label}' AS label, text, conv_id FROM c_buckets WHERE bucket = '{bucket}'{used} ORDER BY rank LIMIT 1)"
+            f"q{k} AS (SELECT {k} AS place, '{label}' AS label, text, conv_id FROM c_buckets WHERE bucket = "
+                f"'{bucket}'{used} ORDER BY rank LIMIT 1)"
         )
         parts.append(f"SELECT * FROM q{k}")
     return f"SELECT place, label, text, conv_id + 1 AS conversation FROM (WITH {', '.join(picks)} {' UNION ALL '.join(parts)})"
@@ -511,7 +527,9 @@ def report_quotes(spark, sf_dir):
 
 
 @register(
-    f"SELECT CAST(row_number() OVER (ORDER BY length(text) DESC, short, conv_id, msg_pos) AS INTEGER) AS rank, short AS text, conv_id + 1 AS conversation FROM (SELECT *, {O.truncate('text')} AS short FROM c_bot WHERE boundary) QUALIFY rank <= 4"
+    f"SELECT CAST(row_number() OVER (ORDER BY length(text) DESC, short, conv_id, msg_pos) AS INTEGER) AS rank, short "
+        f"AS text, conv_id + 1 AS conversation FROM (SELECT *, {O.truncate('text')} AS short FROM c_bot WHERE "
+        f"boundary) QUALIFY rank <= 4"
 )
 def boundary_quotes(spark, sf_dir):
     return I.boundary_quotes(report(spark, sf_dir).features).select(
@@ -560,14 +578,16 @@ def topic_counts(spark, sf_dir):
 
 
 @register(
-    "SELECT count(*) AS total, strftime(min(created), '%Y-%m-%d') AS first_day, strftime(max(created), '%Y-%m-%d') AS last_day, (SELECT count(*) FROM c_stars) AS starred FROM c_convs"
+    "SELECT count(*) AS total, strftime(min(created), '%Y-%m-%d') AS first_day, strftime(max(created), '%Y-%m-%d') AS "
+        "last_day, (SELECT count(*) FROM c_stars) AS starred FROM c_convs"
 )
 def corpus_metrics(spark, sf_dir):
     return rollups.corpus_metrics(fixtures.convs(spark, sf_dir), fixtures.annotations(spark, sf_dir))
 
 
 @register(
-    "SELECT 'keyword' AS kind, rank, term AS value, count FROM c_hot WHERE rank <= 18 UNION ALL SELECT 'topic', rank, label, count FROM c_topcounts WHERE rank <= 12"
+    "SELECT 'keyword' AS kind, rank, term AS value, count FROM c_hot WHERE rank <= 18 UNION ALL SELECT 'topic', rank, "
+        "label, count FROM c_topcounts WHERE rank <= 12"
 )
 def facets(spark, sf_dir):
     job = insights(spark, sf_dir)
@@ -587,7 +607,8 @@ def search_terms(spark, sf_dir):
 
 
 @register(
-    f"SELECT 1 AS query_id, file FROM {_HAY} WHERE ({_FOUND.format('python')}) UNION ALL SELECT 2, file FROM {_HAY} WHERE ({_FOUND.format('chat')}) AND ({_FOUND.format('投资组合')})"
+    f"SELECT 1 AS query_id, file FROM {_HAY} WHERE ({_FOUND.format('python')}) UNION ALL SELECT 2, file FROM {_HAY} "
+        f"WHERE ({_FOUND.format('chat')}) AND ({_FOUND.format('投资组合')})"
 )
 def search_many(spark, sf_dir):
     job = insights(spark, sf_dir)
@@ -619,7 +640,8 @@ def filter_topic(spark, sf_dir):
 
 
 @register(
-    "SELECT conv_id, 'day' AS kind FROM c_convs WHERE created >= timestamp '2024-01-03' AND created <= timestamp '2024-01-12' UNION ALL SELECT conv_id, 'whole' FROM c_convs WHERE created < timestamp '2024-01-13'"
+    "SELECT conv_id, 'day' AS kind FROM c_convs WHERE created >= timestamp '2024-01-03' AND created <= timestamp "
+        "'2024-01-12' UNION ALL SELECT conv_id, 'whole' FROM c_convs WHERE created < timestamp '2024-01-13'"
 )
 def filter_dates(spark, sf_dir):
     rows = fixtures.convs(spark, sf_dir)
@@ -628,7 +650,8 @@ def filter_dates(spark, sf_dir):
 
 
 @register(
-    f"SELECT conv_id FROM {_HAY} WHERE ({_FOUND.format('how')}) AND messages >= 4 AND conv_id % 5 = 0 AND created >= timestamp '2024-01-02'"
+    f"SELECT conv_id FROM {_HAY} WHERE ({_FOUND.format('how')}) AND messages >= 4 AND conv_id % 5 = 0 AND created >= "
+        f"timestamp '2024-01-02'"
 )
 def filter_all(spark, sf_dir):
     job = insights(spark, sf_dir)
@@ -686,14 +709,16 @@ def search_shards(spark, sf_dir):
 
 
 @register(
-    "SELECT CAST((idx - 1) // 30 AS INTEGER) AS shard, printf('search_%04d.json', (idx - 1) // 30) AS file, count(*) AS count FROM c_search GROUP BY ALL"
+    "SELECT CAST((idx - 1) // 30 AS INTEGER) AS shard, printf('search_%04d.json', (idx - 1) // 30) AS file, count(*) "
+        "AS count FROM c_search GROUP BY ALL"
 )
 def search_manifest(spark, sf_dir):
     return A.search_manifest(fixtures.convs(spark, sf_dir), 30)
 
 
 @register(
-    f"SELECT conv_id, '| ' || idx || ' | ' || title || ' | ' || {WHEN.format('created')} || ' | ' || {WHEN.format('updated')} || ' | ' || messages || ' | ' || file || ' |' AS line FROM c_convs"
+    f"SELECT conv_id, '| ' || idx || ' | ' || title || ' | ' || {WHEN.format('created')} || ' | ' || "
+        f"{WHEN.format('updated')} || ' | ' || messages || ' | ' || file || ' |' AS line FROM c_convs"
 )
 def index_rows(spark, sf_dir):
     return A.index_markdown_rows(fixtures.convs(spark, sf_dir)).select((F.col("index") - 1).alias("conv_id"), "line")
@@ -717,7 +742,8 @@ def markdown_docs(spark, sf_dir):
 
 
 @register(
-    f"SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY msg_pos) - 1 AS INTEGER) AS msg_pos, role AS role_label, {O.strip('body')} AS body FROM c_fx"
+    f"SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY msg_pos) - 1 AS INTEGER) AS msg_pos, role "
+        f"AS role_label, {O.strip('body')} AS body FROM c_fx"
 )
 def markdown_parse(spark, sf_dir):
     return A.parse_markdown(_documents(spark, sf_dir)).select(
@@ -764,7 +790,8 @@ _SIZES = "SELECT conv_id % 7 AS part, CAST(sum(strlen(text) + 1) AS BIGINT) AS s
 
 
 @register(
-    f"SELECT 'all' AS kind, part, size FROM ({_SIZES}) UNION ALL (SELECT 'largest', part, size FROM ({_SIZES}) ORDER BY size DESC, part LIMIT 1)"
+    f"SELECT 'all' AS kind, part, size FROM ({_SIZES}) UNION ALL (SELECT 'largest', part, size FROM ({_SIZES}) ORDER "
+        f"BY size DESC, part LIMIT 1)"
 )
 def export_files(spark, sf_dir):
     """Files of known sizes, and the largest of them."""
@@ -780,7 +807,8 @@ def export_files(spark, sf_dir):
 
 
 @register(
-    f"SELECT CAST(idx AS INTEGER) AS number, title, {WHEN.format('created')} AS created_utc, {WHEN.format('updated')} AS updated_utc, CAST(messages AS INTEGER) AS messages, file, id FROM c_convs"
+    f"SELECT CAST(idx AS INTEGER) AS number, title, {WHEN.format('created')} AS created_utc, {WHEN.format('updated')} "
+        f"AS updated_utc, CAST(messages AS INTEGER) AS messages, file, id FROM c_convs"
 )
 def index_csv_files(spark, sf_dir):
     path = new_folder(spark, "index")
@@ -789,7 +817,8 @@ def index_csv_files(spark, sf_dir):
 
 
 @register(
-    "SELECT conv_id, title, snippet, cluster_label, array_to_string(keywords, '|') AS keywords, (SELECT count(*) FROM c_convs) AS total FROM c_items"
+    "SELECT conv_id, title, snippet, cluster_label, array_to_string(keywords, '|') AS keywords, (SELECT count(*) FROM "
+        "c_convs) AS total FROM c_items"
 )
 def items_files(spark, sf_dir):
     """Items as JSON lines, with the one row of insights beside them."""

@@ -239,6 +239,7 @@ def test_only_similar_sets_are_copies(spark):
 def test_copies_within_the_radius_by_all_pairs(spark, monkeypatch, crowd, block):
     monkeypatch.setattr(simhash, "CROWD", crowd)  # so that buckets of both kinds, and crowds of many blocks, occur
     monkeypatch.setattr(simhash, "CROWD_BLOCK", block)
+    monkeypatch.setattr(simhash, "BROADCAST_HASHES", 0 if crowd == 3 else 4_000_000)
     monkeypatch.setattr(simhash, "PAIRS", 7)  # so that comparisons go in many steps
     monkeypatch.setattr(simhash, "GROUP", 50)
     rng = random.Random(3)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from talkloom.llm.collocations import OP11_SQL, op11_collocations
+from talkloom.llm.decontamination import OP12_SQL, op12_contamination
 from talkloom.llm.html_text import op4_main_text
 from talkloom.llm.mixing import OP9_SQL, op9_poisson_mixture
 from talkloom.llm.neardup_vectors import OP6_SQL, op6_near_vectors
@@ -18,10 +19,10 @@ QUERIES = {
     f.__name__: f for f in (
         op1_toxicity, op2_pivot_top_k, op3_feistel_shards, op4_main_text, op5_token_counts, op6_near_vectors,
         op7_simhash_groups, op8_arc_to_warc, op9_poisson_mixture, op10_packed_sequences,
-        op11_collocations,
+        op11_collocations, op12_contamination,
     )
 }
 ORACLE_SQL = {
     "op2_pivot_top_k": OP2_SQL, "op6_near_vectors": OP6_SQL, "op8_arc_to_warc": OP8_SQL, "op9_poisson_mixture": OP9_SQL,
-    "op11_collocations": OP11_SQL,
+    "op11_collocations": OP11_SQL, "op12_contamination": OP12_SQL,
 }

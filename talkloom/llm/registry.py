@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from talkloom.llm.collocations import OP11_SQL, op11_collocations
+from talkloom.llm.conversations import op13_conversation_repair
 from talkloom.llm.decontamination import OP12_SQL, op12_contamination
 from talkloom.llm.html_text import op4_main_text
 from talkloom.llm.mixing import OP9_SQL, op9_poisson_mixture
@@ -19,7 +20,7 @@ QUERIES = {
     f.__name__: f for f in (
         op1_toxicity, op2_pivot_top_k, op3_feistel_shards, op4_main_text, op5_token_counts, op6_near_vectors,
         op7_simhash_groups, op8_arc_to_warc, op9_poisson_mixture, op10_packed_sequences,
-        op11_collocations, op12_contamination,
+        op11_collocations, op12_contamination, op13_conversation_repair,
     )
 }
 ORACLE_SQL = {

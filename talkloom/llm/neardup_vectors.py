@@ -10,7 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from talkloom.llm.components import connected_components
 from talkloom.llm.support import cut, join_by_key, spread_hash, table
@@ -30,13 +30,21 @@ def number_of_cells(n: int) -> int:
     return max(1, math.ceil(math.sqrt(n) / 2))
 
 
+def unit_vector(name: str) -> Column:
+    """unit_rows() as an expression; scaled by the largest component first, so that no square over- or underflows."""
+    v = F.col(name).cast("array<double>")
+    scaled = F.transform(v, lambda x: x / F.array_max(F.transform(v, F.abs)))
+    length = lambda u: F.sqrt(F.aggregate(u, F.lit(0.0), lambda s, x: s + x * x))
+    return F.transform(F.array(scaled), lambda u: F.transform(u, lambda x: x / length(u)))[0]
+
+
 def cell_centres(
     vectors: DataFrame, n: int, cells: int | None = None, sample: int = SAMPLE, seed: int = 5
 ) -> np.ndarray:
     """Unit centres of spherical k-means over n vectors (row, vector) of one dimension."""
     k = cells or number_of_cells(n)
     part = vectors.where(F.pmod(F.xxhash64("row"), F.lit(1 << 20)) < F.lit((1 << 20) * min(1.0, sample * k / n)))
-    fitted = cut(part.select(array_to_vector(F.col("vector").cast("array<double>")).alias("v")))
+    fitted = cut(part.select(array_to_vector(unit_vector("vector")).alias("v")))
     model = KMeans(
         k=max(2, k), distanceMeasure="cosine", maxIter=8, initSteps=1, seed=seed, featuresCol="v"
     ).fit(fitted)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,6 +22,8 @@ DIMENSIONS = 16
 BLOCK, QUERIES, HELD = 2048, 8192, 1 << 21
 #: Above this, sums of products may not be exact in double precision, and plain integers are used.
 EXACT = 2.0**52
+#: Squared lengths from which on bounds would overflow; such blocks are compared whole.
+MOST_SQUARE = 1e300
 #: Rounding of distances, as a part of the largest squared length.
 ROUNDING = 1e-5
 PRODUCTS = "query_row long, query_id long, vec_id long, row long, score long, exact double, tested long"
@@ -102,11 +105,23 @@ def _integer_products(rows: np.ndarray, query: np.ndarray) -> list[int]:
     return [sum(int(a) * b for a, b in zip(row, whole)) for row in rows]
 
 
+def _as_double(score: float) -> float:
+    """A score, which may be an integer beyond all doubles, as the nearest double."""
+    try:
+        return float(score)
+    except OverflowError:
+        return math.inf if score > 0 else -math.inf
+
+
+def _as_long(score: float) -> int:
+    return max(-(2**63), min(2**63 - 1, int(score)))
+
+
 def _best(
     bound: np.ndarray, products: Callable, names: list[tuple[int, int]], k: int, least: float
 ) -> tuple[list, int]:
-    """The k best of a query, as (-score, vec_id, row), and how many products that took: candidates in the order of
-    falling bounds, until none that is left can reach the k-th score (at first: least)."""
+    """The k best of a query, as (-score as a double, -score as a long, vec_id, row), and how many products that took:
+    candidates in the order of falling bounds, until none that is left can reach the k-th score (at first: least)."""
     order = np.flatnonzero(bound >= least)
     order = order[np.argsort(-bound[order], kind="stable")]
     best: list[tuple] = []
@@ -117,9 +132,9 @@ def _best(
             some = some[bound[some] >= -best[-1][0]]
         scores = products(some)
         floor = -best[-1][0] if len(best) == k else None
-        best = sorted(
-            [*best, *((-s, *names[n]) for n, s in zip(some.tolist(), scores) if floor is None or s >= floor)]
-        )[:k]
+        found = ((_as_double(s), s, names[n]) for n, s in zip(some.tolist(), scores))
+        kept = ((-d, -_as_long(s), *name) for d, s, name in found if floor is None or d >= floor)
+        best = sorted([*best, *kept])[:k]
         done, step = done + len(some), 2 * step
     return best, done
 
@@ -134,9 +149,11 @@ def _search(queries: pd.DataFrame, candidates: pd.DataFrame, pivots: np.ndarray,
     """
     q, v = (np.stack(x["vector"].to_numpy()) for x in (queries, candidates))
     q2, v2 = (q * q).sum(1), (v * v).sum(1)
-    qa, qr = _in_span(np.stack(queries["distances"].to_numpy()), q2, pivots)
-    va, vr = _in_span(np.stack(candidates["distances"].to_numpy()), v2, pivots)
     largest = max(q2.max(), v2.max())
+    bounded = max(largest, np.abs(pivots).max() ** 2 * pivots.shape[1]) < MOST_SQUARE
+    if bounded:
+        qa, qr = _in_span(np.stack(queries["distances"].to_numpy()), q2, pivots)
+        va, vr = _in_span(np.stack(candidates["distances"].to_numpy()), v2, pivots)
     product = _float_products if largest < EXACT else _integer_products
     names = list(zip(candidates["vec_id"].tolist(), candidates["row"].tolist()))
     own = candidates["row"].to_numpy()
@@ -144,14 +161,17 @@ def _search(queries: pd.DataFrame, candidates: pd.DataFrame, pivots: np.ndarray,
     out: list[tuple] = []
     step = max(1, HELD // len(v))
     for at in range(0, len(q), step):
-        bounds = qa[at : at + step] @ va.T + qr[at : at + step, None] * vr[None, :] + ROUNDING * (1 + largest)
+        if bounded:
+            bounds = qa[at : at + step] @ va.T + qr[at : at + step, None] * vr[None, :] + ROUNDING * (1 + largest)
+        else:
+            bounds = np.full((len(q[at : at + step]), len(v)), np.inf)
         for n, bound in enumerate(bounds, at):
             row = int(queries["row"].iloc[n])
             bound[own == row] = -np.inf
-            start = least[n] if np.isfinite(least[n]) else np.finfo(float).min
+            start = least[n] if least[n] > -np.inf else np.finfo(float).min
             best, tested = _best(bound, lambda some: product(v[some], q[n]), names, k, start)
             key = (row, int(queries["vec_id"].iloc[n]))
-            out += [(*key, i, r, max(-(2**63), min(2**63 - 1, int(-s))), float(-s), None) for s, i, r in best]
+            out += [(*key, i, r, -s, -d, None) for d, s, i, r in best]
             out.append((*key, None, None, None, None, tested))
     columns = [c.split()[0] for c in PRODUCTS.split(", ")]
     return pd.DataFrame(out, columns=columns, dtype=object).astype({c: "Int64" for c in columns if c != "exact"})

@@ -108,7 +108,7 @@ def test_groups_and_representatives_of_odd_rows(spark):
     assert sorted(kept.doc_id.fillna(-1)) == [-1, 3, 7, 8] and list(kept.columns) == ["doc_id", "text", "fingerprint", "component_id"]
     clashing = spark.createDataFrame([(3, long, k, "b") for k in (2, 1)] + [(4, "", 5, "c")], "doc_id long, text string, id int, doc string")
     again = {r.doc_id: r for r in one_of_each_group(clashing.repartition(2), 4, 4).collect()}
-    least = clashing.where("doc_id = 3").orderBy(F.xxhash64(F.struct("*"))).first()
+    least = clashing.where("doc_id = 3").orderBy(F.xxhash64(F.struct(*clashing.columns))).first()
     assert again == {3: least, 4: clashing.where("doc_id = 4").first()}
     assert simhash_groups(spark.createDataFrame([], DOCS), 4, 4).count() == 0
     assert one_of_each_group(spark.createDataFrame([], DOCS), 4, 4).count() == 0
@@ -209,10 +209,10 @@ def test_many_dimensions_are_one_job(spark):
 
 
 def test_odd_vectors_link_with_nothing(spark):
-    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, []), (6, [float("nan"), 1.0]), (7, [float("inf"), 0.0]), (8, [None, 1.0]), (9, [1.0, 0.0, 0.0]), (10, [1e-200, 0.0]), (None, [1.0, 0.0]), (2, [0.0, 5.0])]
+    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, []), (6, [float("nan"), 1.0]), (7, [float("inf"), 0.0]), (8, [None, 1.0]), (9, [1.0, 0.0, 0.0]), (10, [1e-200, 0.0]), (None, [1.0, 0.0]), (2, [0.0, 5.0]), (11, [0.0, 1e200]), (12, [0.0, 5e-324])]
     got = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).toPandas()
     found = got.groupby("vec_id").n_links.max().to_dict()
-    assert found == {1: 2, 2: 2, 3: 0, 4: 0, 5: 0, 6: 0, 7: 0, 8: 0, 9: 0, 10: 2}
+    assert found == {1: 2, 2: 2, 3: 0, 4: 0, 5: 0, 6: 0, 7: 0, 8: 0, 9: 0, 10: 2, 11: 2, 12: 2}
     assert len(got) == len(rows) and got[got.vec_id == 10].component_id.tolist() == [1]
     assert near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 

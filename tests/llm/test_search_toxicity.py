@@ -152,3 +152,14 @@ def test_features_by_hand():
         "capitals": 6 / 51, "shouted_words": 10.0, "punctuation": 7 / 51, "exclamations": 2 / 51,
         "disguised_words": 20.0, "disguised_hits": 1.0, "repetitions": 20.0, "log_words": math.log1p(10),  # fl33b and 7th; *** and soooo
     })
+
+
+def test_products_beyond_all_doubles(spark):
+    rows = [(0, [1e300, 1.0]), (1, [1e300, 0.0]), (2, [-1e300, 0.0]), (3, [1.0, 2.0]), (50, [1e-200, 1e200]), (5, [0.0, 1e200])]
+    vectors = quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = {}
+    for r in top_k(vectors.where("vec_id % 50 = 0"), vectors, 5).orderBy("rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    most, least = 2**63 - 1, -(2**63)
+    assert got[0] == [(1, most), (3, most), (5, most), (50, most), (2, least)]
+    assert got[50] == [(5, most), (3, most), (0, most), (1, 0), (2, 0)]

@@ -174,7 +174,7 @@ class HatTrie:
         return np.concatenate([p[0] for p in parts], axis=1), np.concatenate([p[1] for p in parts])
 
 
-RUN = pa.schema([("lang", pa.string()), ("prefix", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
+RUN = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
 
 
 def _run(lang: str, words: list[bytes], ids: np.ndarray, counts: np.ndarray, shortest: int) -> Iterator[pa.RecordBatch]:
@@ -193,11 +193,8 @@ def _run(lang: str, words: list[bytes], ids: np.ndarray, counts: np.ndarray, sho
         some, n = some[:, starts], np.add.reduceat(n, starts)
         for at in range(0, len(n), ROWS):
             parts = [names.take(pa.array(row[at : at + ROWS])) for row in some]
-            prefix = pc.binary_join_element_wise(*parts[:2], b" ")
-            phrase = pc.binary_join_element_wise(*parts, b" ") if length > 2 else prefix
-            m = len(prefix)
-            columns = [pa.repeat(lang, m), prefix.cast(pa.string()), phrase.cast(pa.string()), n[at : at + ROWS]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], schema=RUN)
+            phrase = pc.binary_join_element_wise(*parts, b" ").cast(pa.string())
+            yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(phrase)), phrase, pa.array(n[at : at + ROWS])], schema=RUN)
 
 
 def word_counts(texts: DataFrame, least: int) -> DataFrame:
@@ -295,8 +292,8 @@ def phrase_counts(texts: DataFrame, least: int, words: Sieve, pairs: Sieve | Non
         if rest is not None:
             yield from rest.filter(pc.field("n") >= least).to_batches()
 
-    found = texts.mapInArrow(runs, "lang string, prefix string, phrase string, n long")
-    met = found.repartition("lang", "prefix").sortWithinPartitions("lang", "phrase").drop("prefix")
+    found = texts.mapInArrow(runs, "lang string, phrase string, n long")
+    met = found.repartition("lang", F.substring_index("phrase", " ", 2)).sortWithinPartitions("lang", "phrase")
     return met.mapInArrow(merged, "lang string, phrase string, n long")
 
 

@@ -24,7 +24,7 @@ _CAPITALS = bytes(range(ord("A"), ord("Z") + 1))
 _PLAIN = bytes.maketrans(_CAPITALS + b"\t" + b".,;:!?\n\v\f\r", _CAPITALS.lower() + b" " + END * 10)
 #: Tokens that are looked at together; entries of a container from which on it bursts; entries, and words, that a task
 #: holds before it spills; rows of a batch that goes back to Spark.
-TOKENS, BURST, HELD, WORDS, ROWS = 1 << 20, 4096, 1_500_000, 1 << 20, 1 << 17
+TOKENS, BURST, HELD, WORDS, ROWS = 1 << 19, 4096, 600_000, 1 << 19, 1 << 16
 #: Bits of a word id within a packed key: TOKENS + WORDS ids at most, and LONGEST - 1 of them in a long.
 ID_BITS = 21
 #: Bits of a sieve for each key, and at most (16 MB).

@@ -751,6 +751,19 @@ def markdown_parse(spark, sf_dir):
     )
 
 
+@register(
+    f"SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY msg_pos) - 1 AS INTEGER) AS msg_pos, role "
+        f"AS role_label, {O.strip('body')} AS body FROM c_fx"
+)
+def markdown_files(spark, sf_dir):
+    """A folder of markdown files, one by conversation, read as an archive."""
+    path = new_folder(spark, "markdown")
+    A.write_markdown_files(_documents(spark, sf_dir), path)
+    return A.read_markdown_archive(spark, path, "part-*").select(
+        F.regexp_extract("file", r"_(\d+)\.md$", 1).cast("long").alias("conv_id"), "msg_pos", "role_label", "body"
+    )
+
+
 @register("SELECT conv_id, messages, file FROM c_convs")
 def archive_index(spark, sf_dir):
     bare = fixtures.convs(spark, sf_dir).drop("messages", "file")

@@ -8,14 +8,14 @@ from talkloom.functions.fields import format_ts
 from talkloom.functions.text import strip
 from talkloom.operators.messages import in_order
 
+#: What marks a message, its heading and the end of the head in markdown.
+MESSAGE_OPEN, MESSAGE_OPENED, MESSAGE_CLOSE, HEADING, HEAD_END = "<!-- MSG role: ", " -->\n", "\n<!-- /MSG -->", "### ", "---"
 INDEX_COLUMNS = ["index", "title", "created_utc", "updated_utc", "messages", "file", "id"]
 
 
 def markdown_blocks(role_label: Column, body: Column) -> Column:
-    return F.concat(
-        F.lit("<!-- MSG role: "), role_label, F.lit(" -->\n### "), role_label, F.lit("\n\n"), strip(body),
-        F.lit("\n\n<!-- /MSG -->\n")
-    )
+    opened = F.concat(F.lit(MESSAGE_OPEN), role_label, F.lit(MESSAGE_OPENED + HEADING), role_label, F.lit("\n\n"))
+    return F.concat(opened, strip(body), F.lit(f"\n{MESSAGE_CLOSE}\n"))
 
 
 def to_markdown(messages: DataFrame, convs: DataFrame, key: str = "conv_id") -> DataFrame:
@@ -40,34 +40,79 @@ def write_markdown(documents: DataFrame, path: str) -> None:
     documents.write.mode("overwrite").parquet(path)
 
 
+def _behind(text: Column, mark: str) -> Column:
+    """What follows the first mark; null if there is none."""
+    at = F.locate(mark, text)
+    return F.when(at > 0, F.substring(text, at + len(mark), F.length(text)))
+
+
+def _behind_head(text: Column) -> Column:
+    """What follows the first line of three dashes, or the whole text if there is none."""
+    rows = F.split(text, "\n")
+    at = F.array_position(F.transform(rows, lambda x: F.when(x.contains(HEAD_END), strip(x))), HEAD_END)
+    return F.when(at > 0, F.array_join(F.slice(rows, at.cast("int") + 1, F.size(rows)), "\n")).otherwise(text)
+
+
+def _headed(text: Column) -> Column:
+    """role_label and body of a text that starts with its heading line and a blank one; null for any other."""
+    at = F.locate("\n\n", text)
+    first = F.substring_index(text, "\n", 1)
+    return F.when(
+        (at > 1) & (F.length(first) == at - 1),
+        F.struct(strip(first).alias("role_label"), strip(F.substring(text, at + 2, F.length(text))).alias("body")),
+    )
+
+
+def _marked(pieces: Column) -> Column:
+    """role_label and body of what lies before closing markers: each piece's first opening marker that ends in its line
+    opens its message, whose text goes on to the end of the piece, further markers included."""
+    opened = lambda t: F.position(F.lit(MESSAGE_OPENED), F.concat(F.substring_index(t, "\n", 1), F.lit("\n"))) > 1
+    tails = F.transform(pieces, lambda x: F.struct(x.alias("x"), F.split(x, F.lit(rf"\Q{MESSAGE_OPEN}\E")).alias("tails")))
+    first = F.transform(tails, lambda p: F.struct(
+        p["x"].alias("x"), F.get(F.filter(p["tails"], lambda t, i: (i > 0) & opened(t)), 0).alias("tail")
+    ))
+    found = F.transform(F.filter(first, lambda p: p["tail"].isNotNull()), lambda p: F.substring(
+        p["x"], F.position(F.concat(F.lit(MESSAGE_OPEN), p["tail"]), p["x"]) + len(MESSAGE_OPEN), F.length(p["x"])
+    ))
+    split = F.transform(found, lambda t: F.struct(
+        F.substring_index(t, MESSAGE_OPENED, 1).alias("role"), _behind(t, MESSAGE_OPENED).alias("inside")
+    ))
+    return F.transform(split, lambda p: F.struct(
+        strip(p["role"]).alias("role_label"),
+        F.coalesce(F.when(p["inside"].startswith(HEADING), _headed(_behind(p["inside"], HEADING))["body"]), strip(p["inside"])).alias("body"),
+    ))
+
+
 def parse_markdown(documents: DataFrame, text: str = "markdown", name: str = "file") -> DataFrame:
     """name, msg_pos, role_label, body of documents: marked messages, or headings of level three where none is marked.
 
-    Messages start behind the first line of three dashes (or at once, if there is none); empty ones are left out.
+    Messages start behind the first line of three dashes (or at once, if there is none); empty ones are left out. A text
+    is cut at closing markers, or before headings, and each piece read by itself, so no pattern spans a document and the
+    work grows with its length. A message that ends right behind its marker or heading is empty.
     """
     plain = F.regexp_replace(F.col(text), "\r\n", "\n")
-    body = F.regexp_replace(plain, r"(?s)\A(?:(?!\n[^\S\n]*---[^\S\n]*(?:\n|\z)).)*\n[^\S\n]*---[^\S\n]*(?:\n|\z)", "")
-    marked = r"<!-- MSG role: (.+?) -->\n(?:### .+?\n\n)?([\s\S]*?)\n<!-- /MSG -->"
-    legacy = r"(?m)^### (.+?)\n\n([\s\S]*?)(?=\n### |\z)"
-
-    def pairs(pattern: str) -> Column:
-        found = lambda n: F.regexp_extract_all(F.col("__body"), F.lit(pattern), F.lit(n))
-        return F.transform(
-            F.arrays_zip(found(1).alias("r"), found(2).alias("b")),
-            lambda x: F.struct(strip(x["r"]).alias("role_label"), strip(x["b"]).alias("body"))
-        )
-
-    both = F.when(F.col("__body").contains("<!-- MSG role:"), pairs(marked)).otherwise(pairs(legacy))
+    closed = F.split("__body", F.lit(f"\\Q{MESSAGE_CLOSE}\\E"))
+    marked = _marked(F.slice(closed, 1, F.greatest(F.size(closed) - 1, F.lit(0))))
+    parts = F.split(F.concat(F.lit("\n"), F.col("__body")), f"\n{HEADING}")
+    legacy = F.transform(F.slice(parts, 2, F.size(parts)), _headed)
+    both = F.when(F.col("__body").contains(MESSAGE_OPEN.strip()), marked).otherwise(legacy)
     kept = F.filter(both, lambda m: m["body"] != "")
-    return documents.withColumn("__body", body).select(
-        name, F.posexplode(kept).alias("msg_pos", "m")
-    ).select(name, "msg_pos", "m.role_label", "m.body")
+    bodies = documents.select(name, _behind_head(plain).alias("__body"))
+    return bodies.select(name, F.posexplode(kept).alias("msg_pos", "m")).select(name, "msg_pos", "m.role_label", "m.body")
+
+
+def write_markdown_files(documents: DataFrame, path: str) -> None:
+    """A folder by document, named file=<its name>, with its markdown: for archives that people read."""
+    named = documents.select(F.element_at(F.split("file", "/"), -1).alias("file"), F.col("markdown").alias("value"))
+    named.write.mode("overwrite").partitionBy("file").text(path)
 
 
-def read_markdown_archive(spark: SparkSession, path: str) -> DataFrame:
-    """file, msg_pos, role_label, body of a folder of markdown files."""
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(path, wholetext=True)
-    return parse_markdown(files.select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("markdown")))
+def read_markdown_archive(spark: SparkSession, path: str, pattern: str = "*.md") -> DataFrame:
+    """file, msg_pos, role_label, body of a folder of markdown files, or (pattern "part-*") of write_markdown_files()."""
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path, wholetext=True)
+    folder = F.regexp_extract(F.col("_metadata.file_path"), "/file=([^/]*)/[^/]*$", 1)
+    name = F.when(folder != "", F.url_decode(F.replace(folder, F.lit("+"), F.lit("%2B")))).otherwise(F.col("_metadata.file_name"))
+    return parse_markdown(files.select(name.alias("file"), F.col("value").alias("markdown")))
 
 
 def index_rows(convs: DataFrame) -> DataFrame:

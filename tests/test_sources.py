@@ -1,6 +1,7 @@
 """Readers and writers: what is written is read back."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -74,6 +75,37 @@ def test_markdown_round_trip(spark, tmp_path):
     assert [(r.file, r.role_label, r.body) for r in rows] == [("a.md", "user", "hello\nthere"), ("b.md", "user", "hi"), ("b.md", "assistant", "yo"), ("c.md", "user", "no dashes")]
 
 
+def said(spark, text):
+    return [(r.role_label, r.body) for r in A.parse_markdown(spark.createDataFrame([("f", text)], "file string, markdown string")).orderBy("msg_pos").collect()]
+
+
+def test_odd_markdown(spark):
+    mark = lambda role, text: f"<!-- MSG role: {role} -->\n{text}\n<!-- /MSG -->"
+    assert said(spark, mark("user", "a\n---\nb")) == []  # what looks like the end of the head hides the marker
+    assert said(spark, "---\n" + mark("user", "a\n---\nb") + mark(" tool:x (t) ", "### h\n\nb")) == [("user", "a\n---\nb"), ("tool:x (t)", "b")]
+    assert said(spark, "x\n<!-- MSG role: cut\n" + mark("user", "one <!-- MSG role: b -->\ntwo") + "\n<!-- /MSG --> " + mark("a", "### h\nno blank line")) == [("user", "one <!-- MSG role: b -->\ntwo"), ("a", "### h\nno blank line")]
+    assert said(spark, mark("user", "no end")[:-5]) == [] and said(spark, "") == [] and said(spark, None) == []
+    assert said(spark, mark("user", "") + mark("b", " \u3000 ") + mark("c", "x") + "<!-- MSG role:") == [("c", "x")]
+    assert said(spark, "### a\n\nx\n#### no\n### \n\nlost\n### b\n\n\n y \n\n### c\n\n") == [("a", "x\n#### no"), ("b", "y")]
+    assert said(spark, "\u2003---\u3000\r\n### a\r\n\r\nx\r\n") == [("a", "x")]
+
+
+@pytest.mark.parametrize("letter", ["x", "\U0001f600"])
+def test_large_markdown_is_read_in_linear_time(spark, letter):
+    """A megabyte each, with and without a head, and in all forms; a quarter of it first, so that all is compiled."""
+    message = f"<!-- MSG role: user -->\n### user\n\nhello {letter} there\nline two - of text ---x\n\n<!-- /MSG -->\n\n"
+    forms = {
+        "marked": lambda n: message * (n // len(message)), "one": lambda n: "<!-- MSG role: u -->\n" + f"{letter} words and\n" * (n // 13) + "<!-- /MSG -->",
+        "bare": lambda n: f"{letter} words and\n" * (n // 13), "legacy": lambda n: f"### user\n\nhi {letter}\n" * (n // 15), "line": lambda n: "### u\n\n" + f"{letter} words" * (n // 7),
+    }
+    for make in forms.values():
+        for head in ("", f"# {letter}\n\n---\n\n"):
+            said(spark, head + make(250_000))
+            began = time.time()
+            found = said(spark, head + make(1_000_000))
+            assert time.time() - began < 5 and (sum(len(b) for _, b in found) > 200_000 or make is forms["bare"])
+
+
 def test_index_csv(spark, tmp_path):
     convs = fixtures.convs(spark, SMALL).withColumn("title", F.when(F.col("index") == 1, 'A "quoted", title\nof two lines').otherwise(F.col("title")))
     A.write_index_csv(convs, str(tmp_path / "index"))

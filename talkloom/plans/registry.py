@@ -772,33 +772,73 @@ def archive_index(spark, sf_dir):
 
 # -- Files: written to the shared folder, and read back ------------------------------------------------------------
 
-@register(_TREE_MESSAGES)
-def tree_export_files(spark, sf_dir):
-    """Trees as files of JSON arrays, 50 conversations each, read as an export."""
-    path = new_folder(spark, "trees")
+def _arrays(spark, sf_dir) -> DataFrame:
+    """part, value: trees as JSON arrays of the conversations of 50 ids each, by id."""
     rows = fixtures.trees(spark, sf_dir).select(F.col("conv_id").cast("string").alias("id"), "current_node", "mapping")
-    texts = rows.select(F.floor(F.col("id").cast("long") / 50).alias("part"), F.to_json(F.struct("*")).alias("json"))
-    arrays = texts.groupBy("part").agg(
-        F.concat(F.lit("["), F.array_join(F.collect_list("json"), ","), F.lit("]")).alias("value")
-    )
+    item = F.struct(F.col("id").cast("long").alias("conv_id"), F.to_json(F.struct(*rows.columns)).alias("json"))
+    listed = rows.groupBy(F.floor(F.col("id").cast("long") / 50).alias("part")).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    return listed.select("part", F.concat(F.lit("["), F.array_join("items.json", ","), F.lit("]")).alias("value"))
+
+
+def _tree_files(spark, arrays: DataFrame) -> DataFrame:
+    path = new_folder(spark, "trees")
     arrays.write.partitionBy("part").text(path)
     read = M.normalize_conversation_fields(X.read_tree_export(spark, path)).withColumn("conv_id", F.col("id").cast("long"))
     return tree_messages(read).select("conv_id", F.col("msg_pos").cast("long").alias("msg_pos"), "body")
 
 
-@register(_GENERIC_MESSAGES)
-def generic_export_files(spark, sf_dir):
-    """Conversations as JSON lines, read as an export."""
-    path = new_folder(spark, "generic")
+@register(_TREE_MESSAGES)
+def tree_export_files(spark, sf_dir):
+    """Trees as files of JSON arrays, 50 conversations each, read as an export."""
+    return _tree_files(spark, _arrays(spark, sf_dir))
+
+
+@register(f"SELECT * FROM ({_TREE_MESSAGES}) WHERE conv_id NOT IN (SELECT max(conv_id) FROM conversations GROUP BY conv_id // 50)")
+def cut_export_files(spark, sf_dir):
+    """The same files, each broken off 40 characters before its end: within its last conversation."""
+    return _tree_files(spark, _arrays(spark, sf_dir).withColumn("value", F.expr("substring(value, 1, length(value) - 40)")))
+
+
+def _flat(spark, sf_dir) -> DataFrame:
     said = F.struct("msg_pos", "role", F.col("body").alias("content"))
     listed = fixtures.messages(spark, sf_dir).groupBy("conv_id").agg(
         F.array_sort(F.collect_list(said)).alias("messages")
     )
-    listed.select(F.col("conv_id").cast("string").alias("id"), "messages").write.json(path)
-    read = X.read_generic_export(spark, path, json_lines=True).withColumn("conv_id", F.col("id").cast("long"))
+    return listed.select(F.col("conv_id").cast("string").alias("id"), "messages")
+
+
+def _flat_messages(read: DataFrame) -> DataFrame:
+    read = read.withColumn("conv_id", F.col("id").cast("long"))
     return generic_messages(read).select("conv_id", F.col("msg_pos").cast("long").alias("msg_pos"), "body")
 
 
+@register(_GENERIC_MESSAGES)
+def generic_export_files(spark, sf_dir):
+    """Conversations as JSON lines, read as an export."""
+    path = new_folder(spark, "generic")
+    _flat(spark, sf_dir).write.json(path)
+    return _flat_messages(X.read_generic_export(spark, path, json_lines=True))
+
+
+@register(_GENERIC_MESSAGES)
+def mixed_export_files(spark, sf_dir):
+    """A folder with JSON lines, lists and objects that wrap a list, a third of the conversations each."""
+    path = new_folder(spark, "mixed")
+    rows, third = _flat(spark, sf_dir), F.col("id").cast("long") % 3
+    rows.where(third == 0).coalesce(2).write.json(f"{path}/lines")
+    lists = rows.where(third > 0).groupBy(third.alias("form"), F.floor(F.col("id").cast("long") / 60).alias("part")).agg(
+        F.to_json(F.collect_list(F.struct(*rows.columns))).alias("list")
+    )
+    value = F.when(F.col("form") == 1, F.col("list")).otherwise(F.concat(F.lit('{"conversations": '), "list", F.lit("}")))
+    lists.select("part", "form", value.alias("value")).write.partitionBy("part", "form").text(f"{path}/lists")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/lines")
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in files.listStatus(folder):  # two files
+        name = status.getPath().getName()
+        files.rename(status.getPath(), spark._jvm.org.apache.hadoop.fs.Path(folder, name.replace(".json", ".jsonl")))
+    return _flat_messages(X.read_generic_export(spark, path))
+
+
 _SIZES = "SELECT conv_id % 7 AS part, CAST(sum(strlen(text) + 1) AS BIGINT) AS size FROM conversations GROUP BY ALL"
 
 
@@ -812,8 +852,8 @@ def export_files(spark, sf_dir):
     rows = fixtures.raw(spark, sf_dir).select(F.col("text").alias("value"), (F.col("conv_id") % 7).alias("part"))
     rows.repartition("part").write.partitionBy("part").text(path)
     kinds = [
-        X.select_export_files(spark, path, "part-*", only).withColumn("kind", F.lit(kind)) for kind,
-        only in (("all", False), ("largest", True))
+        X.select_export_files(spark, path, pattern="part-*", largest_only=only).withColumn("kind", F.lit(kind))
+        for kind, only in (("all", False), ("largest", True))
     ]
     part = F.regexp_extract("path", r"part=(\d+)/", 1).cast("long").alias("part")
     return kinds[0].union(kinds[1]).select("kind", part, "size")

@@ -32,12 +32,60 @@ def test_tree_export(spark, tmp_path):
     assert files == ["conversations/0001_20240115_t-1_1.md", "conversations/0002_20240115_t-2_2.md"]
 
 
+def test_tree_export_cut_anywhere(spark, tmp_path):
+    """Every cut of a text whose strings are full of braces, brackets and escapes gives its complete items."""
+    tricky = [{**conversation(1, 'a}]"\\"{['), "title": "\\\\"}, {"id": "2", "title": 'é\U0001f600 } ] \\" [', "mapping": {}}, {"id": "3}"}, {"conversation_id": "\n,{"}]
+    whole = " x [" + " ,\n ".join(json.dumps(c, ensure_ascii=k % 2 == 0) for k, c in enumerate(tricky)) + "\n] {}"
+    raw = whole.encode()
+    ends = [len(whole[: m].encode()) for m in (whole.index(',\n {"id": "2"') - 1, whole.index(' ,\n {"id": "3}"'), whole.index(' ,\n {"conv'), whole.rindex("]") - 1)]
+    for k in [*range(0, len(raw), 61), len(raw) - 1, len(raw), *(e + d for e in ends for d in (-1, 0, 1))]:
+        (tmp_path / f"{k}.json").write_bytes(raw[:k])
+    (tmp_path / "bom.json").write_bytes("\ufeff".encode() + raw[: ends[0]])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "97")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        items = X.array_items(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    got = {}
+    for r in items:
+        got.setdefault(r.file.rpartition("/")[2], []).append((r.item, json.loads(r.value)))
+    for path in tmp_path.iterdir():
+        size = int(path.stem) if path.stem != "bom" else ends[0]
+        assert sorted(x for x, _ in got.get(path.name, [])) == list(range(sum(e <= size for e in ends))), path.name
+        assert [c for _, c in sorted(got.get(path.name, []), key=lambda x: x[0])] == tricky[: sum(e <= size for e in ends)]
+
+
 def test_broken_tree_export(spark, tmp_path):
     path = tmp_path / "broken.json"
-    path.write_text(json.dumps([conversation(1), conversation(2)])[:-200])
+    path.write_text(json.dumps([conversation(1), conversation(2), conversation(3)])[:-200])
+    assert sorted(r.id for r in X.read_tree_export(spark, str(path)).collect()) == ["c-1", "c-2"]
+    path.write_text(json.dumps([conversation(1), {"id": {"no": "text"}, "mapping": 7}, conversation(3)]))
     with pytest.raises(Exception):
         X.read_tree_export(spark, str(path)).collect()
-    assert X.read_tree_export(spark, str(path), mode="PERMISSIVE").count() <= 2
+    assert {"c-1", "c-3"} <= {r.id for r in X.read_tree_export(spark, str(path), mode="PERMISSIVE").collect()}
+
+
+def test_a_large_file_is_many_tasks(spark, tmp_path):
+    path = tmp_path / "big.json"
+    path.write_text(json.dumps([{**conversation(k), "title": "t" * 2000} for k in range(3000)]))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    try:
+        rows = X.read_tree_export(spark, str(path))
+        pieces = spark.read.text(str(path), lineSep="}")
+        assert pieces.rdd.getNumPartitions() >= 8 and pieces.agg(F.max(F.length("value"))).first()[0] < 10_000
+        assert sorted(r.id for r in rows.select("id").collect()) == sorted(f"c-{k}" for k in range(3000))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_a_folder_of_both_kinds(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "conversations.json").write_text(json.dumps([{"id": "1", "messages": []}]))
+    (tmp_path / "sub" / "other.json").write_text(json.dumps({"conversations": [{"id": "4"}, {"id": "5"}]}, indent=1))
+    (tmp_path / "sub" / "conversations.jsonl").write_text('{"id": "2"}\n\n{"id": "3"}\n')
+    assert sorted(r.id for r in X.read_generic_export(spark, str(tmp_path)).collect()) == ["1", "2", "3", "4", "5"]
 
 
 @pytest.mark.parametrize("form", ["list", "wrapped", "lines"])
@@ -58,11 +106,14 @@ def test_export_of_another_shape_fails(spark, tmp_path):
 
 
 def test_selecting_export_files(spark, tmp_path):
-    for name, size in (("a/conversations.json", 10), ("b/conversations.json", 30), ("c/conversations.json", 30), ("d/other.json", 99)):
-        (tmp_path / name).parent.mkdir()
+    for name, size in (("a/conversations.json", 10), ("b/conversations.jsonl", 30), ("c/conversations.json", 30), ("d/other.JSON", 99), ("d/Conversations.json", 98), ("e/x.txt", 200)):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_text("x" * size)
-    assert [r.path.split("/")[-2] for r in X.select_export_files(spark, str(tmp_path)).collect()] == ["b"]
-    assert X.select_export_files(spark, str(tmp_path), largest_only=False).count() == 3
+    of = lambda **how: [(r.path.split("/")[-2], r.size, r.lines) for r in X.select_export_files(spark, str(tmp_path), **how).collect()]
+    assert of() == [("b", 30, True)] and of(source="generic") == [("d", 99, False)] and of(pattern="x*") == [("e", 200, False)]
+    assert of(largest_only=False) == [("b", 30, True), ("c", 30, False), ("a", 10, False)]
+    with pytest.raises(FileNotFoundError):
+        X.select_export_files(spark, str(tmp_path / "e"))
 
 
 def test_markdown_round_trip(spark, tmp_path):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,8 @@ _PLAIN = bytes.maketrans(_CAPITALS + b"\t" + b".,;:!?\n\v\f\r", _CAPITALS.lower(
 #: Tokens that are looked at together; entries of a container from which on it bursts; entries, and words, that a task
 #: holds before it spills; rows of a batch that goes back to Spark.
 TOKENS, BURST, HELD, WORDS, ROWS = 1 << 19, 4096, 600_000, 1 << 19, 1 << 16
+#: Words that didn't pass, so many at least, are remembered.
+OTHERS = 1 << 18
 #: Bits of a word id within a packed key: TOKENS + WORDS ids at most, and LONGEST - 1 of them in a long.
 ID_BITS = 21
 #: Bits of a sieve for each key, and at most (16 MB).
@@ -85,7 +88,7 @@ class WordIds(dict):
     """Ids, from 1, of one language's words that pass the sieve, with their hashes; 0 for other words and END."""
 
     def __init__(self, lang: str, sieve: Sieve) -> None:
-        super().__init__()
+        super().__init__({END: 0})
         self.sieve, self.seed = sieve, xxhash.xxh64_intdigest(lang.encode(), 42)
         self.words: list[bytes] = [b""]
         self.hashes = np.zeros(1, dtype=np.uint64)
@@ -93,14 +96,21 @@ class WordIds(dict):
     def of(self, tokens: pa.Array) -> np.ndarray:
         coded = tokens.dictionary_encode()
         kinds = coded.dictionary.to_pylist()
-        new = [w for w in kinds if w not in self and w != END]
-        hashes = np.array([xxhash.xxh64_intdigest(w, self.seed) for w in new], dtype=np.uint64)
-        good = self.sieve.passes(hashes)
-        kept = [w for w, is_good in zip(new, good.tolist()) if is_good]
-        self.update(zip(kept, range(len(self.words), len(self.words) + len(kept))))
-        self.words += kept
-        self.hashes = np.r_[self.hashes, hashes[good]]
-        return np.array([self.get(w, 0) for w in kinds], dtype=np.int64)[coded.indices.to_numpy()]
+        ids = np.fromiter(map(self.get, kinds, repeat(-1)), np.int64, len(kinds))
+        unknown = np.flatnonzero(ids < 0)
+        if len(unknown):
+            new = [kinds[k] for k in unknown.tolist()]
+            hashes = np.fromiter((xxhash.xxh64_intdigest(w, self.seed) for w in new), np.uint64, len(new))
+            good = self.sieve.passes(hashes)
+            ids[unknown] = np.where(good, len(self.words) - 1 + np.cumsum(good), 0)
+            if len(self) - len(self.words) + len(new) > OTHERS:
+                self.clear()
+                self.update(zip(self.words, range(len(self.words))))
+                self.update({END: 0})
+            self.update(zip(new, ids[unknown].tolist()))
+            self.words += [w for w, is_good in zip(new, good.tolist()) if is_good]
+            self.hashes = np.r_[self.hashes, hashes[good]]
+        return ids[coded.indices.to_numpy()]
 
 
 def _packed(ids: np.ndarray) -> np.ndarray:
@@ -151,27 +161,32 @@ class HatTrie:
             node.setdefault(key >> shift, Counter())[key & (1 << shift) - 1] = n
         return node
 
-    def _leaves(self, node: dict | Counter, before: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def _containers(self, node: dict | Counter, before: tuple[int, ...]) -> Iterator[tuple[tuple[int, ...], Counter]]:
         if type(node) is dict:
             for word, child in node.items():
-                yield from self._leaves(child, (*before, word))
-            return
-        keys = np.fromiter(node.keys(), np.int64, len(node))
-        head = np.repeat(np.array(before, dtype=np.int64)[:, None], len(node), axis=1)
-        yield np.vstack([head, _unpacked(keys, self.length - len(before))]), np.fromiter(node.values(), np.int64, len(node))
+                yield from self._containers(child, (*before, word))
+        else:
+            yield before, node
 
     def spill(self, keep: int) -> tuple[np.ndarray, np.ndarray]:
-        """Takes whole subtrees of first words out, the largest first, until at most keep entries are left."""
+        """Takes whole subtrees of first words out, the largest first, until at most keep entries are left: their
+        sequences, as columns, and counts."""
         weight = lambda x: sum(map(weight, x.values())) if type(x) is dict else len(x)
-        parts = []
+        taken: dict[int, list[tuple[tuple[int, ...], Counter]]] = {}
         for size, word in sorted(((weight(child), word) for word, child in self.root.items()), reverse=True):
             if self.size <= keep:
                 break
-            parts += self._leaves(self.root.pop(word), (word,))
+            for before, container in self._containers(self.root.pop(word), (word,)):
+                taken.setdefault(len(before), []).append((before, container))
             self.size -= size
-        if not parts:
-            return np.zeros((self.length, 0), dtype=np.int64), np.zeros(0, dtype=np.int64)
-        return np.concatenate([p[0] for p in parts], axis=1), np.concatenate([p[1] for p in parts])
+        ids, counts = [np.zeros((self.length, 0), dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for depth, some in taken.items():
+            sizes = [len(c) for _, c in some]
+            heads = np.repeat(np.array([b for b, _ in some], dtype=np.int64).T, sizes, axis=1)
+            keys = np.fromiter(chain.from_iterable(c for _, c in some), np.int64, sum(sizes))
+            ids.append(np.vstack([heads, _unpacked(keys, self.length - depth)]))
+            counts.append(np.fromiter(chain.from_iterable(c.values() for _, c in some), np.int64, sum(sizes)))
+        return np.concatenate(ids, axis=1), np.concatenate(counts)
 
 
 RUN = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
@@ -182,7 +197,7 @@ def _run(lang: str, words: list[bytes], ids: np.ndarray, counts: np.ndarray, sho
     names = pa.array(words, pa.binary())
     rank = np.empty(len(words), dtype=np.int64)
     rank[pc.sort_indices(names).to_numpy()] = np.arange(len(words))
-    order = np.lexsort(rank[ids[::-1]])
+    order = np.argsort(_packed(rank[ids])) if len(ids) < 4 else np.lexsort(rank[ids[::-1]])
     ids, counts = ids[:, order], counts[order]
     for length in range(shortest, len(ids) + 1):
         there = ids[length - 1] > 0

@@ -708,12 +708,15 @@ def search_shards(spark, sf_dir):
     return A.with_shard(insights(spark, sf_dir).search, 30).select("shard", "file", "title", "search_text")
 
 
-@register(
-    "SELECT CAST((idx - 1) // 30 AS INTEGER) AS shard, printf('search_%04d.json', (idx - 1) // 30) AS file, count(*) "
-        "AS count FROM c_search GROUP BY ALL"
-)
+@register("SELECT CAST((idx - 1) // 30 AS INTEGER) AS shard, count(*) AS count, true AS there FROM c_search GROUP BY ALL")
 def search_manifest(spark, sf_dir):
-    return A.search_manifest(fixtures.convs(spark, sf_dir), 30)
+    """The manifest of written shards, and whether the file that each row names is there with so many items."""
+    path = new_folder(spark, "shards")
+    A.write_search_shards(insights(spark, sf_dir).search, path, 30)
+    files = spark.read.schema("items array<struct<file:string>>").json(f"{path}/shards")
+    files = files.select(F.col("_metadata.file_name").alias("file"), F.size("items").cast("long").alias("count"), F.lit(True).alias("there"))
+    named = A.search_manifest(spark, path).join(files, ["file", "count"], "left")
+    return named.select("shard", "count", F.coalesce("there", F.lit(False)).alias("there"))
 
 
 @register(

@@ -161,23 +161,47 @@ def with_shard(search: DataFrame, shard_size: int = 300) -> DataFrame:
     )
 
 
-def search_manifest(search: DataFrame, shard_size: int = 300) -> DataFrame:
-    """shard, file, count of every shard. The total is their sum."""
-    counts = with_shard(search, shard_size).groupBy("shard").agg(F.count("*").alias("count"))
-    return counts.select("shard", F.format_string("search_%04d.json", "shard").alias("file"), "count")
+def write_search_shards(search: DataFrame, path: str, shard_size: int = 300) -> None:
+    """search (index, file, title, search_text) as JSON files of shard_size conversations each, consecutive by index, and
+    beside them the manifest of the files that were written.
 
+    A shard is one object, {"shard": …, "items": […]}, as a viewer loads it; shards are dealt over tasks by their number.
+    With a size of 0 or less nothing is cut: each task writes its conversations as lines, and the manifest has a file
+    for each. Names are given when files are committed (search-<task>-…), so the manifest is read from what is there.
+    """
+    if shard_size > 0:
+        item = F.struct("index", "file", "title", "search_text")
+        each = with_shard(search, shard_size).groupBy("shard").agg(F.array_sort(F.collect_list(item)).alias("items"))
+        fields = ("file", "title", "search_text")
+        rows = each.select("shard", F.transform("items", lambda x: F.struct(*(x[f].alias(f) for f in fields))).alias("items"))
+        limit = 1
+    else:
+        rows, limit = search.select("file", "title", "search_text"), 0
+    options = {"mapreduce.output.basename": "search", "maxRecordsPerFile": limit}
+    rows.write.mode("overwrite").options(**options).json(f"{path}/shards")
+    kept = _rows_of_shards(search.sparkSession, f"{path}/shards")
+    counts = kept.groupBy("name").agg(F.min("shard").alias("shard"), F.sum("n").alias("count"))
+    counts.select("shard", F.col("name").alias("file"), "count").write.mode("overwrite").json(f"{path}/manifest")
 
-def write_search_shards(search: DataFrame, path: str, shard_size: int = 300) -> None:
-    with_shard(search, shard_size).repartition("shard").select(
-        "shard", "file", "title", "search_text"
-    ).write.mode("overwrite").partitionBy("shard").json(path)
+
+def _rows_of_shards(spark: SparkSession, path: str) -> DataFrame:
+    """name, shard, n of the rows of written shards: files, and how many conversations a row has."""
+    read = spark.read.schema("shard int, items array<struct<file:string>>").json(path)
+    return read.select(F.col("_metadata.file_name").alias("name"), "shard", F.coalesce(F.size("items"), F.lit(1)).alias("n"))
+
+
+def search_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """shard, file, count of the shards written below path: every file is there and holds so many conversations. The
+    total is their sum; shard is null where shards have no size."""
+    return spark.read.schema("shard int, file string, count long").json(f"{path}/manifest")
 
 
 def read_search_shards(spark: SparkSession, path: str) -> DataFrame:
-    """file, title, search_text of shards: a row a line, or files of one object with a list of items."""
+    """file, title, search_text of shards: a row a line, or files of one object with a list of items. path is where
+    write_search_shards() wrote, or a folder or file of shards."""
     rows = spark.read.schema(
         "file string, title string, search_text string, items array<struct<file:string,title:string,search_text:string>>"
-    ).option("recursiveFileLookup", True).json(path)
+    ).option("recursiveFileLookup", True).json(path).where(~F.contains("_metadata.file_path", F.lit("/manifest/")))
     listed = rows.where("items is not null").select(F.explode("items").alias("i")).select("i.*")
     return rows.where("items is null").select("file", "title", "search_text").union(listed)
 

@@ -166,10 +166,21 @@ def test_index_csv(spark, tmp_path):
 
 def test_search_shards_and_manifest(spark, tmp_path):
     rows = spark.range(1, 602).select(F.col("id").alias("index"), F.concat(F.lit("f"), "id").alias("file"), F.lit("t").alias("title"), F.lit("s").alias("search_text"))
-    assert [(r.file, r["count"]) for r in A.search_manifest(rows).orderBy("shard").collect()] == [("search_0000.json", 300), ("search_0001.json", 300), ("search_0002.json", 1)]
-    assert [r["count"] for r in A.search_manifest(rows, 0).collect()] == [601]
-    A.write_search_shards(rows, str(tmp_path / "s"))
-    assert A.read_search_shards(spark, str(tmp_path / "s")).select("file").distinct().count() == 601
+    for size, counts in ((300, {0: 300, 1: 300, 2: 1}), (0, None)):
+        path = tmp_path / str(size)
+        A.write_search_shards(rows.repartition(3), str(path), size)
+        manifest = A.search_manifest(spark, str(path)).collect()
+        assert {f.name for f in (path / "shards").glob("search-*.json")} == {r.file for r in manifest} and sum(r["count"] for r in manifest) == 601
+        for r in manifest:  # each as a viewer reads it
+            lines = [json.loads(x) for x in (path / "shards" / r.file).read_text().splitlines()]
+            items = lines[0]["items"] if size else lines
+            assert len(items) == r["count"] and set(items[0]) == {"file", "title", "search_text"}
+            if size:
+                assert len(lines) == 1 and lines[0]["shard"] == r.shard and [i["file"] for i in items] == [f"f{k}" for k in range(300 * r.shard + 1, 300 * r.shard + 1 + r["count"])]
+        assert {r.shard: r["count"] for r in manifest} == counts if counts else len(manifest) == 3
+        assert A.read_search_shards(spark, str(path)).select("file").distinct().count() == 601 == A.read_search_shards(spark, str(path)).count()
+    A.write_search_shards(rows.where("index < 0"), str(tmp_path / "none"))
+    assert A.search_manifest(spark, str(tmp_path / "none")).count() == 0
     (tmp_path / "old").mkdir()
     (tmp_path / "old" / "search.json").write_text(json.dumps({"items": [{"file": "a", "title": "b", "search_text": "c"}]}))
     assert [r.file for r in A.read_search_shards(spark, str(tmp_path / "old")).collect()] == ["a"]

@@ -200,7 +200,8 @@ def topic_trends(
     """
     label = F.coalesce("cluster_label", F.lit(OTHER_TOPIC)).alias("label")
     dated = items.where("created is not null").select(key, "index", "created", label)
-    points = number_rows(dated.join(scores.select(key, "score"), key), ["label", "created", "index"], "place")
+    scored = dated.join(scores.select(key, "score"), key).select("label", "created", "index", "score")
+    points = number_rows(checkpointed(scored), ["label", "created", "index"], "place")  # numbering reads its rows twice
     labels = points.groupBy("label").agg(
         F.min("place").alias("first"), F.count("*").alias("count")
     ).where(F.col("count") >= min_points)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from talkloom.functions.lexicon import DEFAULT, IDENTIFIER_ENDINGS, OTHER_TOPIC, Lexicon
@@ -69,15 +72,42 @@ def han_vocab(
     return learned.union(domain).distinct()
 
 
+def _cut_in_rows(runs: DataFrame, words: DataFrame, keys: list[str]) -> DataFrame:
+    """segment_han() with the words at hand in each task: a walk along each run, without a shuffle."""
+    shared = runs.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in words.collect()))
+
+    def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in batches:
+            rows, places, terms = [], [], []
+            for row, run in enumerate(batch.column("run").to_pylist()):
+                at = 0
+                while at < len(run) - 1:
+                    term = next((t for n in (4, 3, 2) if len(t := run[at : at + n]) == n and t in known), None)
+                    if term:
+                        rows.append(row)
+                        places.append(at + 1)
+                        terms.append(term)
+                    at += len(term or "x")
+            whole = batch.select(keys).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*whole.columns, pa.array(places, pa.int32()), pa.array(terms, pa.string())], [*keys, "pos", "term"])
+
+    kinds = ", ".join(f"`{c}` {runs.schema[c].dataType.simpleString()}" for c in keys)
+    return runs.select(*keys, "run").mapInArrow(walked, f"{kinds}, pos int, term string")
+
+
 def segment_han(
     runs: DataFrame, vocab: DataFrame, keys: list[str], lexicon: Lexicon = DEFAULT, broadcast_words: int = 1_000_000
 ) -> DataFrame:
     """keys, pos, term: each run cut from the left into the longest terms of the vocabulary (4, 3, 2 characters).
 
-    Candidates meet the vocabulary in a semi join, where they lie if it has broadcast_words terms at most (some ten
-    bytes each); a fold over a run's hits, by place and falling length, then
+    A vocabulary of broadcast_words terms at most (some ten bytes each) is sent to all tasks, and runs are cut where they
+    lie. With a larger one candidates meet it in a semi join; a fold over a run's hits, by place and falling length, then
     keeps those that start where the last one has ended or later.
     """
+    words = vocab.select("term").where(~F.col("term").isin(lexicon.zh_stop))
+    if broadcast_words and words.count() <= broadcast_words:
+        return _cut_in_rows(runs, words, keys)
     at = F.explode(
         F.flatten(
             F.transform(
@@ -94,10 +124,7 @@ def segment_han(
             )
         )
     )
-    candidates = runs.select(*keys, at.alias("x")).select(*keys, "x.pos", "x.less", "x.term").where(~F.col("term").isin(lexicon.zh_stop))
-    words = vocab.select("term")
-    if broadcast_words and words.count() <= broadcast_words:
-        words = F.broadcast(words)
+    candidates = runs.select(*keys, at.alias("x")).select(*keys, "x.pos", "x.less", "x.term")
     hits = candidates.join(words, "term", "left_semi").groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("pos", "less", "term"))).alias("hits")
     )

@@ -118,7 +118,7 @@ class Insights:
 
     @cached_property
     def keywords(self) -> DataFrame:
-        return terms.tfidf_keywords(self.tf, self.df, self.n, ["conv_id"], lexicon=self.lexicon)
+        return checkpointed(terms.tfidf_keywords(self.tf, self.df, self.n, ["conv_id"], lexicon=self.lexicon))
 
     @cached_property
     def topics(self) -> DataFrame:

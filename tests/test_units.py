@@ -118,6 +118,9 @@ def test_segment_han(spark):
     runs = spark.createDataFrame([(1, "资产配置投资"), (2, "投资资产"), (3, "天地")], "run_no int, run string")
     vocab = spark.createDataFrame([("资产配置",), ("投资",), ("资产",), ("我们",)], "term string")
     got = K.segment_han(runs, vocab, ["run_no"]).orderBy("run_no", "pos").collect()
+    assert K.segment_han(runs, vocab, ["run_no"], broadcast_words=0).orderBy("run_no", "pos").collect() == got
+    plan = K.segment_han(runs, vocab, ["run_no"])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan  # runs are cut where they lie
     assert [(r.run_no, r.pos, r.term) for r in got] == [(1, 1, "资产配置"), (1, 5, "投资"), (2, 1, "投资"), (2, 3, "资产")]
 
 

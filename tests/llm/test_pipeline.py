@@ -54,7 +54,7 @@ def test_operators_against_sql(spark, name):
     import duckdb
 
     with duckdb.connect() as db:
-        for t in ("documents", "embeddings", "pages"):
+        for t in ("documents", "embeddings", "pages", "benchmark"):
             db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
         want = db.sql(__spark_entry__.oracle_sql()[name]).df()
     got = __spark_entry__.queries()[name](spark, SMALL).toPandas()

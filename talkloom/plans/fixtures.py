@@ -73,11 +73,7 @@ def trees(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("author"), time.cast("double").alias("create_time"), F.struct(
             F.lit(False).alias("is_visually_hidden_from_conversation")
         ).alias("metadata"),
-        F.struct(
-            F.lit("text").alias("content_type"),
-            F.from_json(F.to_json(F.array("text")), "array<variant>").alias("parts"), F.lit("").alias("text"),
-            F.lit("").alias("language")
-        ).alias("content"),
+        F.to_json(F.struct(F.lit("text").alias("content_type"), F.array("text").alias("parts"))).alias("content"),
     )
     name = lambda c, n: F.concat(F.lit(c), F.col(n).cast("string"))
     last = turns.groupBy("conv_id").agg(F.max("turn").alias("last"), F.min("turn").alias("first"))

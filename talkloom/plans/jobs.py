@@ -7,7 +7,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, functions as F
 
-from talkloom.functions import fields, text as T
+from talkloom.functions import contents, fields, text as T
 from talkloom.functions.lexicon import DEFAULT, Lexicon
 from talkloom.operators import highlights, interaction, messages as M, rollups, terms
 from talkloom.session import checkpointed
@@ -30,7 +30,7 @@ def tree_messages(
     ts = F.when(m["create_time"] != 0, F.timestamp_seconds(m["create_time"]))
     shown = rows.select(
         key, "msg_pos", fields.or_else(m["author"]["role"], F.lit("unknown")).alias("role"), m["author"]["name"].alias("name"), ts.alias("ts"),
-        m["metadata"]["is_visually_hidden_from_conversation"].alias("hidden"), m["content"]["content_type"].alias("content_type"), fields.render_content(m["content"], keep_metadata).alias("body"),
+        m["metadata"]["is_visually_hidden_from_conversation"].alias("hidden"), contents.content_type(m["content"]).alias("content_type"), contents.rendered(m["content"], keep_metadata).alias("body"),
     )
     shown = shown if keep_hidden else M.drop_hidden(shown)
     shown = shown if keep_system else M.drop_system(shown)
@@ -46,11 +46,11 @@ def generic_messages(convs: DataFrame, key: str = "conv_id") -> DataFrame:
     """key, msg_pos, role, role_label, ts, body of a flat export's conversations."""
     rows = M.explode_messages(convs.select(key, "messages"))
     m = F.col("message")
-    content = F.coalesce(F.when(~F.coalesce(F.is_variant_null(m["content"]), F.lit(True)), m["content"]), m["text"])
+    content = F.coalesce(F.when(m["content"] != "null", m["content"]), m["text"])
     ts = fields.to_time(fields.or_else(m["created_utc"], m["created_at"]))
     read = rows.select(
         key, "msg_pos", fields.or_else(T.strip(m["role"]), F.lit("unknown")).alias("role"), ts.alias("ts"),
-        fields.normalize_content(content).alias("body")
+        contents.content_text(content).alias("body")
     )
     kept = M.drop_tool_calls(M.drop_blank(read))
     return kept.select(

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from talkloom.functions import fields, text as T
+from talkloom.functions import contents, fields, text as T
 from talkloom.functions.lexicon import GAPS, QUOTE_LABELS, STRENGTHS, ZH_STOPWORDS
 from talkloom.operators import highlights as H, interaction as I, messages as M, retrieval as R, rollups, terms as K
 from talkloom.plans import fixtures, oracle as O
@@ -164,6 +164,44 @@ def render_content(spark, sf_dir):
     )
 
 
+_QUOTED = "replace(replace(replace(text, chr(92), chr(92) || chr(92)), chr(34), chr(92) || chr(34)), chr(10), chr(92) || 'n')"
+_ODD = f"""SELECT conv_id, turn AS msg_pos, text, '"' || {_QUOTED} || '"' AS q FROM conversations"""
+
+
+@register(f"""SELECT conv_id, msg_pos, CASE msg_pos % 7 WHEN 0 THEN text WHEN 1 THEN 'a' || repeat(chr(10) || text, 3) || chr(10) || '1.50'
+  WHEN 2 THEN '{{"b":1,"a": 2.0,"t":' || q || ',"b":1e3}}' WHEN 3 THEN chr(10) || text WHEN 4 THEN '1e3' WHEN 5 THEN '{{"x":[' || q || ',{{}}]}}' || chr(10) || 'true'
+  ELSE '' END AS body FROM ({_ODD})""")
+def json_contents(spark, sf_dir):
+    """Contents as JSON text: deep lists, empty values, repeated keys, key order and numbers as they stand."""
+    rows = fixtures.raw(spark, sf_dir).select("conv_id", F.col("turn").alias("msg_pos"), "text")
+    q = F.regexp_replace(F.to_json(F.array("text")), r"(?s)^\[|\]\z", "")
+    form = lambda text: F.replace(F.lit(text), F.lit("@"), q)
+    t = F.col("msg_pos") % 7
+    raw = F.when(t == 0, q).when(t == 1, form('["a",[@,[@,[[[@]]]]], 0, "", null, {}, [], 1.50]')).when(
+        t == 2, form('{"b":1,"a": 2.0,"t":@,"b":1e3}')
+    ).when(t == 3, form('[ ["", false], @ ]')).when(t == 4, F.lit("1e3")).when(t == 5, form('[{"x":[@,{}]}, true]')).otherwise("[]")
+    return rows.select("conv_id", "msg_pos", contents.content_text(raw).alias("body"))
+
+
+@register(f"""SELECT conv_id, msg_pos, CASE msg_pos % 5 WHEN 0 THEN text || chr(10) || '{{"k":1.50,"j":' || q || ',"k":2}}'
+  WHEN 1 THEN repeat(chr(96), 3) || 'sql' || chr(10) || text || chr(10) || repeat(chr(96), 3)
+  WHEN 2 THEN text || chr(10) || '[image] (640x480) f-' || conv_id || chr(10) || '[image] image' || chr(10) || text || chr(10) || '{{"a":[1]}}'
+  WHEN 3 THEN text ELSE '' END AS body FROM ({_ODD})""")
+def json_bodies(spark, sf_dir):
+    """Bodies of messages whose contents are JSON text, of every type."""
+    rows = fixtures.raw(spark, sf_dir).select("conv_id", F.col("turn").alias("msg_pos"), "text")
+    q = F.regexp_replace(F.to_json(F.array("text")), r"(?s)^\[|\]\z", "")
+    form = lambda text: F.replace(F.replace(F.lit(text), F.lit("@"), q), F.lit("#"), F.col("conv_id").cast("string"))
+    t = F.col("msg_pos") % 5
+    raw = F.when(t == 0, form('{"parts":[" "],"content_type" : "text", "parts":[@,"", "\\n",{"k":1.50,"j":@,"k":2}]}')).when(
+        t == 1, form('{"content_type":"code","language":" sql ","text":@}')
+    ).when(t == 2, form(
+        '{"content_type":"multimodal_text","parts":[@, {"content_type":"image_asset_pointer","asset_pointer":"f-#","width":640,"height":480},'
+        '{"content_type":"image_asset_pointer"},{"content_type":"text","text":@},{"content_type":"text","text":" "},{"a":[1]}]}'
+    )).when(t == 3, form('{"content_type":"execution_output","text":@}')).otherwise(form('{"content_type":"thoughts","text":@}'))
+    return rows.select("conv_id", "msg_pos", contents.rendered(raw).alias("body"))
+
+
 # -- Trees and messages --------------------------------------------------------------------------------------------
 
 @register("""WITH ends AS (SELECT conv_id, max(turn) AS last FROM conversations GROUP BY conv_id),
@@ -257,14 +295,14 @@ def generic_archive_messages(spark, sf_dir):
     listed = fixtures.messages(spark, sf_dir).groupBy("conv_id").agg(
         F.array_sort(F.collect_list(F.struct("msg_pos", "role", content))).alias("m")
     )
-    variant = lambda c: F.try_variant_get(F.parse_json(F.to_json(F.array(c))), "$[0]", "variant")
+    quoted = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"(?s)^\[|\]\z", "")
     rows = listed.select(
         "conv_id",
         F.transform(
             "m",
             lambda x: F.struct(
-                x["role"].alias("role"), variant(x["content"]).alias("content"),
-                F.lit(None).cast("variant").alias("text"), F.lit(None).cast("string").alias("created_utc"),
+                x["role"].alias("role"), quoted(x["content"]).alias("content"),
+                F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("created_utc"),
                 F.lit(None).cast("string").alias("created_at")
             )
         ).alias("messages")
@@ -778,6 +816,8 @@ def archive_index(spark, sf_dir):
 def _arrays(spark, sf_dir) -> DataFrame:
     """part, value: trees as JSON arrays of the conversations of 50 ids each, by id."""
     rows = fixtures.trees(spark, sf_dir).select(F.col("conv_id").cast("string").alias("id"), "current_node", "mapping")
+    node = lambda n: n.withField("message", n["message"].withField("content", F.from_json(n["message"]["content"], "content_type string, parts array<string>")))
+    rows = rows.withColumn("mapping", F.transform_values("mapping", lambda _, n: node(n)))
     item = F.struct(F.col("id").cast("long").alias("conv_id"), F.to_json(F.struct(*rows.columns)).alias("json"))
     listed = rows.groupBy(F.floor(F.col("id").cast("long") / 50).alias("part")).agg(F.array_sort(F.collect_list(item)).alias("items"))
     return listed.select("part", F.concat(F.lit("["), F.array_join("items.json", ","), F.lit("]")).alias("value"))

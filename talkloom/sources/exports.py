@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from talkloom.functions.contents import member
 from talkloom.session import written
 
 NODE = """struct<parent:string, children:array<string>, message:struct<
   author:struct<role:string, name:string>, create_time:double,
   metadata:struct<is_visually_hidden_from_conversation:boolean>,
-  content:struct<content_type:string, parts:array<variant>, text:string, language:string>>>"""
+  content:string>>"""
 TREE = f"id string, conversation_id string, title string, create_time double, update_time double, current_node string, mapping map<string, {NODE}>"
 GENERIC_CONVERSATION = """id string, conversation_id string, title string, created_utc string, created_at string, create_time string,
   updated_utc string, updated_at string, update_time string,
-  messages array<struct<role:string, content:variant, text:variant, created_utc:string, created_at:string>>"""
+  messages array<string>"""
 #: The names of a chat service's own export files, and the endings of any export's.
 EXPORT_NAMES, ENDINGS = ["conversations.json", "conversations.jsonl"], [".json", ".jsonl"]
 NO_LIST = "a generic export must be a list of conversations"
@@ -118,7 +119,7 @@ def array_items(spark: SparkSession, path: str) -> DataFrame:
 # -- Conversations -------------------------------------------------------------------------------------------------
 
 def read_tree_export(spark: SparkSession, path: str, mode: str = "FAILFAST") -> DataFrame:
-    """One row a conversation of a tree-shaped export (JSON arrays in one or many files).
+    """One row a conversation of a tree-shaped export (JSON arrays in one or many files). Messages' contents stay JSON text.
 
     Of a file that breaks off, the conversations before the break are read (see array_items()). A conversation that is
     there, but no JSON of this shape, is an error; mode PERMISSIVE leaves it out.
@@ -130,6 +131,7 @@ def read_tree_export(spark: SparkSession, path: str, mode: str = "FAILFAST") ->
 
 def read_generic_export(spark: SparkSession, path: str, json_lines: bool | None = None) -> DataFrame:
     """One row a conversation of a flat export, a file or a folder of them: lists, objects that wrap one, or JSON lines.
+    The content and text of messages are JSON text, as the file has it.
 
     Each file that ends in .jsonl holds lines, every other one document (json_lines says so for all of them). A file
     that holds none of these forms fails.
@@ -155,4 +157,12 @@ def _generic(spark: SparkSession, path: str, json_lines: bool, names: str) -> Da
     found = plain.union(wrapped)
     known = F.coalesce("id", "conversation_id", "title", F.when(F.col("messages").isNotNull(), F.lit("")))
     good = F.when(known.isNotNull(), True).otherwise(F.raise_error(F.lit(NO_LIST)).cast("boolean"))
-    return found.where(good)
+
+    def message(raw: Column) -> Column:
+        read = F.from_json(raw, "role string, created_utc string, created_at string")
+        return F.struct(
+            read["role"].alias("role"), member(raw, "content").alias("content"), member(raw, "text").alias("text"),
+            read["created_utc"].alias("created_utc"), read["created_at"].alias("created_at"),
+        )
+
+    return found.where(good).withColumn("messages", F.transform("messages", message))

@@ -1,11 +1,12 @@
 """Hand-made rows for each rule."""
 
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
 
-from talkloom.functions import fields, text as T
+from talkloom.functions import contents, fields, text as T
 from talkloom.operators.joins import join_by_key
 from talkloom.operators import highlights as H, interaction as I, messages as M, retrieval as R, rollups, terms as K
 
@@ -30,6 +31,38 @@ def test_names_and_roles(spark):
     assert values(spark, name, ["a-b-123456789", "", None]) == ["12345_unknown_t_12345678.md", "12345_unknown_t_12345.md", "12345_unknown_t_12345.md"]
 
 
+def lines_of(content):
+    """What a content says, by Python's reading of it."""
+    if isinstance(content, list):
+        return "\n".join(lines_of(x) for x in content if x)
+    return content if isinstance(content, str) else "" if content is None else "<>"
+
+
+def test_contents_as_json_text(spark):
+    cases = {
+        '{"b":1,"a":2.0}': '{"b":1,"a":2.0}', "1.50": "1.50", "1e3": "1e3", " null ": "", '"a\\n\\"]b"': 'a\n"]b', '{"a":1,"a":2}': '{"a":1,"a":2}', "true": "true",
+        '["a",["b",["c",["d",["e","f"]]]],1.50,0,0.0,false,null,"",[],{},{"x":[1,{"y":"]}"}],"x":2}]': 'a\nb\nc\nd\ne\nf\n1.50\n{"x":[1,{"y":"]}"}],"x":2}', "[{ },-0.0,1e0]": "1e0",
+    }
+    assert values(spark, contents.content_text, list(cases)) == list(cases.values())
+    lists = ['[["",""],"a"]', '[[[]],"a"]', '[[[""]],"a"]', "[]", '[""]', '[ ["b" , "c\\\\"] ,\n"\\u00e9\\ud83d\\ude00" ]', '[[["a"],""],[[0]],["z"]]', '["[1]","{}",["]"]]']
+    assert values(spark, contents.content_text, lists) == [lines_of(json.loads(x)) for x in lists]
+    long = '["' + "x y \\n" * 200_000 + '",' + json.dumps([{"a": list(range(3000))}] * 20) + "]"
+    assert len(values(spark, contents.content_text, [long])[0]) > 1_200_000
+    objects = ['{"role": "u", "x,y":[1,{"q":"}"}], "content" : "no", "content":[1.50] }', "{}", "[1]", '"content"', '{"content":null}']
+    assert values(spark, lambda c: contents.member(c, "content"), objects) == ["[1.50]", None, None, None, "null"]
+
+
+def test_bodies_as_json_text(spark):
+    cases = {
+        '{"content_type":"text","parts":["a"," ","b",{"x":1.0,"w":2}]}': 'a\nb\n{"x":1.0,"w":2}', '{"content_type":"code","text":"x=1","language":"python"}': "```python\nx=1\n```", '{"content_type":"code","text":" "}': "",
+        '{"content_type":"execution_output","text":"out"}': "out", '{"content_type":"thoughts","parts":["hm"]}': "", '{"parts":["a"]}': "", "null": "", '{"content_type":"other","text":"t"}': "",
+        '{"content_type":"multimodal_text","parts":["t","{\\"content_type\\":\\"text\\"}",{"content_type":"image_asset_pointer","asset_pointer":"p","width":4,"height":3},{"content_type":"image_asset_pointer"},{"content_type":"text","text":"u"}]}': 't\n{"content_type":"text"}\n[image] (4x3) p\n[image] image\nu',
+    }
+    assert values(spark, contents.rendered, list(cases)) == list(cases.values())
+    assert values(spark, lambda c: contents.rendered(c, True), ['{"content_type":"thoughts","b":1, "a":2.0}']) == ['{"content_type":"thoughts","b":1, "a":2.0}']
+    assert values(spark, contents.rendered, [None]) == [""]
+
+
 def test_contents(spark):
     contents = ['["a","",null,["b"]]', '"plain"', "null", '{"k":1}', "[]", "[0,[],{}]"]
     assert values(spark, lambda c: fields.normalize_content(F.parse_json(c)), contents) == ["a\nb", "plain", "", '{"k":1}', "", ""]

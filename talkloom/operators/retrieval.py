@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from datetime import datetime
 from functools import reduce
 
@@ -113,8 +114,9 @@ def item_places(items: DataFrame, by: str = "updated", name: str = "place") -> D
     return number_rows(items, _item_order(by), name)
 
 
-#: Items that share a keyword of at most so many are paired directly.
-RARE = 32
+#: Items that share a keyword of at most so many are paired directly. Of an item's frequent keywords all sets are listed, if
+#: it has so many of them at most.
+RARE, MOST_FREQUENT = 32, 8
 
 
 def _subsets(words: str) -> Column:
@@ -128,6 +130,26 @@ def _subsets(words: str) -> Column:
     )
 
 
+def _by_score() -> list[Column]:
+    return [F.desc("score"), F.asc("ib")]
+
+
+def _scored(pairs: DataFrame) -> DataFrame:
+    both = F.size(F.array_intersect("words", "theirs"))
+    return pairs.withColumn("score", both / (F.size("words") + F.size("theirs") - both)).select("a", "b", "ib", "score")
+
+
+def _held_against_all(told: DataFrame, long: DataFrame) -> Iterator[DataFrame]:
+    """Pairs (a, words, b, ib, theirs) of items with a common word of which one is long, from either side's view."""
+    blocks = -(-long.count() // QUERIES)
+    for block in range(blocks):
+        part = long.where(F.pmod(F.xxhash64("a"), F.lit(blocks)) == block)
+        others = F.broadcast(part.select(F.col("a").alias("b"), F.col("index").alias("ib"), F.col("words").alias("theirs")))
+        met = told.join(others, F.arrays_overlap("words", "theirs") & (F.col("a") != F.col("b")))
+        yield met.select("a", "words", "b", "ib", "theirs")
+        yield met.select(F.col("b").alias("a"), F.col("theirs").alias("words"), F.col("a").alias("b"), F.col("index").alias("ib"), F.col("words").alias("theirs"))
+
+
 def similar(items: DataFrame, k: int = 5, key: str = "conv_id") -> DataFrame:
     """key, other, score, rank: each item's k most similar others by the Jaccard index of their keywords, ties by index.
 
@@ -135,7 +157,8 @@ def similar(items: DataFrame, k: int = 5, key: str = "conv_id") -> DataFrame:
     at most, and meet there; or they share frequent keywords alone. Let T be those: among the items that hold T and are
     as many words large as the other, the other is one of the first k + 1 by index, as each before it is at least as
     similar. So for each set T of frequent keywords and each size, the first k + 1 items are all that can matter.
-    Items hold a few keywords, so sets of them are few; scores are computed from the whole keyword lists.
+    Scores are computed from the whole keyword lists. Items that hold more than MOST_FREQUENT frequent keywords, whose sets
+    would be too many, are queries instead: QUERIES of them at a time are held against all items.
     """
     told = items.select(F.col(key).alias("a"), "index", F.array_sort(F.array_distinct("keywords")).alias("words"))
     told = checkpointed(told.where(F.size("words") > 0))
@@ -150,7 +173,9 @@ def similar(items: DataFrame, k: int = 5, key: str = "conv_id") -> DataFrame:
     frequent = known.where(F.col("df") > RARE).groupBy("a", "index", "words").agg(
         F.array_sort(F.collect_list("word")).alias("frequent")
     )
-    sets = checkpointed(frequent.select("a", "index", "words", F.explode(_subsets("frequent")).alias("set")))
+    frequent = checkpointed(frequent)
+    few = frequent.where(F.size("frequent") <= MOST_FREQUENT)
+    sets = checkpointed(few.select("a", "index", "words", F.explode(_subsets("frequent")).alias("set")))
     held = sets.select(
         "set", F.size("words").alias("size"),
         F.struct(F.col("index").alias("ib"), F.col("a").alias("b"), F.col("words").alias("theirs")).alias("item")
@@ -163,11 +188,10 @@ def similar(items: DataFrame, k: int = 5, key: str = "conv_id") -> DataFrame:
     listed = join_by_key(sets, sized, ["set"], "n", total).select("a", "words", F.explode("items").alias("item"))
     met = met.union(listed.select("a", "words", "item.b", "item.ib", "item.theirs")).where(F.col("a") != F.col("b"))
 
-    both = F.size(F.array_intersect("words", "theirs"))
-    scored = met.withColumn(
-        "score", both / (F.size("words") + F.size("theirs") - both)
-    ).select("a", "b", "ib", "score").distinct()
-    best = top_k(scored, ["a"], [F.desc("score"), F.asc("ib")], k)
+    scored = _scored(met)
+    for pairs in _held_against_all(told, frequent.where(F.size("frequent") > MOST_FREQUENT)):
+        scored = scored.union(top_k(_scored(pairs), ["a"], _by_score(), k).drop("rank"))
+    best = top_k(scored.distinct(), ["a"], _by_score(), k)
     return best.select(F.col("a").alias(key), F.col("b").alias("other"), "score", "rank")
 
 

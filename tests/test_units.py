@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -268,6 +269,27 @@ def test_similar_against_all_pairs(spark, monkeypatch, frequent):
     assert got == {a: found for a, found in want.items() if found}
 
 
+@pytest.mark.parametrize("queries", [2000, 9])
+def test_similar_items_of_many_keywords(spark, monkeypatch, queries):
+    """40 keywords an item, most of them frequent, beside items of a few; against all pairs."""
+    import random
+
+    monkeypatch.setattr(R, "RARE", 3)
+    monkeypatch.setattr(R, "QUERIES", queries)  # so that queries go in blocks
+    rng = random.Random(8)
+    kept = {n: rng.sample([f"w{k}" for k in range(70)], 40 if n % 3 else rng.randrange(1, 9)) for n in range(60)}
+    df = spark.createDataFrame([(n, n, w) for n, w in kept.items()], "conv_id long, index long, keywords array<string>")
+    began = time.time()
+    got = {}
+    for r in R.similar(df).orderBy("conv_id", "rank").collect():
+        got.setdefault(r.conv_id, []).append((r.other, round(r.score, 9)))
+    assert time.time() - began < 60
+    for a, x in kept.items():
+        scored = [(len(set(x) & set(y)) / len(set(x) | set(y)), b) for b, y in kept.items() if a != b]
+        want = sorted((r for r in scored if r[0]), key=lambda r: (-r[0], r[1]))[:5]
+        assert got.get(a, []) == [(b, round(s, 9)) for s, b in want]
+
+
 def test_joins_of_hot_keys(spark):
     rows = spark.createDataFrame([(k % 3 if k < 900 else k, k) for k in range(1000)] + [(None, -1)], "key long, v long")
     per = rows.where("key is not null").groupBy("key").agg(F.count("*").alias("n"), F.min("v").alias("least")).where("key <> 905")

@@ -200,11 +200,10 @@ def near_vectors(
     classes = cut(
         classes.join(links, "row", "left").join(roots, "row", "left").withColumn("root", F.coalesce("root", "row")).drop("row")
     )
-    least = cut(classes.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("size")))
-    n = least.agg(F.sum("size")).first()[0] or 0
+    least = classes.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("size"))
+    n, total = classes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     count = (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links")
     marked = cut(join_by_key(classes, least, ["root"], "size", n).select("h", "g", "n", count, "component_id"))
-    total = marked.agg(F.sum("n")).first()[0] or 0
     linked = join_by_key(
         rows.where("able").select("vec_id", "h", "g"), marked, ["h", "g"], "n", total
     ).select("vec_id", "n_links", "component_id")

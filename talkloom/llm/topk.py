@@ -215,7 +215,8 @@ def search_blocks(
         )
     )
     # A row a dimension, of at most MOST_PIVOTS cells; columns of more dimensions than this are joined by a shuffle.
-    listed = F.broadcast(listed) if listed.count() <= 64 * DIMENSIONS else listed
+    n_dims, last = listed.agg(F.count("*"), F.max(F.array_max(F.transform("cells", lambda c: c["last"])))).first()
+    listed = F.broadcast(listed) if n_dims <= 64 * DIMENSIONS else listed
     in_cell = F.filter("cells", lambda c: c["cell"] == F.col("cell"))[0]
 
     def searched(visits: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -240,6 +241,8 @@ def search_blocks(
     placed = placed.withColumn("j", F.col("in.first") + spread_hash(F.col("in.last") - F.col("in.first") + 1, "row"))
     at_home = q.join(listed, "dim").withColumn("j", F.coalesce(in_cell["first"], F.lit(0)))
     first = cut(searched(at_home.withColumn("least", F.lit(float("-inf"))), placed))
+    if not last:
+        return first  # every dimension is one block: none is left to visit
     order = Window.partitionBy("query_row").orderBy(F.desc("exact"), F.desc("score"), "vec_id", "row")
     known = first.where("vec_id is not null").withColumn("n", F.row_number().over(order)).where(F.col("n") == k)
     known = known.select(F.col("query_row").alias("row"), F.col("exact").alias("least"))

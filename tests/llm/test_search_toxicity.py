@@ -163,3 +163,40 @@ def test_products_beyond_all_doubles(spark):
     most, least = 2**63 - 1, -(2**63)
     assert got[0] == [(1, most), (3, most), (5, most), (50, most), (2, least)]
     assert got[50] == [(5, most), (3, most), (0, most), (1, 0), (2, 0)]
+
+
+def margin_by_hand(description, weights, features):
+    """The weighted sum of trees, walked line by line through their printed form."""
+    total, tree, lines = 0.0, -1, description.splitlines()
+    skip = None  # indentation of a branch that isn't taken
+    for line in lines:
+        depth, said = len(line) - len(line.lstrip()), line.strip()
+        if said.startswith("Tree "):
+            tree, skip = tree + 1, None
+        elif skip is not None and depth > skip:
+            continue
+        elif said.startswith(("If", "Else")):
+            skip = None
+            feature, relation, bound = said[said.index("(") + 1 : -1].removeprefix("feature ").split(" ")
+            holds = features[int(feature)] <= float(bound)
+            if holds != (relation == "<="):
+                skip = depth
+        elif said.startswith("Predict:"):
+            total += weights[tree] * float(said.split()[1])
+    return total
+
+
+def test_scores_by_hand(spark):
+    """A small model's scores, from its printed trees and the points of its calibration, in plain Python."""
+    docs, labels = corpus(500, seed=3)
+    labels = [(i, 1 - y if i % 11 == 3 else y) for i, y in labels]  # so that scores lie between, too
+    df = spark.createDataFrame(docs, "doc_id long, text string, score string, lang int").repartition(3)
+    model = fit_toxicity(df, spark.createDataFrame(labels, "doc_id long, toxic int"), trees=5, depth=3)
+    xs, ys = (v.toArray() for v in (model.calibration.boundaries, model.calibration.predictions))
+    reader = Reader(model.lexicon)
+    description, weights = model.trees.toDebugString, list(model.trees.treeWeights)
+    got = {r.doc_id: r.score for r in model.with_score(df).collect()}
+    for doc_id, text, *_ in docs:
+        margin = margin_by_hand(description, weights, reader.features(text))
+        assert got[doc_id] == pytest.approx(min(max(float(np.interp(margin, xs, ys)), 0.0), 1.0), abs=1e-9), doc_id
+    assert len(set(got.values())) > 3

@@ -112,9 +112,14 @@ DOMAIN_TERMS = [
 TOOL_KEYS = ["search_query", "response_length", "path", "args", "tool_calls", "tool", "function", "call"]
 METADATA_TYPES = ["app_pairing_content", "reasoning_recap", "thoughts", "user_editable_context"]
 BUILD_NOISE = ["node_modules", "@babel/parser", "<vite-error-overlay", "plugin:vite"]
-FILE_ENDINGS = [
-    "ts", "tsx", "js", "jsx", "py", "md", "json", "yml", "yaml", "css", "html", "go", "rs", "java", "cpp", "c", "h",
-]
+
+# Patterns of a list's marks, of a line that begins like one, of file names, and of what tools call things.
+LIST_PREFIX = r"(?U)^\s*(?:[-*•]|\d+[.、])\s*"
+LIST_START = r"(?U)^\s*(?:[-*•]|\d+[\\.、)])"
+FILE_TOKEN = r"(?iU)\b[\w./-]+\.(?:ts|tsx|js|jsx|py|md|json|yml|yaml|css|html|go|rs|java|cpp|c|h)\b"
+TURN_NAME = r"^turn\p{Nd}+(?:search|news|view|file|calc|code|media)\p{Nd}+$"
+SHORT_NAME = r"^[a-z]{1,2}\p{Nd}{1,4}$"
+NUMBERED_NAME = r"^[a-z]{1,3}\p{Nd}{3,}$"
 
 # Cues, as alternatives of a regular expression that ignores case.
 HIGHLIGHT_CUES = "结论|总结|要点|建议|策略|风险|行动|下一步|计划|目标|决定|复盘|洞察|insight|summary|conclusion|recommend|next step|action|risk|decision"

@@ -8,14 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from talkloom.functions.lexicon import BUILD_NOISE, FILE_ENDINGS, TOOL_KEYS
+from talkloom.functions.lexicon import BUILD_NOISE, FILE_TOKEN, LIST_PREFIX, TOOL_KEYS
 
 SPACE = r"[\s\x{1c}-\x{1f}]"
 LINE_END = r"\r\n|[\n\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
 FENCE_LINE = r"(?mdU)^[^\S\n]*```[^\n]*(?:\n|\z)"
 CITATION = r"\x{E200}.*?\x{E201}"
-LIST_PREFIX = r"(?U)^\s*(?:[-*•]|\d+[.、])\s*"
-FILE_TOKEN = rf"(?iU)\b[\w./-]+\.(?:{'|'.join(FILE_ENDINGS)})\b"
 
 
 def strip(c: Column) -> Column:

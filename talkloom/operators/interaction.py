@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from talkloom.functions import text as T
 from talkloom.functions.fields import base_role
-from talkloom.functions.lexicon import BOUNDARY_CUES, BOUNDARY_LABEL, CLARIFY_CUES, CONSTRAINT_CUES, CONTEXT_CUES, FEEDBACK_CUES, GAPS, OTHER_TOPIC, QUOTE_LABELS, REQUEST_CUES, STRENGTHS, UNITS
+from talkloom.functions.lexicon import (
+    BOUNDARY_CUES, BOUNDARY_LABEL, CLARIFY_CUES, CONSTRAINT_CUES, CONTEXT_CUES, FEEDBACK_CUES, GAPS, LIST_START,
+    OTHER_TOPIC, QUOTE_LABELS, REQUEST_CUES, STRENGTHS, UNITS
+)
 from talkloom.operators.ranking import number_rows, top_k
 from talkloom.session import checkpointed
 
@@ -36,7 +39,7 @@ def user_message_features(df: DataFrame, text: str = "text") -> DataFrame:
     with_text = df.withColumn("compact", T.one_space(F.col(text))).withColumn("char_len", _chars(F.col("compact")))
     c, n = F.col("compact"), F.col("char_len")
     question = c.contains("?") | c.contains("？")
-    structure = c.rlike(r"(?U)^\s*(?:[-*•]|\d+[\\.、)])")
+    structure = c.rlike(LIST_START)
     constraint = c.rlike(f"(?i)(?:{CONSTRAINT_CUES})") | c.rlike(rf"(?iU)\d+\s?(?:{UNITS})")
     context = c.rlike(f"(?:{CONTEXT_CUES})") | (n >= 35)
     words = F.regexp_count(c, F.lit("[A-Za-z0-9']+"))

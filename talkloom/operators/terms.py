@@ -7,7 +7,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from talkloom.functions.lexicon import DEFAULT, IDENTIFIER_ENDINGS, OTHER_TOPIC, Lexicon
+from talkloom.functions.lexicon import (
+    DEFAULT, IDENTIFIER_ENDINGS, NUMBERED_NAME, OTHER_TOPIC, SHORT_NAME, TURN_NAME, Lexicon
+)
 from talkloom.functions.text import strip_artifact_lines
 from talkloom.operators.ranking import top_k
 
@@ -43,9 +45,7 @@ def is_chinese_term(term: Column) -> Column:
 
 def is_noise_term(term: Column, lexicon: Lexicon = DEFAULT) -> Column:
     low = F.lower(term)
-    ids = low.rlike(
-        r"^turn\p{Nd}+(?:search|news|view|file|calc|code|media)\p{Nd}+$"
-    ) | low.rlike(r"^[a-z]{1,2}\p{Nd}{1,4}$") | low.rlike(r"^[a-z]{1,3}\p{Nd}{3,}$")
+    ids = low.rlike(TURN_NAME) | low.rlike(SHORT_NAME) | low.rlike(NUMBERED_NAME)
     return F.coalesce(low.isin(lexicon.noise) | ids | (term == ""), F.lit(True))
 
 

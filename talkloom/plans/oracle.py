@@ -70,7 +70,7 @@ def ascii_ratio(x: str) -> str:
 
 def artifact(x: str) -> str:
     noise = " OR ".join(f"contains(lower({x}), '{n}')" for n in L.BUILD_NOISE)
-    files = rf"(regexp_matches({x}, '(?i)\b[\w./-]+\.(?:{'|'.join(L.FILE_ENDINGS)})\b') AND (regexp_matches({x}, '\+\d+') OR contains({x}, ':')))"
+    files = rf"(regexp_matches({x}, '(?i){L.FILE_TOKEN.removeprefix("(?iU)")}') AND (regexp_matches({x}, '\+\d+') OR contains({x}, ':')))"
     return f"({noise} OR {files} OR (length({x}) >= 160 AND {ascii_ratio(x)} >= 0.85))"
 
 

@@ -33,9 +33,10 @@ def number_of_cells(n: int) -> int:
 def unit_vector(name: str) -> Column:
     """unit_rows() as an expression; scaled by the largest component first, so that no square over- or underflows."""
     v = F.col(name).cast("array<double>")
-    scaled = F.transform(v, lambda x: x / F.array_max(F.transform(v, F.abs)))
+    once = lambda value, of: F.transform(F.array(value), of)[0]  # noqa: E731  # not again for each component
+    scaled = once(F.array_max(F.transform(v, F.abs)), lambda most: F.transform(v, lambda x: x / most))
     length = lambda u: F.sqrt(F.aggregate(u, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(F.array(scaled), lambda u: F.transform(u, lambda x: x / length(u)))[0]
+    return once(scaled, lambda u: once(length(u), lambda n: F.transform(u, lambda x: x / n)))
 
 
 def cell_centres(

@@ -244,6 +244,29 @@ def word_counts(texts: DataFrame, least: int) -> DataFrame:
     return partial.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("phrase").isNull() | (F.col("n") >= least))
 
 
+def summed_runs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Of rows (lang, phrase, n) sorted by lang and phrase: each phrase with the sum of its n, if that is least or more.
+
+    A batch's last phrase waits for the next batch. Neighbours are compared; pyarrow's group_by() wouldn't do, as it
+    doesn't keep the order of rows.
+    """
+    rest = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = (rows if rest is None else pa.concat_tables([rest, rows])).combine_chunks()
+        other = np.zeros(len(rows) - 1, dtype=bool)
+        for name in ("lang", "phrase"):
+            column = rows.column(name)
+            other |= pc.not_equal(column.slice(1), column.slice(0, len(rows) - 1)).to_numpy()
+        starts = np.flatnonzero(np.r_[True, other])
+        n = np.add.reduceat(rows.column("n").to_numpy(), starts)
+        sums = rows.take(pa.array(starts)).set_column(rows.schema.get_field_index("n"), "n", pa.array(n))
+        rest = sums.slice(len(sums) - 1)
+        yield from sums.slice(0, len(sums) - 1).filter(pc.field("n") >= least).to_batches()
+    if rest is not None:
+        yield from rest.filter(pc.field("n") >= least).to_batches()
+
+
 def phrase_counts(texts: DataFrame, least: int, words: Sieve, pairs: Sieve | None = None, longest: int = LONGEST) -> DataFrame:
     """lang, phrase, n of phrases that occur so often: of two words, or with a sieve of pairs those of three and more.
 
@@ -295,21 +318,9 @@ def phrase_counts(texts: DataFrame, least: int, words: Sieve, pairs: Sieve | Non
         for lang in list(tries):
             yield from spill(lang, 0)
 
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            rows = rows if rest is None else pa.concat_tables([rest, rows])
-            sums = rows.group_by(["lang", "phrase"], use_threads=False).aggregate([("n", "sum")])
-            sums = sums.rename_columns(["lang", "phrase", "n"])
-            rest = sums.slice(len(sums) - 1)
-            yield from sums.slice(0, len(sums) - 1).filter(pc.field("n") >= least).to_batches()
-        if rest is not None:
-            yield from rest.filter(pc.field("n") >= least).to_batches()
-
     found = texts.mapInArrow(runs, "lang string, phrase string, n long")
     met = found.repartition("lang", F.substring_index("phrase", " ", 2)).sortWithinPartitions("lang", "phrase")
-    return met.mapInArrow(merged, "lang string, phrase string, n long")
+    return met.mapInArrow(lambda batches: summed_runs(batches, least), "lang string, phrase string, n long")
 
 
 def with_scores(phrases: DataFrame, words: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from talkloom.llm import collocations as c
@@ -100,3 +101,18 @@ def test_query_against_sql(spark):
         db.sql(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'")
         want = db.sql(f"SELECT lang, rank, phrase, a, l, r, n, score FROM ({c.OP11_SQL})").fetchall()
     assert got == sorted(want) and len(got) > 20
+
+
+def test_phrases_across_batches_are_summed_once():
+    """Each batch ends within a phrase that the next one goes on with, behind many others."""
+    rng, rows, edges = random.Random(0), [], [0]
+    for k in range(60):
+        rows += sorted(("en", f"{k:02d} {rng.randrange(10**9):09d}", 1) for _ in range(3000)) + [("en", f"{k:02d} z", 20)]
+        edges.append(len(rows))
+        rows.append(("en", f"{k:02d} z", 15))
+    rows.append(("fr", "59 z", 30))
+    batches = [
+        pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows[a:b])], schema=c.RUN) for a, b in zip(edges, [*edges[1:], len(rows)])
+    ]
+    got = [(r["lang"], r["phrase"], r["n"]) for b in c.summed_runs(iter(batches), 30) for r in b.to_pylist()]
+    assert got == [("en", f"{k:02d} z", 35) for k in range(60)] + [("fr", "59 z", 30)]

@@ -160,16 +160,17 @@ class Reader(dict):
         ]
 
 
-def features_of(text: Column, lexicon: dict[str, float]) -> Column:
-    """The dense features of a text (FEATURES, in order), as an array of doubles; a null text has those of an empty one."""
+def features_of(text: Column, lexicons: list[dict[str, float]], which: Column | None = None) -> Column:
+    """The dense features of a text (FEATURES, in order), as an array of doubles; a null text has those of an empty one.
+    which is the place of the row's lexicon among lexicons (the first, if left out)."""
 
     @F.pandas_udf("array<double>")
-    def read(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        reader = Reader(lexicon)
-        for some in texts:
-            yield pd.Series([reader.features(t) for t in some], dtype=object)
+    def read(rows: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        readers = [Reader(lexicon) for lexicon in lexicons]
+        for texts, places in rows:
+            yield pd.Series([readers[k].features(t) for t, k in zip(texts, places)], dtype=object)
 
-    return read(text)
+    return read(text, F.lit(0) if which is None else which)
 
 
 @dataclass
@@ -187,7 +188,7 @@ class ToxicityModel:
         if self.trees is None:
             return df.select(*kept, F.lit(self.constant).alias(name))
         small_batches(df.sparkSession)
-        read = df.withColumn("__features", array_to_vector(features_of(F.col(f"`{text_col}`"), self.lexicon)))
+        read = df.withColumn("__features", array_to_vector(features_of(F.col(f"`{text_col}`"), [self.lexicon])))
         judged = self.calibration.transform(_with_margin(self.trees, read))
         return judged.select(*kept, F.least(F.greatest(F.col("__score"), F.lit(0.0)), F.lit(1.0)).alias(name))
 
@@ -229,15 +230,8 @@ def fit_toxicity(
         total = sum(have.values())
         return ToxicityModel({}, None, None, sum(v for k, v in have.items() if k[1]) / total if total else 0.0)
     lexicon = lexicons(rows.where("part > 0"))
-    parts = [
-        rows.where(f"part > 0 and fold = {k}").select(
-            "part", "label", features_of(F.col("text"), lexicon[k]).alias("f")
-        ) for k in range(FOLDS)
-    ]
-    parts.append(rows.where("part = 0").select("part", "label", features_of(F.col("text"), lexicon[-1]).alias("f")))
-    read = parts[0]
-    for more in parts[1:]:
-        read = read.union(more)
+    which = F.when(F.col("part") > 0, F.col("fold")).otherwise(FOLDS)  # calibrating rows: that of all others
+    read = rows.select("part", "label", features_of(F.col("text"), lexicon, which).alias("f"))
     read = cut(read).select(
         "part", F.col("label").cast("double").alias("label"), array_to_vector("f").alias("__features")
     ).coalesce(1)  # sample rows of a few numbers

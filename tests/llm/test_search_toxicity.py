@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from talkloom.llm import topk
 from talkloom.llm.topk import quantised, top_k
-from talkloom.llm.toxicity import FEATURES, Reader, fit_toxicity, in_held_out, units_of, without_toxic
+from talkloom.llm.toxicity import FEATURES, Reader, features_of, fit_toxicity, in_held_out, units_of, without_toxic
 
 
 def by_hand(rows, k):
@@ -154,6 +154,16 @@ def test_features_by_hand():
     })
 
 
+def test_a_row_is_read_by_its_own_lexicon_in_one_pass(spark):
+    lexicons = [{"blork": 5.0}, {"blork": 3.0, "snarg": 2.0}, {}]
+    rows = [(k, text) for k in range(3) for text in ("blork", "snarg blork", None)]
+    df = spark.createDataFrame(rows, "k int, text string").repartition(2)
+    read = df.select("k", "text", features_of(F.col("text"), lexicons, F.col("k")).alias("f"))
+    assert read._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    got = {(r.k, r.text): r.f for r in read.collect()}
+    assert got == {(k, text): Reader(lexicons[k]).features(text) for k, text in rows}
+
+
 def test_products_beyond_all_doubles(spark):
     rows = [(0, [1e300, 1.0]), (1, [1e300, 0.0]), (2, [-1e300, 0.0]), (3, [1.0, 2.0]), (50, [1e-200, 1e200]), (5, [0.0, 1e200])]
     vectors = quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))

@@ -8,6 +8,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from talkloom.llm import simhash
+from talkloom.llm import components
 from talkloom.llm.components import connected_components
 from talkloom.llm.neardup_vectors import near_vectors, number_of_cells, unit_rows, visit_distance
 from talkloom.llm.simhash import covering_masks, fingerprint, near_links, one_of_each_group, simhash_groups
@@ -37,6 +38,21 @@ def test_components_of_chains_stars_and_noise(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("least, cuts", [(100_000, [2]), (50, range(5, 40))])
+def test_few_links_are_settled_in_one_partition(spark, monkeypatch, least, cuts):
+    """Chains and stars over many partitions, by one more cut; with a small bound by rounds over several partitions."""
+    monkeypatch.setattr(components, "LINKS", least, raising=False)
+    made, cut = [], components.cut
+    monkeypatch.setattr(components, "cut", lambda df: made.append(1) or cut(df))
+    rng = random.Random(5)
+    names = rng.sample(range(-(10**12), 10**12), 900)
+    links = [*zip(names[:400], names[1:400]), *((names[400], x) for x in names[401:600]), *zip(names[600::2], names[601::2])]
+    rng.shuffle(links)
+    df = spark.createDataFrame(links, "a long, b long").repartition(12)
+    assert dict(tuple(r) for r in connected_components(df).collect()) == least_reachable(set(names), links)
+    assert len(made) in cuts
+
+
 def test_hubs_are_joined_where_they_lie(spark):
     links = [(5000, k) for k in range(1200)] + [(k, k + 10_000) for k in range(0, 1200, 7)]
     df = spark.createDataFrame(links, "a long, b long")

@@ -274,6 +274,22 @@ def test_copies_within_the_radius_by_all_pairs(spark, monkeypatch, crowd, block)
     assert sorted(kept.doc_id) == sorted(want)
 
 
+def test_no_task_compares_and_contracts(spark, monkeypatch):
+    """Two Python workers a core would stay for the session; and few links are contracted in one task."""
+    seen = []
+
+    def looked_at(links):
+        seen.append((links._jdf.queryExecution().executedPlan().toString(), links.rdd.getNumPartitions()))
+        return connected_components(links)
+
+    monkeypatch.setattr(simhash, "connected_components", looked_at)
+    rng = random.Random(8)
+    base = worded(rng, 120)
+    rows = [(k, " ".join(changed(rng, base, rng.sample(range(120), k % 2))), "", 0) for k in range(40)]
+    assert one_of_each_group(spark.createDataFrame(rows, DOCS), 5, 13).count() < 40
+    assert len(seen) == 3 and not any("MapInArrow" in plan for plan, _ in seen) and {n for _, n in seen} == {1}
+
+
 @pytest.mark.parametrize("parts", [2, 3])
 def test_part_masks_cover(parts):
     rng = random.Random(parts)
